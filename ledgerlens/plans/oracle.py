@@ -76,3 +76,21 @@ def hash_normal_sql(text_expr: str) -> str:
     u1 = hash_uniform_sql(f"({text_expr}) || ':a'")
     u2 = hash_uniform_sql(f"({text_expr}) || ':b'")
     return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
+
+
+def dbl(x) -> str:
+    """A DOUBLE literal (plain decimals would be DECIMAL in the oracle engine)."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def case_map(expr: str, mapping: dict, default) -> str:
+    """CASE lookup of a literal map; numbers become DOUBLE literals."""
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, (int, float)):
+            return dbl(v)
+        return "'" + str(v).replace("'", "''") + "'"
+
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} ELSE {lit(default)} END)"

@@ -1 +1,171 @@
-"""Queries (placeholder)."""
+"""Queries: type coercion, SQL-text views, JSON payloads, provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import panel as PN
+from ledgerlens.plans.catalogue import facts, register
+from ledgerlens.plans.oracle import SPEC, with_sales
+from ledgerlens.plans.q_panel import PANEL_CTES, panel_sql
+from ledgerlens.sources import facts as SRC
+from ledgerlens.sources import payloads as PL
+
+
+def _coerced(spark, d):
+    f = SRC.coerce_types(facts(spark, d))
+    return f.select(*SPEC.fact_columns, "row_key")
+
+
+register(
+    "coerced_facts", "A3",
+    with_sales("""
+SELECT Model, CAST(Year AS SMALLINT) AS Year, Region, Color, Fuel_Type, Transmission,
+       CAST(Engine_Size_L AS FLOAT) AS Engine_Size_L, CAST(Mileage_KM AS INT) AS Mileage_KM,
+       CAST(trunc(Price_USD) AS INT) AS Price_USD, CAST(Sales_Volume AS INT) AS Sales_Volume,
+       Sales_Classification, row_key
+FROM sales"""),
+)(_coerced)
+
+# The reference's report text, run by Spark SQL over a registered view (A4/A5).
+_VIEW_SQL = """
+SELECT Region AS region,
+       COUNT(*) AS n_records,
+       CAST(SUM(Sales_Volume) AS BIGINT) AS total_volume,
+       ROUND(AVG(Sales_Volume), 1) AS avg_volume,
+       ROUND(100.0D * SUM(Sales_Volume) / SUM(SUM(Sales_Volume)) OVER (), 2) AS pct_of_total
+FROM {view}
+GROUP BY Region
+ORDER BY total_volume DESC"""
+
+
+def _view_report(spark, d):
+    view = "ledgerlens_sales_view"
+    facts(spark, d).createOrReplaceTempView(view)
+    return spark.sql(_VIEW_SQL.format(view=view))
+
+
+register("sql_view_top_regions", "A4 A5",
+         with_sales(_VIEW_SQL.format(view="sales").replace("100.0D", "CAST(100.0 AS DOUBLE)")))(_view_report)
+
+
+def _payload_obs(spark, d):
+    f = facts(spark, d)
+    window = PN.year_window(f, SPEC)
+    parsed, _ = PL.parse_indicator_payloads(PL.indicator_payloads(f, SPEC, window))
+    return parsed
+
+
+_YEARLY = """SELECT Region AS region, Fuel_Type AS fuel_type, Year AS year,
+       CAST(SUM(Sales_Volume) AS DOUBLE) AS value FROM sales GROUP BY Region, Fuel_Type, Year"""
+register("indicator_payload_observations", "A7", with_sales(_YEARLY))(_payload_obs)
+
+
+def _payload_rejects(spark, d):
+    f = facts(spark, d)
+    window = PN.year_window(f, SPEC)
+    _, rejects = PL.parse_indicator_payloads(PL.indicator_payloads(f, SPEC, window))
+    return rejects.select("region", "fuel_type", "reason")
+
+
+register("indicator_payload_rejects", "A7",
+         with_sales("SELECT Region AS region, Fuel_Type AS fuel_type, 'x' AS reason FROM sales WHERE FALSE"))(
+    _payload_rejects
+)
+
+
+def _fx_parse(spark, d):
+    f = facts(spark, d)
+    _, (panel, _, _) = f, PN.build_external_panel(f, SPEC)
+    parsed, _ = PL.parse_fx_payloads(PL.fx_payloads(panel.select("region", "year", "usd_per_unit")))
+    return parsed
+
+
+register("fx_payload_rates", "A8", panel_sql("SELECT region, year, usd_per_unit FROM panel"))(_fx_parse)
+
+
+def _event_props(spark, d):
+    ev = SRC.table(spark, d, "events").select("event_id", "event_type", "props")
+    return PL.json_field(ev, "props", "$.k", "k", "int").select("event_id", "event_type", "k")
+
+
+register("event_props_k", "A8",
+         "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(_event_props)
+
+
+def _event_props_by_type(spark, d):
+    ev = PL.json_field(SRC.table(spark, d, "events").select("event_type", "props"), "props", "$.k", "k", "int")
+    return ev.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("k").cast("long").alias("sum_k"),
+        F.round(F.avg("k"), 6).alias("avg_k"),
+    )
+
+
+register(
+    "event_props_by_type", "A8",
+    """SELECT event_type, COUNT(*) AS n, CAST(SUM(k) AS BIGINT) AS sum_k, ROUND(AVG(k), 6) AS avg_k
+FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) e GROUP BY event_type""",
+)(_event_props_by_type)
+
+
+# -- A9–A11 ------------------------------------------------------------------------
+def _landed_volume_index(spark, d):
+    """Live rows: parsed payload observations; mock rows: the full key×year spine at 0."""
+    f = facts(spark, d)
+    window = PN.year_window(f, SPEC)
+    live, _ = PL.parse_indicator_payloads(PL.indicator_payloads(f, SPEC, window))
+    keys = f.select(F.col(SPEC.region).alias("region"), F.col(SPEC.fuel).alias("fuel_type"))
+    mock = PN.spine(keys, window).withColumn("value", F.lit(0.0))
+    landed = live.withColumn("provenance", F.lit("live")).unionByName(mock.withColumn("provenance", F.lit("mock")))
+    return landed.withColumn("source", F.lit("volume_index"))
+
+
+def _resolved(spark, d):
+    landed = _landed_volume_index(spark, d)
+    return PN.resolve_precedence(landed, ["source", "region", "fuel_type", "year"]).drop("source")
+
+
+_RESOLVED_SQL = """
+resolved AS (
+  SELECT k.region, k.fuel_type, CAST(g.year AS INT) AS year, coalesce(y.value, 0.0) AS value,
+         CASE WHEN y.value IS NULL THEN 'mock' ELSE 'live' END AS provenance
+  FROM (SELECT DISTINCT Region AS region, Fuel_Type AS fuel_type FROM sales) k
+  CROSS JOIN (SELECT unnest(generate_series(min(Year), max(Year))) AS year FROM sales) g
+  LEFT JOIN (""" + _YEARLY + """) y ON y.region = k.region AND y.fuel_type = k.fuel_type AND y.year = g.year
+)"""
+register("volume_index_precedence", "A9",
+         with_sales("SELECT region, fuel_type, year, value, provenance FROM resolved", extra_ctes=_RESOLVED_SQL.strip()))(
+    _resolved
+)
+
+
+def _provenance_rows(spark, d):
+    resolved = _resolved(spark, d).select(F.lit("volume_index").alias("source"), "provenance")
+    f = facts(spark, d)
+    _, _, panel_prov = PN.build_external_panel(f, SPEC, PN.year_window(f, SPEC))
+    return panel_prov.unionByName(resolved)
+
+
+_PROV_ROWS = """
+prov AS (
+  SELECT 'worldbank' AS source, 'mock' AS provenance UNION ALL SELECT 'fuel_prices', 'mock'
+  UNION ALL SELECT 'co2_regulations', 'mock' UNION ALL SELECT 'fx_rates', 'mock'
+  UNION ALL SELECT 'volume_index', provenance FROM resolved
+)"""
+register(
+    "provenance_by_source", "A10",
+    with_sales("""
+SELECT source, (list(provenance ORDER BY CASE provenance WHEN 'live' THEN 0 WHEN 'cache' THEN 1 WHEN 'mock' THEN 2
+                ELSE 3 END DESC))[1] AS provenance
+FROM prov GROUP BY source""", extra_ctes=_RESOLVED_SQL.strip() + "," + _PROV_ROWS),
+)(lambda spark, d: PN.weakest_provenance(_provenance_rows(spark, d)))
+
+register(
+    "provenance_summary", "A11",
+    with_sales("""
+SELECT provenance, string_agg(source, ', ' ORDER BY source) AS sources
+FROM (SELECT DISTINCT source, provenance FROM prov) p GROUP BY provenance""",
+               extra_ctes=_RESOLVED_SQL.strip() + "," + _PROV_ROWS),
+)(lambda spark, d: PN.provenance_summary(_provenance_rows(spark, d)))
+
+_ = PANEL_CTES  # panel CTEs are reused by the FX payload oracle through panel_sql
