@@ -1 +1,102 @@
-"""Queries (placeholder)."""
+"""Queries: robust regressions, elasticity, causal effect, VIF."""
+
+from __future__ import annotations
+
+from ledgerlens.operators import panel as PN
+from ledgerlens.operators import regress as RG
+from ledgerlens.operators.features import add_engineered_features
+from ledgerlens.plans.catalogue import facts, register
+from ledgerlens.plans.oracle import SPEC, with_sales
+
+ELASTICITY_SQL = with_sales("""
+SELECT ROUND(b1, 6) AS elasticity, ROUND(sqrt(v11), 6) AS std_err,
+       ROUND(b1 - 1.959963984540054 * sqrt(v11), 6) AS ci_low, ROUND(b1 + 1.959963984540054 * sqrt(v11), 6) AS ci_high,
+       CAST(n AS BIGINT) AS n_obs
+FROM (
+  SELECT b1, n, (s22 / det) * (s22 / det) * m11 + 2 * (s22 / det) * (-s12 / det) * m12 + (s12 / det) * (s12 / det) * m22
+         AS v11
+  FROM b, (SELECT sum(t1 * t1 * w) AS m11, sum(t1 * t2 * w) AS m12, sum(t2 * t2 * w) AS m22
+           FROM (SELECT t1, t2, (ty - b1 * t1 - b2 * t2) * (ty - b1 * t1 - b2 * t2)
+                            / ((1 - h) * (1 - h)) AS w
+                 FROM (SELECT z.*, b.b1, b.b2,
+                              1.0 / ng + (t1 * (s22 * t1 - s12 * t2) + t2 * (s11 * t2 - s12 * t1)) / det AS h
+                       FROM z, b) r) q) mt
+) fin""", features=True, extra_ctes="""
+d AS (SELECT Region, ln(CAST(Sales_Volume AS DOUBLE)) AS y, log_price AS x1, CAST(vehicle_age AS DOUBLE) AS x2
+      FROM feat WHERE Sales_Volume > 0),
+g AS (SELECT Region, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, COUNT(*) AS ng FROM d GROUP BY Region),
+z AS (SELECT d.y - g.my AS ty, d.x1 - g.m1 AS t1, d.x2 - g.m2 AS t2, g.ng FROM d JOIN g USING (Region)),
+s AS (SELECT sum(t1 * t1) AS s11, sum(t1 * t2) AS s12, sum(t2 * t2) AS s22, sum(t1 * ty) AS s1y,
+             sum(t2 * ty) AS s2y, COUNT(*) AS n FROM z),
+b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2,
+             s11, s12, s22, n, s11 * s22 - s12 * s12 AS det FROM s)""")
+
+register("price_elasticity_hc3", "J1 J2 J5 B3 B11", ELASTICITY_SQL)(
+    lambda spark, d: RG.price_elasticity(facts(spark, d), SPEC).select(
+        "elasticity", "std_err", "ci_low", "ci_high", "n_obs")
+)
+register("price_elasticity_report", "J5")(lambda spark, d: RG.price_elasticity(facts(spark, d), SPEC))
+
+NAIVE_SQL = with_sales("""
+SELECT ROUND(b, 6) AS naive_effect, ROUND(sqrt(sum(dx * dx * e * e / ((1 - h) * (1 - h)))) / max(sxx), 6)
+         AS naive_std_err
+FROM (SELECT dx, b, sxx, (y - my) - b * dx AS e, 1.0 / n + dx * dx / sxx AS h
+      FROM (SELECT ln(CAST(Sales_Volume AS DOUBLE)) AS y, log_price - mx AS dx, my, n, sxx, b
+            FROM feat, (SELECT avg(log_price) AS mx, avg(ln(CAST(Sales_Volume AS DOUBLE))) AS my, COUNT(*) AS n,
+                               var_pop(log_price) * COUNT(*) AS sxx,
+                               covar_pop(log_price, ln(CAST(Sales_Volume AS DOUBLE))) / var_pop(log_price) AS b
+                        FROM feat WHERE Sales_Volume > 0) st
+            WHERE Sales_Volume > 0) t) r
+GROUP BY b""", features=True)
+
+register("causal_naive_effect", "J6 J1", NAIVE_SQL)(
+    lambda spark, d: RG.causal_price_effect(facts(spark, d), SPEC).select("naive_effect", "naive_std_err")
+)
+register("causal_price_effect", "J6")(lambda spark, d: RG.causal_price_effect(facts(spark, d), SPEC))
+
+VIF3 = [SPEC.engine, SPEC.mileage, "log_price"]
+
+
+def _vif3_sql() -> str:
+    a, b, c = VIF3
+    r = lambda x, y: f"corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))"
+    det = (f"(1 - {r(a, b)}^2 - {r(a, c)}^2 - {r(b, c)}^2 + 2 * {r(a, b)} * {r(a, c)} * {r(b, c)})")
+    return with_sales(
+        f"SELECT '{a}' AS feature, ROUND((1 - {r(b, c)}^2) / {det}, 6) AS vif FROM feat UNION ALL "
+        f"SELECT '{b}', ROUND((1 - {r(a, c)}^2) / {det}, 6) FROM feat UNION ALL "
+        f"SELECT '{c}', ROUND((1 - {r(a, b)}^2) / {det}, 6) FROM feat",
+        features=True,
+    )
+
+
+register("vif_three_columns", "J7", _vif3_sql())(
+    lambda spark, d: RG.vif_table(add_engineered_features(facts(spark, d), SPEC), VIF3, digits=6)
+)
+VIF_DEFAULT = [SPEC.engine, SPEC.mileage, "vehicle_age", "log_price", "log_mileage", "price_per_litre_engine"]
+register("vif_default_columns", "J7")(
+    lambda spark, d: RG.vif_table(add_engineered_features(facts(spark, d), SPEC), VIF_DEFAULT)
+)
+
+
+def _hedonic(spark, d):
+    res = RG.hedonic_price_model(facts(spark, d), SPEC)
+    return res.coefficients(spark)
+
+
+register("hedonic_coefficients", "J3 J2 J8")(_hedonic)
+
+
+def _enriched(spark, d):
+    f = facts(spark, d)
+    panel, fuel, _ = PN.build_external_panel(f, SPEC)
+    return PN.enrich(f, SPEC, panel, fuel)
+
+
+def _econometric_summary(spark, d):
+    f = facts(spark, d)
+    models = [RG.hedonic_price_model(f, SPEC), RG.demand_model(_enriched(spark, d), SPEC)]
+    return RG.stack_fit_stats(models, spark)
+
+
+register("econometric_summary", "J4 J8 J9")(_econometric_summary)
