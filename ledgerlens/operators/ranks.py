@@ -47,20 +47,26 @@ def cumulative_counts(
     *,
     weight_col: str | None = None,
     num_partitions: int | None = None,
+    extra_aggs: dict | None = None,
+    unique_values: bool = False,
 ) -> DataFrame:
     """Per distinct (group, value): own count ``k`` and running count ``cum``.
 
     ``cum`` counts the rows of the group with a value ``<=`` this value, so
     ``cum - k`` counts the rows strictly below. Nulls in ``value_col`` are
-    dropped. With ``weight_col`` the counts are sums of that column.
+    dropped. With ``weight_col`` the counts are sums of that column;
+    ``extra_aggs`` (name -> aggregate column) are carried per distinct value.
+    With ``unique_values`` every row is its own value (k = 1) and the grouping
+    shuffle is skipped: the running count is then the row's rank in its group.
     """
     group_cols = list(group_cols)
-    weight = F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))
-    counts = (
-        df.where(F.col(value_col).isNotNull())
-        .groupBy(*group_cols, value_col)
-        .agg(weight.cast("long").alias("k"))
-    )
+    nonnull = df.where(F.col(value_col).isNotNull())
+    if unique_values:
+        counts = nonnull.withColumn("k", F.lit(1).cast("long"))
+    else:
+        weight = F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))
+        extra = [agg.alias(name) for name, agg in (extra_aggs or {}).items()]
+        counts = nonnull.groupBy(*group_cols, value_col).agg(weight.cast("long").alias("k"), *extra)
     n_parts = num_partitions or _partition_count(df)
     ranged = (
         counts.repartitionByRange(n_parts, *group_cols, value_col)

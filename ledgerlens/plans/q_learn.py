@@ -1 +1,335 @@
-"""Queries (placeholder)."""
+"""Queries: splits, metrics, conformal, CV, learning curve, permutation test, learners
+(K1–K16, I9, I11, I13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.dist import chi2_sf_col  # noqa: F401  (p-values of the audit job)
+from ledgerlens.operators import audit as AU
+from ledgerlens.operators import learn as LN
+from ledgerlens.plans.catalogue import facts, register
+from ledgerlens.plans.oracle import SPEC, hash_uniform_sql, with_sales
+
+SEED = 42
+D15 = "CAST(0.15 AS DOUBLE)"
+REL_VAL = "(CAST(0.15 AS DOUBLE) / CAST(0.85 AS DOUBLE))"
+
+
+def _split_ctes(stratified: bool) -> str:
+    part = "PARTITION BY label" if stratified else ""
+    return f"""
+lab AS (SELECT row_key, Model, CAST(Sales_Volume AS DOUBLE) AS y, Price_USD, Mileage_KM,
+               CASE WHEN Sales_Classification = 'High' THEN 1 ELSE 0 END AS label FROM sales),
+rk AS (SELECT *, row_number() OVER ({part} ORDER BY md5(row_key || ':{SEED}')) AS rn,
+              COUNT(*) OVER ({part}) AS n FROM lab),
+spl AS (SELECT *, CASE WHEN rn <= ceil(n * {D15}) THEN 'test'
+                       WHEN rn <= ceil(n * {D15}) + ceil((n - ceil(n * {D15})) * {REL_VAL}) THEN 'val'
+                       ELSE 'train' END AS split FROM rk)""".strip()
+
+
+def _labelled(spark, d):
+    f = facts(spark, d)
+    return f.select("row_key", SPEC.model, F.col(SPEC.volume).cast("double").alias("y"), SPEC.price, SPEC.mileage,
+                    (F.col(SPEC.label) == SPEC.positive_label).cast("int").alias("label"))
+
+
+def _split(spark, d, stratified: bool):
+    return LN.assign_split(_labelled(spark, d), "row_key", seed=SEED, stratify="label" if stratified else None)
+
+
+register("train_val_test_split", "K1",
+         with_sales("SELECT row_key, split FROM spl", extra_ctes=_split_ctes(True)))(
+    lambda spark, d: _split(spark, d, True).select("row_key", "split")
+)
+register("split_sizes", "K1",
+         with_sales("SELECT split, label, COUNT(*) AS n FROM spl GROUP BY split, label", extra_ctes=_split_ctes(True)))(
+    lambda spark, d: _split(spark, d, True).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+def _standardized(spark, d):
+    s = LN.standardize(_split(spark, d, True), [SPEC.price, SPEC.mileage], F.col("split") == "train")
+    return s.select("row_key", *[F.round(f"{c}_z", 9).alias(f"{c}_z") for c in (SPEC.price, SPEC.mileage)])
+
+
+register(
+    "standardized_numeric", "K2",
+    with_sales("""
+SELECT row_key, ROUND((CAST(Price_USD AS DOUBLE) - mp) / sp, 9) AS Price_USD_z,
+       ROUND((CAST(Mileage_KM AS DOUBLE) - mm) / sm, 9) AS Mileage_KM_z
+FROM spl, (SELECT avg(CAST(Price_USD AS DOUBLE)) AS mp, stddev_pop(CAST(Price_USD AS DOUBLE)) AS sp,
+                  avg(CAST(Mileage_KM AS DOUBLE)) AS mm, stddev_pop(CAST(Mileage_KM AS DOUBLE)) AS sm
+           FROM spl WHERE split = 'train') st""", extra_ctes=_split_ctes(True)),
+)(_standardized)
+
+_GM_CTES = """,
+gm AS (SELECT Model, avg(y) AS m FROM spl WHERE split = 'train' GROUP BY Model),
+om AS (SELECT avg(y) AS m FROM spl WHERE split = 'train'),
+pred AS (SELECT s.*, coalesce(gm.m, om.m) AS yhat FROM spl s LEFT JOIN gm USING (Model), om WHERE s.split = 'test')"""
+
+
+def _reg_metrics(spark, d):
+    s = _split(spark, d, False)
+    scored = LN.group_mean_predictions(s.where("split = 'train'"), s.where("split = 'test'"), SPEC.model, "y")
+    m = LN.regression_metrics(scored, "y", "yhat")
+    return m.select(*[F.round(c, 9).alias(c) for c in ("r2", "rmse", "mae")], "n")
+
+
+register(
+    "regression_metrics_group_mean", "K7",
+    with_sales("""
+SELECT ROUND(1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / COUNT(*)), 9) AS r2,
+       ROUND(sqrt(sum((y - yhat) * (y - yhat)) / COUNT(*)), 9) AS rmse,
+       ROUND(sum(abs(y - yhat)) / COUNT(*), 9) AS mae, COUNT(*) AS n FROM pred""",
+               extra_ctes=_split_ctes(False) + _GM_CTES),
+)(_reg_metrics)
+
+
+def _clf_metrics(spark, d):
+    s = _split(spark, d, True)
+    scored = LN.group_mean_predictions(s.where("split = 'train'"), s.where("split = 'test'"), SPEC.model, "label",
+                                       out="score")
+    m = LN.classification_metrics(scored, "label", "score")
+    return m.select(*[F.round(c, 9).alias(c) for c in ("roc_auc", "accuracy", "f1")])
+
+
+register(
+    "classification_metrics_group_mean", "K8 E6",
+    with_sales("""
+SELECT ROUND(sum(p * (neg_below + q / 2.0)) / (sum(p) * sum(q)), 9) AS roc_auc,
+       ROUND(max(acc), 9) AS accuracy, ROUND(max(f1), 9) AS f1
+FROM (SELECT yhat, p, q, coalesce(SUM(q) OVER (ORDER BY yhat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS neg_below
+      FROM (SELECT yhat, CAST(sum(label) AS DOUBLE) AS p, CAST(COUNT(*) - sum(label) AS DOUBLE) AS q
+            FROM pred GROUP BY yhat) g) r,
+     (SELECT avg(CASE WHEN (yhat >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS acc,
+             coalesce(2.0 * sum(CASE WHEN yhat >= 0.5 AND label = 1 THEN 1 ELSE 0 END)
+               / nullif(2.0 * sum(CASE WHEN yhat >= 0.5 AND label = 1 THEN 1 ELSE 0 END)
+                        + sum(CASE WHEN yhat >= 0.5 AND label = 0 THEN 1 ELSE 0 END)
+                        + sum(CASE WHEN yhat < 0.5 AND label = 1 THEN 1 ELSE 0 END), 0), 0.0) AS f1
+      FROM pred) a""",
+               extra_ctes=_split_ctes(True) + _GM_CTES.replace("avg(y)", "avg(CAST(label AS DOUBLE))")),
+)(_clf_metrics)
+
+
+def _conformal(spark, d):
+    roles = LN.conformal_roles(_labelled(spark, d), "row_key", seed=SEED)
+    scored = LN.group_mean_predictions(roles.where("role = 'fit'"), roles.where("role <> 'fit'"), SPEC.model, "y")
+    out = LN.split_conformal(scored, "y", "yhat", "role", alpha=0.1)
+    return out.select("alpha", *[F.round(c, 9).alias(c) for c in
+                                 ("half_width", "coverage", "target_std", "target_range", "relative_width")],
+                      "is_informative", "n_calibration")
+
+
+register(
+    "conformal_group_mean", "K11",
+    with_sales("""
+SELECT CAST(0.1 AS DOUBLE) AS alpha, ROUND(hw, 9) AS half_width,
+       ROUND(avg(CASE WHEN abs(t.y - t.yhat) <= hw THEN 1.0 ELSE 0.0 END), 9) AS coverage,
+       ROUND(stddev_pop(t.y), 9) AS target_std, ROUND(max(t.y) - min(t.y), 9) AS target_range,
+       ROUND(2 * hw / (max(t.y) - min(t.y)), 9) AS relative_width,
+       2 * hw / (max(t.y) - min(t.y)) < 0.6 AS is_informative, max(ncal) AS n_calibration
+FROM (SELECT p.*, coalesce(gm.m, om.m) AS yhat FROM roles p LEFT JOIN gm USING (Model), om WHERE p.role = 'test') t,
+     (SELECT max(v_lo) + (max(pos) - floor(max(pos))) * (max(v_hi) - max(v_lo)) AS hw, max(ncal) AS ncal
+      FROM (SELECT CASE WHEN rn - 1 = floor(pos) THEN sc END AS v_lo, CASE WHEN rn - 1 = ceil(pos) THEN sc END AS v_hi,
+                   pos, ncal
+            FROM (SELECT sc, row_number() OVER (ORDER BY sc) AS rn, COUNT(*) OVER () AS ncal,
+                         least(ceil((COUNT(*) OVER () + 1) * CAST(0.9 AS DOUBLE)) / COUNT(*) OVER (), 1.0)
+                           * (COUNT(*) OVER () - 1) AS pos
+                  FROM (SELECT abs(c.y - coalesce(gm.m, om.m)) AS sc FROM roles c LEFT JOIN gm USING (Model), om
+                        WHERE c.role = 'cal') x) y) z) q
+GROUP BY hw""",
+               extra_ctes=_split_ctes(False) + """,
+tr AS (SELECT *, row_number() OVER (ORDER BY md5(row_key || ':42:cal')) AS rn2, COUNT(*) OVER () AS ntr
+       FROM spl WHERE split = 'train'),
+roles AS (SELECT row_key, Model, y, CASE WHEN rn2 <= ntr // 2 THEN 'fit' ELSE 'cal' END AS role FROM tr
+          UNION ALL SELECT row_key, Model, y, 'test' FROM spl WHERE split = 'test'),
+gm AS (SELECT Model, avg(y) AS m FROM roles WHERE role = 'fit' GROUP BY Model),
+om AS (SELECT avg(y) AS m FROM roles WHERE role = 'fit')"""),
+)(_conformal)
+
+FOLD_SQL = f"CAST(least(floor({hash_uniform_sql(chr(39).join(['row_key || ', ':42:fold', '']))} * 5), 4) AS INT)"
+
+
+def _kfold(spark, d):
+    s = _split(spark, d, False).where("split = 'train'")
+    out = LN.kfold_group_mean(s, "row_key", SPEC.model, "y", k=5, seed=SEED)
+    return out.select("fold", F.round("r2", 9).alias("r2"), "n")
+
+
+_KFOLD_CTES = _split_ctes(False) + f""",
+tr AS (SELECT Model, y, {FOLD_SQL} AS fold FROM spl WHERE split = 'train'),
+gf AS (SELECT Model, fold, sum(y) AS s_gf, COUNT(*) AS n_gf FROM tr GROUP BY Model, fold),
+g AS (SELECT Model, sum(s_gf) AS s_g, sum(n_gf) AS n_g FROM gf GROUP BY Model),
+fo AS (SELECT fold, sum(s_gf) AS s_f, sum(n_gf) AS n_f FROM gf GROUP BY fold),
+al AS (SELECT sum(s_gf) AS s_a, sum(n_gf) AS n_a FROM gf),
+pr AS (SELECT gf.Model, gf.fold,
+              coalesce((g.s_g - gf.s_gf) / nullif(CAST(g.n_g - gf.n_gf AS DOUBLE), 0),
+                       (al.s_a - fo.s_f) / (al.n_a - fo.n_f)) AS yhat
+       FROM gf JOIN g USING (Model) JOIN fo USING (fold), al),
+folds AS (SELECT fold, 1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / COUNT(*)) AS r2,
+                 COUNT(*) AS n
+          FROM tr JOIN pr USING (Model, fold) GROUP BY fold)"""
+
+register("kfold_group_mean", "K12", with_sales("SELECT fold, ROUND(r2, 9) AS r2, n FROM folds",
+                                               extra_ctes=_KFOLD_CTES))(_kfold)
+register("cv_summary_group_mean", "K12",
+         with_sales("SELECT ROUND(avg(r2), 9) AS cv_mean, ROUND(stddev_pop(r2), 9) AS cv_std, COUNT(*) AS k FROM folds",
+                    extra_ctes=_KFOLD_CTES))(
+    lambda spark, d: LN.cv_summary(_kfold(spark, d)).select(
+        F.round("cv_mean", 9).alias("cv_mean"), F.round("cv_std", 9).alias("cv_std"), "k")
+)
+
+SIZES = (0.1, 0.325, 0.55, 0.775, 1.0)
+
+
+def _lcurve(spark, d):
+    s = _split(spark, d, False).where("split = 'train'")
+    out = LN.learning_curve_group_mean(s, "row_key", SPEC.model, "y", k=3, seed=SEED, fractions=SIZES)
+    return out.select("size", F.round("r2_mean", 9).alias("r2_mean"), F.round("n_train_mean", 6).alias("n_train_mean"))
+
+
+_FOLD3 = f"CAST(least(floor({hash_uniform_sql(chr(39).join(['row_key || ', ':42:fold', '']))} * 3), 2) AS INT)"
+_USIZE = hash_uniform_sql("row_key || ':42:size'")
+register(
+    "learning_curve_group_mean", "K13",
+    with_sales("""
+SELECT size, ROUND(avg(r2), 9) AS r2_mean, ROUND(avg(n_train), 6) AS n_train_mean FROM (
+  SELECT t.size, t.fold, 1 - sum((t.y - coalesce(st.s / st.n, ov.m)) * (t.y - coalesce(st.s / st.n, ov.m)))
+           / (sum(t.y * t.y) - sum(t.y) * sum(t.y) / COUNT(*)) AS r2, max(ov.n_train) AS n_train
+  FROM (SELECT tr.*, sz.size FROM tr, sz) t
+  LEFT JOIN st ON st.size = t.size AND st.tfold = t.fold AND st.Model = t.Model
+  JOIN ov ON ov.size = t.size AND ov.tfold = t.fold
+  GROUP BY t.size, t.fold) x GROUP BY size""",
+               extra_ctes=_split_ctes(False) + f""",
+tr AS (SELECT Model, y, {_FOLD3} AS fold, {_USIZE} AS u FROM spl WHERE split = 'train'),
+sz AS (SELECT unnest([{', '.join(f'CAST({s} AS DOUBLE)' for s in SIZES)}]) AS size),
+fl AS (SELECT unnest([0, 1, 2]) AS tfold),
+ct AS (SELECT tr.Model, tr.y, sz.size, fl.tfold FROM tr, sz, fl WHERE fl.tfold <> tr.fold AND tr.u < sz.size),
+st AS (SELECT size, tfold, Model, sum(y) AS s, COUNT(*) AS n FROM ct GROUP BY size, tfold, Model),
+ov AS (SELECT size, tfold, sum(y) / COUNT(*) AS m, CAST(COUNT(*) AS DOUBLE) AS n_train FROM ct GROUP BY size, tfold)"""),
+)(_lcurve)
+
+N_PERM = 30
+
+
+def _perm(spark, d):
+    s = _split(spark, d, False)
+    out = LN.permutation_test_group_mean(s, "row_key", SPEC.model, "y", n_perm=N_PERM, seed=SEED)
+    return out.select("perm", F.round("r2", 9).alias("r2"))
+
+
+_PERM_CTES = _split_ctes(False) + f""",
+tr AS (SELECT row_key, Model, y FROM spl WHERE split = 'train'),
+te AS (SELECT Model, y FROM spl WHERE split = 'test'),
+base AS (SELECT y, row_number() OVER (ORDER BY md5(row_key || ':0')) AS rank FROM tr),
+pm AS (SELECT unnest(range(1, {N_PERM + 1})) AS perm),
+sh AS (SELECT perm, Model, row_number() OVER (PARTITION BY perm ORDER BY md5(row_key || ':' || CAST(perm AS VARCHAR)))
+              AS rank FROM tr, pm),
+alltr AS (SELECT 0 AS perm, Model, y FROM tr
+          UNION ALL SELECT sh.perm, sh.Model, base.y FROM sh JOIN base USING (rank)),
+gm AS (SELECT perm, Model, avg(y) AS m FROM alltr GROUP BY perm, Model),
+om AS (SELECT perm, avg(y) AS m FROM alltr GROUP BY perm),
+scores AS (
+  SELECT p.perm, 1 - sum((te.y - coalesce(gm.m, om.m)) * (te.y - coalesce(gm.m, om.m)))
+           / (sum(te.y * te.y) - sum(te.y) * sum(te.y) / COUNT(*)) AS r2
+  FROM te CROSS JOIN (SELECT unnest(range(0, {N_PERM + 1})) AS perm) p
+  LEFT JOIN gm ON gm.perm = p.perm AND gm.Model = te.Model JOIN om ON om.perm = p.perm
+  GROUP BY p.perm)"""
+register("permutation_scores_group_mean", "I9 E6",
+         with_sales("SELECT CAST(perm AS INT) AS perm, ROUND(r2, 9) AS r2 FROM scores", extra_ctes=_PERM_CTES))(_perm)
+register("permutation_pvalue_group_mean", "I9")(lambda spark, d: LN.permutation_pvalue(_perm(spark, d)))
+
+
+# -- learners (rows-only) ------------------------------------------------------------------
+def _benchmark(spark, d):
+    return LN.benchmark(facts(spark, d), SPEC, tune=False)
+
+
+register("model_benchmark", "K3 K4 K6 K9 K10 G2")(_benchmark)
+register("best_model_per_task", "F5 K6")(lambda spark, d: LN.best_models(_benchmark(spark, d)))
+
+
+def _tuned(spark, d):
+    frame, num, cat = LN.model_frame(facts(spark, d), SPEC, "regression")
+    split = LN.assign_split(frame, SPEC.key, seed=SEED)
+    _, m = LN.train_one(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, "regression",
+                        "Linear", tune=True, n_iter=6, folds=3, seed=SEED)
+    return spark.createDataFrame([("regression", "Linear", k, float(v)) for k, v in m.items()],
+                                 "task string, model string, metric string, value double")
+
+
+register("tuned_search_linear", "K5")(_tuned)
+
+
+def _mlp(spark, d):
+    frame, num, cat = LN.model_frame(facts(spark, d), SPEC, "classification")
+    split = LN.assign_split(frame, SPEC.key, seed=SEED, stratify="label")
+    _, m = LN.mlp_classifier(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, seed=SEED)
+    return spark.createDataFrame([("classification", "MLP", k, float(v)) for k, v in m.items()],
+                                 "task string, model string, metric string, value double")
+
+
+register("mlp_classifier_metrics", "K16")(_mlp)
+
+
+def _control(spark, d):
+    f = facts(spark, d)
+    synth = AU.signal_bearing_target(f, SPEC).withColumn(SPEC.volume, F.col("synthetic_demand")).drop(
+        "synthetic_demand", "vehicle_age", "mileage_per_year", "price_per_litre_engine", "log_price", "log_mileage",
+        "is_electrified", "is_premium_tier")
+    return LN.positive_control(f, SPEC, synth)
+
+
+register("positive_control", "I11 I10")(_control)
+
+
+def _capability(spark, d):
+    f = facts(spark, d)
+    synth = AU.signal_bearing_target(f, SPEC).select(
+        "row_key", SPEC.model, F.col("synthetic_demand").alias("y"))
+    split = LN.assign_split(synth, "row_key", seed=SEED)
+    train = split.where("split = 'train'")
+    cv = LN.cv_summary(LN.kfold_group_mean(train, "row_key", SPEC.model, "y", k=5)).first()
+    held = LN.regression_metrics(
+        LN.group_mean_predictions(train, split.where("split = 'test'"), SPEC.model, "y"), "y", "yhat").first()
+    lc = LN.learning_curve_group_mean(train, "row_key", SPEC.model, "y").orderBy("size").collect()
+    rows = [("cv_mean", cv["cv_mean"]), ("cv_std", cv["cv_std"]), ("test_r2", held["r2"])]
+    rows += [(f"learning_curve_{r['size']:.3f}", r["r2_mean"]) for r in lc]
+    rows.append(("is_skilful", 1.0 if cv["cv_mean"] > 0.5 else 0.0))
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
+
+
+register("capability_group_mean", "K14 K12 K13")(_capability)
+
+
+def _importances(spark, d):
+    frame, num, cat = LN.model_frame(AU.signal_bearing_target(facts(spark, d), SPEC)
+                                     .withColumn(SPEC.volume, F.col("synthetic_demand")), SPEC, "regression")
+    split = LN.assign_split(frame, SPEC.key, seed=SEED)
+    model, _ = LN.train_one(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, "regression",
+                            "GBT", seed=SEED)
+    return LN.tree_importances(model, num, cat, spark)
+
+
+register("feature_importances_synthetic", "K15")(_importances)
+
+
+def _signal_audit(spark, d):
+    f = facts(spark, d)
+    perm = LN.permutation_pvalue(_perm(spark, d)).first()
+    ks = AU.ks_uniform(f, list(SPEC.numeric)).collect()
+    chi = [AU.chi2_independence(f, a, b).first() for a, b in
+           [(SPEC.model, SPEC.region), (SPEC.fuel, SPEC.transmission), (SPEC.region, SPEC.color)]]
+    rows = [("permutation (R2, group-mean scorer)", "SIGNAL" if perm["has_signal"] else "NO SIGNAL",
+             f"observed={perm['observed']:+.4f}, null={perm['null_mean']:+.4f} +/- {perm['null_std']:.4f}, "
+             f"p={perm['p_value']:.3f}")]
+    rows += [(f"KS uniform {r['feature']}", "uniform" if r["p_value"] > 0.05 else "not uniform",
+              f"D={r['d_stat']:.4f}, p={r['p_value']:.3f}") for r in ks]
+    rows += [(f"chi2 {r['feature_a']} vs {r['feature_b']}", "independent" if r["p_value"] > 0.05 else "dependent",
+              f"chi2={r['chi2']:.3f}, dof={r['dof']}, p={r['p_value']:.3f}") for r in chi]
+    return spark.createDataFrame(rows, "check string, verdict string, detail string")
+
+
+register("signal_audit", "I13 I7 I8 I9")(_signal_audit)
