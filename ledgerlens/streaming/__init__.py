@@ -1,0 +1,8 @@
+"""Incremental refresh of the SQL reports over an arriving fact folder.
+
+The analysed application has no streaming source; its reports are re-run when
+new data lands. :func:`ledgerlens.streaming.reports.refresh_report` expresses that
+refresh as a Structured Streaming query with an ``availableNow`` trigger: each
+run aggregates only the files that arrived since the last checkpoint and keeps
+the running per-region state.
+"""
