@@ -186,10 +186,11 @@ def split_conformal(scored: DataFrame, y: str, yhat: str, role: str, *, alpha: f
     )
 
 
-def conformal_roles(df: DataFrame, key: str, *, seed: int = SEED) -> DataFrame:
+def conformal_roles(df: DataFrame, key: str, *, seed: int = SEED, split: DataFrame | None = None) -> DataFrame:
     """Rows for K11: 'test' from the K1 split; train rows halved into 'fit' / 'cal'
-    by rank of md5(key:seed:cal) (exactly ⌊n_train/2⌋ fit rows); validation rows unused."""
-    split = assign_split(df, key, seed=seed)
+    by rank of md5(key:seed:cal) (exactly ⌊n_train/2⌋ fit rows); validation rows unused.
+    ``split`` reuses an already computed K1 split of ``df``."""
+    split = split if split is not None else assign_split(df, key, seed=seed)
     train = split.where(F.col("split") == "train")
     n_train = train.count()
     ranked = cumulative_counts(train.withColumn("_h2", hash_order(F.col(key), seed, "cal")), [], "_h2",
@@ -274,12 +275,13 @@ def permutation_test_group_mean(split: DataFrame, key: str, group: str, y: str,
     yv = F.col(y).cast("double")
     train = split.where(F.col("split") == "train").select(F.col(key), F.col(group).alias("_g"), yv.alias("_y"))
     test = split.where(F.col("split") == "test").select(F.col(group).alias("_g"), yv.alias("_y"))
-    base = cumulative_counts(train.withColumn("_h", hash_order(F.col(key), 0)), [], "_h", unique_values=True)
+    base = cumulative_counts(train.select("_y", hash_order(F.col(key), 0).alias("_h")), [], "_h", unique_values=True)
     labels = base.select(F.col("cum").alias("rank"), F.col("_y").alias("_py"))
     perms = F.array(*[F.lit(p) for p in range(1, n_perm + 1)])
-    exploded = train.withColumn("perm", F.explode(perms))
-    ranked = cumulative_counts(exploded.withColumn("_h", hash_order(F.col(key), F.col("perm"))), ["perm"], "_h",
-                               unique_values=True)
+    # Only (perm, group, sort key) travel through the ranking shuffle.
+    exploded = train.select(F.col(key), "_g", F.explode(perms).alias("perm"))
+    ranked = cumulative_counts(exploded.select("perm", "_g", hash_order(F.col(key), F.col("perm")).alias("_h")),
+                               ["perm"], "_h", unique_values=True)
     shuffled = ranked.select("perm", "_g", F.col("cum").alias("rank")).join(labels, "rank").select(
         "perm", "_g", F.col("_py").alias("_y"))
     all_train = train.select(F.lit(0).alias("perm"), "_g", "_y").unionByName(shuffled)

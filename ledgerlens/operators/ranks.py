@@ -2,38 +2,30 @@
 
 A window ``ORDER BY value`` without a partition key sends every row to one task,
 and a window partitioned by a hot group does the same for that group. Here the
-distinct (group, value) counts are range-partitioned over the cluster, each
-partition sums its own rows, and only one small summary row per partition goes
-to the driver to turn local running sums into global ones. A group that spans
-many partitions (a skewed group) is spread over many tasks.
+distinct (group, value) counts are range-partitioned over the cluster; running
+sums are taken inside each (range partition, group) and shifted by the totals of
+the same group in earlier range partitions (a small per-partition summary). A
+group that spans many partitions (a skewed group) is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import write_shared
 
 
-def _tokens(pdf: pd.DataFrame, group_cols: Sequence[str]) -> pd.Series:
-    """One text token per row identifying its group (vectorised)."""
-    if not group_cols:
-        return pd.Series([""] * len(pdf), index=pdf.index)
-    tok = pdf[group_cols[0]].astype(str)
-    for c in group_cols[1:]:
-        tok = tok + "\x1f" + pdf[c].astype(str)
-    return tok
+# The per-partition offset table has at most (groups + partitions) rows; it is
+# broadcast when a count proves it under this bound, else joined by shuffle.
+OFFSET_BROADCAST_ROWS = 1_000_000
 
 
-def _local_cumsum(tok: pd.Series, k: pd.Series) -> tuple[pd.Series, pd.Series]:
-    """Running sum of ``k`` restarting at each change of ``tok`` (rows sorted)."""
-    seg = (tok != tok.shift()).cumsum()
-    return k.groupby(seg).cumsum(), seg
+def _small_side(df: DataFrame) -> DataFrame:
+    n = df.limit(OFFSET_BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if n <= OFFSET_BROADCAST_ROWS else df
 
 
 def _partition_count(df: DataFrame) -> int:
@@ -68,76 +60,40 @@ def cumulative_counts(
         extra = [agg.alias(name) for name, agg in (extra_aggs or {}).items()]
         counts = nonnull.groupBy(*group_cols, value_col).agg(weight.cast("long").alias("k"), *extra)
     n_parts = num_partitions or _partition_count(df)
+    # Range-partition and sort; record each row's partition and its position in
+    # the sorted partition, then write the result to the shared folder. The
+    # stored (_pid, _pos) columns make every later step independent of how the
+    # table is read back, and a retried task reproduces the same positions
+    # (same rows per range partition, same sort, distinct keys).
     ranged = (
         counts.repartitionByRange(n_parts, *group_cols, value_col)
         .sortWithinPartitions(*group_cols, value_col)
         .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id()
+                    - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     )
-    # Checkpoint: partitions must be identical in both passes below.
-    ranged = cut_lineage(ranged)
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, first_tok, last_tok, first_sum, last_sum, n_groups = None, None, None, 0, 0, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            tok = _tokens(pdf, group_cols)
-            k = pdf["k"].astype("int64")
-            if first_tok is None:
-                first_tok = tok.iloc[0]
-            # rows are sorted by group: the first group is a prefix of the partition
-            first_sum += int(k[tok == first_tok].sum()) if last_tok in (None, first_tok) else 0
-            seg = (tok != tok.shift()).cumsum()
-            seg_first_tok = tok.groupby(seg).first()
-            seg_sum = k.groupby(seg).sum()
-            for t, ssum in zip(seg_first_tok.tolist(), seg_sum.tolist()):
-                if t != last_tok:
-                    last_tok, last_sum, n_groups = t, 0, n_groups + 1
-                last_sum += int(ssum)
-        if pid is not None:
-            yield pd.DataFrame({
-                "pid": [pid], "first_tok": [first_tok], "last_tok": [last_tok],
-                "first_sum": [first_sum], "last_sum": [last_sum], "n_groups": [n_groups],
-            })
-
-    summary_schema = "pid int, first_tok string, last_tok string, first_sum long, last_sum long, n_groups int"
-    summary = sorted(ranged.mapInPandas(summarise, summary_schema).collect(), key=lambda r: r.pid)
-
-    # Offsets for the first group of each partition (at most n_parts entries).
-    offsets: dict[int, int] = {}
-    carry_tok, carry = None, 0
-    for s in summary:
-        offsets[s.pid] = carry if s.first_tok == carry_tok else 0
-        if s.n_groups == 1 and s.first_tok == carry_tok:
-            carry += s.last_sum
-        else:
-            carry_tok, carry = s.last_tok, s.last_sum
-
-    out_fields = [f for f in ranged.schema.fields if f.name != "_pid"]
-    out_schema = T.StructType(out_fields + [T.StructField("cum", T.LongType())])
-
-    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_tok, running = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            tok = _tokens(pdf, group_cols)
-            k = pdf["k"].astype("int64")
-            local, seg = _local_cumsum(tok, k)
-            if cur_tok is None:
-                carry = offsets.get(pid, 0)
-            else:
-                carry = running if tok.iloc[0] == cur_tok else 0
-            first_seg = seg == seg.iloc[0]
-            cum = local.where(~first_seg, local + carry)
-            cur_tok, running = tok.iloc[-1], int(cum.iloc[-1])
-            out = pdf.drop(columns=["_pid"])
-            out["cum"] = cum.astype("int64").values
-            yield out
-
-    return ranged.mapInPandas(accumulate, out_schema)
+    ranged = write_shared(ranged, "ranks")
+
+    keys = ["_pid", *group_cols]
+    if unique_values:
+        # One row per value: the running count is the position in the partition.
+        per_part = ranged.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_tot"))
+        local = F.col("_pos") - F.col("_first") + 1
+        source = ranged
+    else:
+        # Running sum inside each (range partition, group): a window whose
+        # partitions are bounded by one range partition, even for a hot group.
+        w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        source = ranged.withColumn("_wsum", F.sum("k").over(w))
+        per_part = ranged.groupBy(*keys).agg(F.sum("k").alias("_tot"))
+        local = F.col("_wsum")
+    # Offset of a group in a range partition = its rows in earlier partitions.
+    # One row per (partition, group): at most groups + partitions rows.
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).drop("_tot")
+    offsets = _small_side(offsets)
+    out = source.join(offsets, keys).withColumn("cum", (local + F.col("_off")).cast("long"))
+    return out.drop("_pid", "_pos", "_first", "_wsum", "_off")
 
 
 def exact_percentiles(

@@ -34,8 +34,20 @@ def _labelled(spark, d):
                     (F.col(SPEC.label) == SPEC.positive_label).cast("int").alias("label"))
 
 
+_SPLITS: dict = {}
+
+
 def _split(spark, d, stratified: bool):
-    return LN.assign_split(_labelled(spark, d), "row_key", seed=SEED, stratify="label" if stratified else None)
+    """The K1 split of the labelled facts, written once to the shared folder and
+    reused by every job that trains or scores on it (metrics, CV, conformal,
+    permutation test)."""
+    from ledgerlens.session import write_shared
+
+    key = (id(spark), d, stratified)
+    if key not in _SPLITS:
+        split = LN.assign_split(_labelled(spark, d), "row_key", seed=SEED, stratify="label" if stratified else None)
+        _SPLITS[key] = write_shared(split, "split")
+    return _SPLITS[key]
 
 
 register("train_val_test_split", "K1",
@@ -114,7 +126,7 @@ FROM (SELECT yhat, p, q, coalesce(SUM(q) OVER (ORDER BY yhat ROWS BETWEEN UNBOUN
 
 
 def _conformal(spark, d):
-    roles = LN.conformal_roles(_labelled(spark, d), "row_key", seed=SEED)
+    roles = LN.conformal_roles(_labelled(spark, d), "row_key", seed=SEED, split=_split(spark, d, False))
     scored = LN.group_mean_predictions(roles.where("role = 'fit'"), roles.where("role <> 'fit'"), SPEC.model, "y")
     out = LN.split_conformal(scored, "y", "yhat", "role", alpha=0.1)
     return out.select("alpha", *[F.round(c, 9).alias(c) for c in

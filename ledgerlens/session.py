@@ -69,3 +69,16 @@ def cut_lineage(df, *, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_shared(df, name: str = "stage"):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One job, columnar and compressed; the result has no lineage to replay, and
+    its columns (not its partitioning) carry whatever positions were computed.
+    """
+    import uuid
+
+    path = os.path.join(checkpoint_dir(df.sparkSession), "ledgerlens-stage", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
