@@ -45,7 +45,12 @@ def register(name: str, survey_ids: str, oracle: str | None = None):
 
 
 def _source_signature(sf_dir: str) -> str:
-    parts = []
+    """Key of a written fact table: the source files and the adapter's code."""
+    import inspect
+
+    from ledgerlens.sources import facts as adapter
+
+    parts = [hashlib.sha1(inspect.getsource(adapter).encode()).hexdigest(), repr(TPCH_SPEC)]
     for t in FACT_SOURCES:
         p = os.path.join(sf_dir, f"{t}.parquet")
         st = os.stat(p) if os.path.exists(p) else None
