@@ -103,6 +103,9 @@ def _noise(source: str, window: PanelWindow, stream: str) -> Column:
                        F.lit(window.end_year), F.col("year"), F.lit(stream))
 
 
+# Panel values are rounded half-even (``bround``), as NumPy rounds them.
+
+
 # -- L6 macro -----------------------------------------------------------------
 def macro_panel(sp: DataFrame, window: PanelWindow) -> DataFrame:
     """L6 + C1 + E4: GDP per capita (running-sum growth path) and inflation.
@@ -116,12 +119,12 @@ def macro_panel(sp: DataFrame, window: PanelWindow) -> DataFrame:
     gdp = (
         sp.withColumn("_step", step)
         .withColumn("_growth", F.lit(1.0) + F.sum("_step").over(w) / F.lit(10.0))
-        .select("region", "year", F.round(_param(pr, GDP_BASE, GDP_DEFAULT) * F.col("_growth"), 0)
+        .select("region", "year", F.bround(_param(pr, GDP_BASE, GDP_DEFAULT) * F.col("_growth"), 0)
                 .alias("gdp_per_capita_usd"))
     )
     inflation = sp.select(
         "region", "year",
-        F.round(_param(pr, INFLATION_BASE, INFLATION_DEFAULT)
+        F.bround(_param(pr, INFLATION_BASE, INFLATION_DEFAULT)
                 + F.lit(INFLATION_SD) * _noise("worldbank", window, "inflation"), 2).alias("inflation_pct"),
     )
     return inflation.join(gdp, ["region", "year"], "full_outer")
@@ -143,9 +146,9 @@ def co2_panel(sp: DataFrame, window: PanelWindow) -> DataFrame:
     )
     return sp.select(
         "region", "year",
-        F.round(noisy, 1).alias("regulation_stringency_index"),
-        F.round(target, 1).alias("fleet_co2_target_g_km"),
-        F.round(F.greatest(emissions, F.lit(EMISSIONS_FLOOR)), 3).alias("co2_emissions_pc"),
+        F.bround(noisy, 1).alias("regulation_stringency_index"),
+        F.bround(target, 1).alias("fleet_co2_target_g_km"),
+        F.bround(F.greatest(emissions, F.lit(EMISSIONS_FLOOR)), 3).alias("co2_emissions_pc"),
     )
 
 
@@ -161,7 +164,7 @@ def fx_panel(sp: DataFrame, window: PanelWindow) -> DataFrame:
     )
     return sp.select(
         "region", "year", currency.alias("currency"),
-        F.when(currency == "USD", F.lit(1.0)).otherwise(F.round(rate, 5)).alias("usd_per_unit"),
+        F.when(currency == "USD", F.lit(1.0)).otherwise(F.bround(rate, 5)).alias("usd_per_unit"),
     )
 
 
@@ -184,7 +187,7 @@ def fuel_panel(facts: DataFrame, spec: TableSpec, window: PanelWindow) -> DataFr
     mult = value_map(family, FUEL_MULTIPLIER, 1.0)
     return sp.select(
         "region", "year", "fuel_type",
-        F.round(F.greatest(petrol * mult, F.lit(FUEL_FLOOR)), 3).alias("price_usd_per_litre"),
+        F.bround(F.greatest(petrol * mult, F.lit(FUEL_FLOOR)), 3).alias("price_usd_per_litre"),
     )
 
 
@@ -309,10 +312,10 @@ def macro_defaults(panel: DataFrame, fuel: DataFrame, as_of_year: int, lookback:
     )
     return macro.join(fuel_now, "region", "full_outer").select(
         "region",
-        F.round(F.coalesce(F.col("_infl"), F.lit(DEFAULT_INFLATION)), 2).alias("inflation_pct"),
-        F.round(growth, 2).alias("gdp_growth_pct"),
-        F.round(F.coalesce(F.col("_str"), F.lit(DEFAULT_STRINGENCY)), 1).alias("regulation_stringency"),
-        F.round(F.coalesce(F.col("_fuel"), F.lit(DEFAULT_FUEL_PRICE)), 3).alias("fuel_price_usd_per_litre"),
+        F.bround(F.coalesce(F.col("_infl"), F.lit(DEFAULT_INFLATION)), 2).alias("inflation_pct"),
+        F.bround(growth, 2).alias("gdp_growth_pct"),
+        F.bround(F.coalesce(F.col("_str"), F.lit(DEFAULT_STRINGENCY)), 1).alias("regulation_stringency"),
+        F.bround(F.coalesce(F.col("_fuel"), F.lit(DEFAULT_FUEL_PRICE)), 3).alias("fuel_price_usd_per_litre"),
     )
 
 

@@ -312,3 +312,21 @@ def stack_fit_stats(results: Sequence[OLSResult], spark: SparkSession) -> DataFr
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def linear_attribution(df: DataFrame, y: str, terms: Sequence[str], result: OLSResult) -> DataFrame:
+    """K15/H8 (exact for linear models): mean |β_j·(x_j − x̄_j)| per design column.
+
+    Two aggregate passes: column means, then the mean absolute contribution;
+    sorted descending.
+    """
+    design = build_design(df, y, terms)
+    data = _design_frame(df.select(*design.source_columns), design)
+    idx = [i for i, t in enumerate(design.terms) if t != "Intercept"]
+    means = data.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in idx]).first()
+    contrib = data.agg(*[
+        F.avg(F.abs(F.lit(float(result.coef[i])) * (F.col(f"x{i}") - F.lit(means[f"m{i}"])))).alias(f"a{i}")
+        for i in idx
+    ]).first()
+    rows = sorted(((design.terms[i], float(contrib[f"a{i}"])) for i in idx), key=lambda r: -r[1])
+    return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_attribution double")

@@ -375,3 +375,35 @@ def _metrics_nested(spark, d):
 
 
 register("metrics_nested_json", "A12")(_metrics_nested)
+
+
+def _artefacts(spark, d):
+    """Fit, save with its feature list, log the run, write the report
+    tables, and reuse the saved model only when the feature list matches."""
+    import os
+
+    from ledgerlens.sources import sinks as SK
+
+    frame, num, cat = LN.model_frame(facts(spark, d), SPEC, "regression")
+    split = _split(spark, d, False).select("row_key", "split").join(frame, "row_key")
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    root = SK.default_root(spark, "artefacts")
+    features = [*num, *cat]
+    model, metrics = LN.train_one(train, test, num, cat, "regression", "Linear", seed=SEED)
+    SK.save_model(model, os.path.join(root, "linear"), features)
+    run_id = SK.log_run(spark, os.path.join(root, "runs"), model="Linear", task="regression",
+                        params={"features": len(features)}, metrics=metrics)
+    reused = SK.load_model_if_compatible(spark, os.path.join(root, "linear"), features)
+    refused = SK.load_model_if_compatible(spark, os.path.join(root, "linear"), features[:-1])
+    metrics_df = spark.createDataFrame([("regression", "Linear", k, float(v)) for k, v in metrics.items()],
+                                       "task string, model string, metric string, value double")
+    SK.write_report_tables({"metrics": metrics_df}, os.path.join(root, "report"))
+    logged = spark.read.parquet(os.path.join(root, "runs")).where(F.col("run_id") == run_id).count()
+    return spark.createDataFrame(
+        [("model_reused_when_features_match", float(reused is not None)),
+         ("model_refused_when_features_differ", float(refused is None)),
+         ("run_log_rows", float(logged))] + [(f"test_{k}", float(v)) for k, v in metrics.items()],
+        "item string, value double")
+
+
+register("model_artefacts_and_run_log", "A14 A15 A16 K2")(_artefacts)

@@ -37,9 +37,9 @@ sp AS (
 ),
 mac AS (
   SELECT region, year,
-    ROUND({case_map('panel_region', PN.INFLATION_BASE, PN.INFLATION_DEFAULT)}
+    round_even({case_map('panel_region', PN.INFLATION_BASE, PN.INFLATION_DEFAULT)}
           + {dbl(PN.INFLATION_SD)} * {_noise_sql('worldbank', 'inflation')}, 2) AS inflation_pct,
-    ROUND({case_map('panel_region', PN.GDP_BASE, PN.GDP_DEFAULT)}
+    round_even({case_map('panel_region', PN.GDP_BASE, PN.GDP_DEFAULT)}
           * ({dbl(1)} + SUM({dbl(PN.GDP_GROWTH_MEAN)} + {dbl(PN.GDP_GROWTH_SD)} * {_noise_sql('worldbank', 'gdp')})
              OVER (PARTITION BY region ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / {dbl(10)}),
           0) AS gdp_per_capita_usd
@@ -47,11 +47,11 @@ mac AS (
 ),
 co2 AS (
   SELECT region, year,
-    ROUND({_clip_sql(f"{CURATED} + {dbl(PN.STRINGENCY_NOISE_SD)} * {_noise_sql('co2_regulations', 'stringency')}", 0, 100)}, 1)
+    round_even({_clip_sql(f"{CURATED} + {dbl(PN.STRINGENCY_NOISE_SD)} * {_noise_sql('co2_regulations', 'stringency')}", 0, 100)}, 1)
       AS regulation_stringency_index,
-    ROUND(greatest({dbl(PN.CO2_TARGET_2010)} - {dbl(PN.CO2_TARGET_SLOPE)} * ({CURATED} - {STR_BASE}),
+    round_even(greatest({dbl(PN.CO2_TARGET_2010)} - {dbl(PN.CO2_TARGET_SLOPE)} * ({CURATED} - {STR_BASE}),
                    {dbl(PN.CO2_TARGET_FLOOR)}), 1) AS fleet_co2_target_g_km,
-    ROUND(greatest({case_map('panel_region', PN.EMISSIONS_BASE, PN.EMISSIONS_DEFAULT)}
+    round_even(greatest({case_map('panel_region', PN.EMISSIONS_BASE, PN.EMISSIONS_DEFAULT)}
                    * ({dbl(1)} - {dbl(PN.EMISSIONS_DECLINE)} * (year - 2015))
                    * ({dbl(1)} + {dbl(PN.EMISSIONS_NOISE_SD)} * {_noise_sql('co2_regulations', 'emissions')}),
                    {dbl(PN.EMISSIONS_FLOOR)}), 3) AS co2_emissions_pc
@@ -59,7 +59,7 @@ co2 AS (
 ),
 fx AS (
   SELECT region, year, currency,
-    CASE WHEN currency = 'USD' THEN {dbl(1)} ELSE ROUND(
+    CASE WHEN currency = 'USD' THEN {dbl(1)} ELSE round_even(
       {case_map('currency', PN.FX_ANCHOR, PN.FX_ANCHOR_DEFAULT)}
       * pow({dbl(1)} + {case_map('currency', PN.FX_DRIFT, PN.FX_DRIFT_DEFAULT)}, CAST(year - {PN.FX_ANCHOR_YEAR} AS DOUBLE))
       * ({dbl(1)} + {dbl(PN.FX_NOISE_SD)} * {_noise_sql('fx_rates', 'fx')}), 5) END AS usd_per_unit
@@ -78,7 +78,7 @@ fsp AS (
 ),
 fuel AS (
   SELECT region, year, fuel_type,
-    ROUND(greatest({case_map('panel_region', PN.FUEL_BASELINE, PN.FUEL_DEFAULT)}
+    round_even(greatest({case_map('panel_region', PN.FUEL_BASELINE, PN.FUEL_DEFAULT)}
                    * ({dbl(1)} + {dbl(PN.FUEL_DRIFT)} * (year - 2017))
                    * ({dbl(1)} + {dbl(PN.FUEL_SHOCK_SD)} * {_noise_sql('fuel_prices', 'petrol')})
                    * {case_map(case_map('fuel_type', SPEC.fuel_family, 'Petrol'), PN.FUEL_MULTIPLIER, 1.0)},
@@ -175,11 +175,11 @@ register(
     "macro_defaults", "E5 D18",
     panel_sql("""
 SELECT m.region,
-       ROUND(coalesce(m.infl, 3.0), 2) AS inflation_pct,
-       ROUND(CASE WHEN m.g_n >= 2 THEN (pow(m.g_last / m.g_first, 1.0 / greatest(m.g_n - 1, 1)) - 1.0) * 100.0
+       round_even(coalesce(m.infl, 3.0), 2) AS inflation_pct,
+       round_even(CASE WHEN m.g_n >= 2 THEN (pow(m.g_last / m.g_first, 1.0 / greatest(m.g_n - 1, 1)) - 1.0) * 100.0
                   ELSE 2.0 END, 2) AS gdp_growth_pct,
-       ROUND(coalesce(m.str, 50.0), 1) AS regulation_stringency,
-       ROUND(coalesce(fu.fp, 1.0), 3) AS fuel_price_usd_per_litre
+       round_even(coalesce(m.str, 50.0), 1) AS regulation_stringency,
+       round_even(coalesce(fu.fp, 1.0), 3) AS fuel_price_usd_per_litre
 FROM (
   SELECT region,
          arg_max(inflation_pct, year) FILTER (WHERE inflation_pct IS NOT NULL) AS infl,

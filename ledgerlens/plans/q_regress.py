@@ -100,3 +100,34 @@ def _econometric_summary(spark, d):
 
 
 register("econometric_summary", "J4 J8 J9")(_econometric_summary)
+
+
+def _attr_naive(spark, d):
+    data = RG.positive_log_target(add_engineered_features(facts(spark, d), SPEC), SPEC)
+    res = RG.ols_hc3(data, "log_volume", ["log_price"], name="naive")
+    out = RG.linear_attribution(data, "log_volume", ["log_price"], res)
+    from pyspark.sql import functions as F
+
+    return out.select("feature", F.round("mean_abs_attribution", 9).alias("mean_abs_attribution"))
+
+
+register(
+    "linear_attribution_naive", "K15 H8",
+    with_sales("""
+SELECT 'log_price' AS feature, ROUND(avg(abs(b * (log_price - mx))), 9) AS mean_abs_attribution
+FROM feat, (SELECT covar_pop(log_price, ln(CAST(Sales_Volume AS DOUBLE))) / var_pop(log_price) AS b,
+                   avg(log_price) AS mx FROM feat WHERE Sales_Volume > 0) st
+WHERE Sales_Volume > 0""", features=True),
+)(_attr_naive)
+
+
+def _attr_synthetic(spark, d):
+    from ledgerlens.operators import audit as AU
+
+    data = AU.signal_bearing_target(facts(spark, d), SPEC)
+    terms = [f"C({SPEC.region})", "is_premium_tier", SPEC.engine, SPEC.year, SPEC.price, "is_electrified"]
+    res = RG.ols_hc3(data, "synthetic_demand", terms, name="synthetic")
+    return RG.linear_attribution(data, "synthetic_demand", terms, res)
+
+
+register("linear_attribution_synthetic", "K15 H8")(_attr_synthetic)

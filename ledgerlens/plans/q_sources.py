@@ -1,4 +1,4 @@
-"""Queries: type coercion, SQL-text views, JSON payloads, provenance."""
+"""Queries: loading, coercion, SQL-text views, JSON payloads, cache, provenance."""
 
 from __future__ import annotations
 
@@ -169,3 +169,61 @@ FROM (SELECT DISTINCT source, provenance FROM prov) p GROUP BY provenance""",
 )(lambda spark, d: PN.provenance_summary(_provenance_rows(spark, d)))
 
 _ = PANEL_CTES  # panel CTEs are reused by the FX payload oracle through panel_sql
+
+
+# -- A1 / A2 / G3 / A6 ---------------------------------------------------------------------
+def _csv_roundtrip(spark, d):
+    """Write the facts as CSV with a header into the shared folder, load them
+    back with the schema check and type coercion."""
+    import os
+    import uuid
+
+    from ledgerlens.session import checkpoint_dir
+
+    path = os.path.join(checkpoint_dir(spark), "ledgerlens-stage", f"csv-{uuid.uuid4().hex}")
+    facts(spark, d).select(*SPEC.fact_columns).write.option("header", True).csv(path)
+    return SRC.load_raw(spark, path, fmt="csv")
+
+
+register(
+    "csv_roundtrip_facts", "A1 A2 A3",
+    with_sales("""
+SELECT Model, CAST(Year AS SMALLINT) AS Year, Region, Color, Fuel_Type, Transmission,
+       CAST(Engine_Size_L AS FLOAT) AS Engine_Size_L, CAST(Mileage_KM AS INT) AS Mileage_KM,
+       CAST(trunc(Price_USD) AS INT) AS Price_USD, CAST(Sales_Volume AS INT) AS Sales_Volume, Sales_Classification
+FROM sales"""),
+)(_csv_roundtrip)
+
+
+def _schema_report(spark, d):
+    from ledgerlens.operators.profile import column_difference
+    from ledgerlens.spec import FACT_COLUMNS
+
+    have = facts(spark, d).columns
+    missing, extra = column_difference(have, FACT_COLUMNS)
+    rows = [(c, "present") for c in FACT_COLUMNS if c in have]
+    rows += [(c, "missing") for c in missing] + [(c, "unexpected") for c in extra]
+    return spark.createDataFrame(rows, "column_name string, status string")
+
+
+register(
+    "schema_check_report", "A2 G3",
+    "SELECT column_name, CASE WHEN column_name = 'row_key' THEN 'unexpected' ELSE 'present' END AS status FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name" for c in (*SPEC.fact_columns, "row_key")) + ") c",
+)(_schema_report)
+
+
+def _cached_panel(spark, d):
+    f = facts(spark, d)
+    window = PN.year_window(f, SPEC)
+    params = {"source": "external_panel", "sf_dir": d, "start_year": window.start_year,
+              "end_year": window.end_year}
+    panel, _ = PL.cached_frame(spark, "external_panel", params,
+                               lambda: PN.build_external_panel(f, SPEC, window)[0])
+    return panel.select("region", "year", "inflation_pct", "gdp_per_capita_usd", "regulation_stringency_index",
+                        "fleet_co2_target_g_km", "co2_emissions_pc", "currency", "usd_per_unit")
+
+
+register("cached_external_panel", "A6",
+         panel_sql("SELECT region, year, inflation_pct, gdp_per_capita_usd, regulation_stringency_index, "
+                   "fleet_co2_target_g_km, co2_emissions_pc, currency, usd_per_unit FROM panel"))(_cached_panel)

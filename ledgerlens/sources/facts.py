@@ -50,10 +50,25 @@ def check_columns(columns: list[str], expected: tuple[str, ...] = FACT_COLUMNS)
 
 
 # -- A3 type coercion -----------------------------------------------------------
+_INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
+
+
 def coerce_types(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
-    """Cast each canonical column to its declared type, keeping column order."""
+    """Cast each canonical column to its declared type, keeping column order.
+
+    Text headed for an integer type goes through DOUBLE first, so "901.0"
+    becomes 901 (truncated) while non-numeric text still fails the ANSI cast.
+    """
     types = dict(part.strip().split(" ", 1) for part in ddl.split(","))
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+    dtypes = dict(df.dtypes)
+
+    def cast(c):
+        t = types[c]
+        if t.upper() in _INTEGRAL and dtypes[c] == "string":
+            return F.col(c).cast("double").cast(t)
+        return F.col(c).cast(t)
+
+    return df.select(*[cast(c).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
 def count_bad_casts(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
