@@ -101,15 +101,20 @@ def exact_percentiles(
     group_cols: Sequence[str],
     value_col: str,
     quantiles: dict[str, float],
+    *,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Exact percentiles by linear interpolation (position ``q·(n−1)``).
 
     Same definition as SQL ``percentile`` / ``quantile_cont`` but without holding
     a value map per group in one task: ranks come from :func:`cumulative_counts`.
+    ``dedupe=True`` first counts each distinct value (best when values repeat a
+    lot); ``dedupe=False`` ranks the rows themselves by position (best for
+    near-continuous values: no counting shuffle, no window). Both are exact.
     Returns one row per group with one column per entry of ``quantiles``.
     """
     group_cols = list(group_cols)
-    cc = cumulative_counts(df.select(*group_cols, value_col), group_cols, value_col)
+    cc = cumulative_counts(df.select(*group_cols, value_col), group_cols, value_col, unique_values=not dedupe)
     totals = cc.groupBy(*group_cols).agg(F.sum("k").alias("_n"))
     if group_cols:
         with_n = cc.join(totals, group_cols)

@@ -178,12 +178,7 @@ FROM (
 
 
 def _chi2_pairs(spark, d, with_p):
-    f = facts(spark, d)
-    frames = [AU.chi2_independence(f, a, b, with_p=with_p) for a, b in CHI_PAIRS]
-    out = frames[0]
-    for fr in frames[1:]:
-        out = out.unionByName(fr)
-    return out
+    return AU.chi2_pairs(facts(spark, d), CHI_PAIRS, with_p=with_p)
 
 
 register("chi2_independence", "I8 D11",
