@@ -64,7 +64,7 @@ def _anova_levels_sql() -> str:
 register(
     "anova_by_category", "I3",
     with_sales(f"""
-SELECT p.feature, p.n_groups, p.n_groups - 1 AS df_between, p.n_obs - p.n_groups AS df_within,
+SELECT p.feature, p.n_groups, p.n_groups - 1 AS df_between, CAST(p.n_obs - p.n_groups AS BIGINT) AS df_within,
        ROUND(CASE WHEN p.n_groups >= 2 THEN (s.ssb / (p.n_groups - 1)) / nullif(s.ssw / (p.n_obs - p.n_groups), 0) END, 6)
          AS f_stat
 FROM (SELECT feature, COUNT(*) AS n_groups, SUM(n) AS n_obs, SUM(n * m) / SUM(n) AS grand FROM lv GROUP BY feature) p
