@@ -108,48 +108,49 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ())
     )
 
 
+def _score_table(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Per distinct score (and ``by`` group): rows ``k``, positives ``p`` and the
+    running count ``cum`` from the distributed rank helper."""
+    pos = F.sum(F.col(label).cast("long"))
+    return cumulative_counts(df.select(*by, label, score), list(by), score, extra_aggs={"p": pos})
+
+
+def _auc_expr() -> tuple[list, Column]:
+    midrank = (F.col("cum") - F.col("k")).cast("double") + (F.col("k") + 1) / 2.0
+    aggs = [F.sum(F.col("p") * midrank).alias("_r"), F.sum("p").alias("_P"), F.sum("k").alias("_N")]
+    big_p = F.col("_P").cast("double")
+    u = F.col("_r") - big_p * (big_p + 1) / 2.0
+    return aggs, F.try_divide(u, big_p * (F.col("_N") - F.col("_P"))).alias("roc_auc")
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """K8: exact ROC-AUC with tied scores averaged (Mann–Whitney on mid-ranks).
 
     Per distinct score: k rows of which p positive; mid-rank = (cum − k) + (k + 1)/2.
-    AUC = (Σ p·midrank − P(P+1)/2) / (P·Q). Running counts come from the
-    distributed rank helper; a one-class group gives NULL.
+    AUC = (Σ p·midrank − P(P+1)/2) / (P·Q). A one-class group gives NULL.
     """
-    pos = F.sum(F.col(label).cast("long"))
-    cc = cumulative_counts(df.select(*by, label, score), list(by), score, extra_aggs={"p": pos})
-    midrank = (F.col("cum") - F.col("k")).cast("double") + (F.col("k") + 1) / 2.0
-    agg = cc.groupBy(*by).agg(F.sum(F.col("p") * midrank).alias("_r"), F.sum("p").alias("_P"),
-                              F.sum("k").alias("_N"))
-    big_p = F.col("_P").cast("double")
-    u = F.col("_r") - big_p * (big_p + 1) / 2.0
-    return agg.select(*by, F.try_divide(u, big_p * (F.col("_N") - F.col("_P"))).alias("roc_auc"))
+    aggs, auc = _auc_expr()
+    return _score_table(df, label, score, by).groupBy(*by).agg(*aggs).select(*by, auc)
 
 
 def classification_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
                            threshold: float = 0.5) -> DataFrame:
-    """K8: ROC-AUC, accuracy and F1 (0 when undefined) of ``score >= threshold``."""
-    pred = (F.col(score) >= threshold).cast("int")
-    y = F.col(label).cast("int")
-    counts = df.groupBy(*by).agg(
-        F.avg((pred == y).cast("double")).alias("accuracy"),
-        F.sum(((pred == 1) & (y == 1)).cast("long")).alias("_tp"),
-        F.sum(((pred == 1) & (y == 0)).cast("long")).alias("_fp"),
-        F.sum(((pred == 0) & (y == 1)).cast("long")).alias("_fn"),
-    )
+    """K8: ROC-AUC, accuracy and F1 (0 when undefined) of ``score >= threshold``.
+
+    All three come from the same per-score table: TP, FP and FN are sums of
+    positives / negatives on either side of the threshold.
+    """
+    aggs, auc = _auc_expr()
+    hi = F.col(score) >= F.lit(threshold)
+    neg = F.col("k") - F.col("p")
+    aggs += [F.sum(F.when(hi, F.col("p")).otherwise(0)).alias("_tp"),
+             F.sum(F.when(hi, neg).otherwise(0)).alias("_fp"),
+             F.sum(F.when(~hi, F.col("p")).otherwise(0)).alias("_fn")]
+    agg = _score_table(df, label, score, by).groupBy(*by).agg(*aggs)
+    tn = F.col("_N") - F.col("_P") - F.col("_fp")
+    accuracy = (F.col("_tp") + tn).cast("double") / F.col("_N")
     f1 = F.coalesce(F.try_divide(2.0 * F.col("_tp"), 2.0 * F.col("_tp") + F.col("_fp") + F.col("_fn")), F.lit(0.0))
-    out = counts.select(*by, "accuracy", f1.alias("f1"))
-    auc = roc_auc(df, label, score, by)
-    return auc.join(out, list(by)) if by else _attach_scalar_row(auc, out)
-
-
-def _attach_scalar_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row frames by values (no join needed)."""
-    ra, rb = a.first(), b.first()
-    spark = a.sparkSession
-    cols = a.columns + b.columns
-    vals = [ra[c] for c in a.columns] + [rb[c] for c in b.columns]
-    types = ", ".join(f"{c} double" for c in cols)
-    return spark.createDataFrame([tuple(None if v is None else float(v) for v in vals)], types)
+    return agg.select(*by, auc, accuracy.alias("accuracy"), f1.alias("f1"))
 
 
 # -- group-mean predictor (closed-form scorer) -------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dist import chi2_sf_col  # noqa: F401  (p-values of the audit job)
 from ledgerlens.operators import audit as AU
 from ledgerlens.operators import learn as LN
 from ledgerlens.plans.catalogue import facts, register
