@@ -310,17 +310,17 @@ def permutation_pvalue(scores: DataFrame) -> DataFrame:
 
 # -- K3–K6, K9, K16 Spark ML learners ---------------------------------------------------
 REGRESSORS = {
-    "GBT": lambda seed: GBTRegressor(featuresCol="features", labelCol="label", seed=seed, maxIter=60,
+    "GBT": lambda seed: GBTRegressor(featuresCol="features", labelCol="label", seed=seed, maxIter=40,
                                      stepSize=0.1, maxDepth=5),
     "RandomForest": lambda seed: RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed,
-                                                       numTrees=60, maxDepth=8),
+                                                       numTrees=40, maxDepth=8),
     "Linear": lambda seed: LinearRegression(featuresCol="features", labelCol="label"),
 }
 CLASSIFIERS = {
-    "GBT": lambda seed: GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=60,
+    "GBT": lambda seed: GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=40,
                                       stepSize=0.1, maxDepth=5),
     "RandomForest": lambda seed: RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
-                                                        numTrees=60, maxDepth=8),
+                                                        numTrees=40, maxDepth=8),
     "Logistic": lambda seed: LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
 }
 
