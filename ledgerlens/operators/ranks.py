@@ -28,10 +28,6 @@ def _small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= OFFSET_BROADCAST_ROWS else df
 
 
-def _partition_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def cumulative_counts(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -59,14 +55,17 @@ def cumulative_counts(
         weight = F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))
         extra = [agg.alias(name) for name, agg in (extra_aggs or {}).items()]
         counts = nonnull.groupBy(*group_cols, value_col).agg(weight.cast("long").alias("k"), *extra)
-    n_parts = num_partitions or _partition_count(df)
     # Range-partition and sort; record each row's partition and its position in
     # the sorted partition, then write the result to the shared folder. The
     # stored (_pid, _pos) columns make every later step independent of how the
     # table is read back, and a retried task reproduces the same positions
-    # (same rows per range partition, same sort, distinct keys).
+    # (same rows per range partition, same sort, distinct keys). Without an
+    # explicit count, AQE sizes the range partitions (it only merges adjacent
+    # ones, so the order across partitions is kept).
+    by_range = (counts.repartitionByRange(num_partitions, *group_cols, value_col) if num_partitions
+                else counts.repartitionByRange(*group_cols, value_col))
     ranged = (
-        counts.repartitionByRange(n_parts, *group_cols, value_col)
+        by_range
         .sortWithinPartitions(*group_cols, value_col)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id()
