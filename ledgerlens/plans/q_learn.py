@@ -250,7 +250,23 @@ scores AS (
   GROUP BY p.perm)"""
 register("permutation_scores_group_mean", "I9 E6",
          with_sales("SELECT CAST(perm AS INT) AS perm, ROUND(r2, 9) AS r2 FROM scores", extra_ctes=_PERM_CTES))(_perm)
-register("permutation_pvalue_group_mean", "I9")(lambda spark, d: LN.permutation_pvalue(_perm(spark, d)))
+def _perm_pvalue(spark, d):
+    out = LN.permutation_pvalue(_perm(spark, d))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("observed", "null_mean", "null_std")],
+                      "n_permutations", F.round("p_value", 9).alias("p_value"), "has_signal")
+
+
+register(
+    "permutation_pvalue_group_mean", "I9",
+    with_sales("""
+SELECT ROUND(o.r2, 9) AS observed, ROUND(avg(n.r2), 9) AS null_mean, ROUND(stddev_pop(n.r2), 9) AS null_std,
+       COUNT(*) AS n_permutations,
+       ROUND((sum(CASE WHEN n.r2 >= o.r2 THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0), 9) AS p_value,
+       (sum(CASE WHEN n.r2 >= o.r2 THEN 1 ELSE 0 END) + 1) / (COUNT(*) + 1.0) < 0.05 AS has_signal
+FROM (SELECT perm, ROUND(r2, 9) AS r2 FROM scores) n,
+     (SELECT ROUND(r2, 9) AS r2 FROM scores WHERE perm = 0) o
+WHERE n.perm > 0 GROUP BY o.r2""", extra_ctes=_PERM_CTES),
+)(_perm_pvalue)
 
 
 # -- learners (rows-only) ------------------------------------------------------------------
