@@ -159,7 +159,25 @@ FROM (SELECT x, k, CAST(SUM(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING
 register("ks_uniform", "I7 E6", _ks_sql())(
     lambda spark, d: AU.ks_uniform(facts(spark, d), NUM, with_p=False)
 )
-register("ks_uniform_pvalues", "I7")(lambda spark, d: AU.ks_uniform(facts(spark, d), NUM))
+def _ks_pvalues(spark, d):
+    out = AU.ks_uniform(facts(spark, d), NUM)
+    return out.select("feature", "n", "d_stat", F.round("p_value", 9).alias("p_value"))
+
+
+def _ks_p_oracle() -> str:
+    body = _ks_sql()
+    # _ks_sql() is "WITH sales AS (...)\nSELECT ..."; wrap its final SELECT as a subquery.
+    head, select = body.split("\nSELECT feature, CAST(n AS BIGINT) AS n, d_stat FROM (", 1)
+    inner = "SELECT feature, CAST(n AS BIGINT) AS n, d_stat FROM (" + select
+    return head + f"""
+SELECT feature, n, d_stat,
+       ROUND(CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0,
+             (SELECT sum(2.0 * (CASE WHEN s.k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * s.k * s.k * lam * lam))
+              FROM (SELECT unnest(generate_series(1, 199)) AS k) s))) END, 9) AS p_value
+FROM (SELECT feature, n, d_stat, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d_stat AS lam FROM ({inner}) x) y"""
+
+
+register("ks_uniform_pvalues", "I7", _ks_p_oracle())(_ks_pvalues)
 
 
 def _chi2_sql(a: str, b: str, yates: bool) -> str:
