@@ -75,9 +75,37 @@ JOIN (SELECT lv.feature, SUM(lv.n * (lv.m - g.grand) * (lv.m - g.grand)) AS ssb,
 )(lambda spark, d: AU.anova_by_category(facts(spark, d), CAT, SPEC.volume, with_p=False).select(
     "feature", "n_groups", "df_between", "df_within", F.round("f_stat", 6).alias("f_stat")))
 
-register("anova_pvalues", "I3")(
-    lambda spark, d: AU.anova_by_category(facts(spark, d), CAT, SPEC.volume)
-)
+_ANOVA_SELECT = f"""
+SELECT p.feature, p.n_groups, p.n_groups - 1 AS df_between, CAST(p.n_obs - p.n_groups AS BIGINT) AS df_within,
+       CASE WHEN p.n_groups >= 2 THEN (s.ssb / (p.n_groups - 1)) / nullif(s.ssw / (p.n_obs - p.n_groups), 0) END
+         AS f_raw
+FROM (SELECT feature, COUNT(*) AS n_groups, SUM(n) AS n_obs, SUM(n * m) / SUM(n) AS grand FROM lv GROUP BY feature) p
+JOIN (SELECT lv.feature, SUM(lv.n * (lv.m - g.grand) * (lv.m - g.grand)) AS ssb, SUM(lv.n * lv.v) AS ssw
+      FROM lv JOIN (SELECT feature, SUM(n * m) / SUM(n) AS grand FROM lv GROUP BY feature) g USING (feature)
+      GROUP BY lv.feature) s USING (feature)"""
+
+
+def _anova_p(spark, d):
+    out = AU.anova_by_category(facts(spark, d), CAT, SPEC.volume)
+    return out.select("feature", "n_groups", "df_between", "df_within", F.round("f_stat", 6).alias("f_stat"),
+                      F.round("p_value", 9).alias("p_value"))
+
+
+# F tail: P(F > f) = 1 − I_y(d1/2, d2/2), y = d1·f/(d2 + d1·f), with
+# I_y(p, q) = y^p (1−y)^q / (p·B(p, q)) · Σ_n (p+q)_n / (p+1)_n · y^n.
+register(
+    "anova_pvalues", "I3",
+    with_sales(f"""
+SELECT feature, n_groups, df_between, df_within, ROUND(f_raw, 6) AS f_stat,
+       ROUND(CASE WHEN f_raw IS NULL THEN NULL WHEN f_raw <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - exp(
+             pp * ln(y) + qq * ln(1.0 - y) - ln(pp) - (lgamma(pp) + lgamma(qq) - lgamma(pp + qq)))
+             * (SELECT sum(exp(lgamma(pp + qq + s.k) - lgamma(pp + qq) - lgamma(pp + 1 + s.k) + lgamma(pp + 1)
+                               + s.k * ln(y)))
+                FROM (SELECT unnest(generate_series(0, 20000)) AS k) s))) END, 9) AS p_value
+FROM (SELECT *, df_between / 2.0 AS pp, df_within / 2.0 AS qq,
+             df_between * f_raw / (df_within + df_between * f_raw) AS y
+      FROM ({_ANOVA_SELECT}) a) b""", extra_ctes=f"lv AS (SELECT * FROM ({_anova_levels_sql()}) x WHERE n > 1)"),
+)(_anova_p)
 
 
 def _bin_sql(c: str) -> str:
