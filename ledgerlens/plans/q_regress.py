@@ -36,7 +36,26 @@ register("price_elasticity_hc3", "J1 J2 J5 B3 B11", ELASTICITY_SQL)(
     lambda spark, d: RG.price_elasticity(facts(spark, d), SPEC).select(
         "elasticity", "std_err", "ci_low", "ci_high", "n_obs")
 )
-register("price_elasticity_report", "J5")(lambda spark, d: RG.price_elasticity(facts(spark, d), SPEC))
+# Two-sided normal p: 2·(1 − Φ(|z|)), Φ(x) = 1/2 + φ(x)·Σ_n x^(2n+1)/(2n+1)!!, with
+# (2n+1)!! = 2^(n+1)·Γ(n + 3/2)/√π.
+_REPORT_HEAD = """SELECT ROUND(b1, 6) AS elasticity, ROUND(se, 6) AS std_err, ROUND(p, 6) AS p_value,
+       ROUND(b1 - 1.959963984540054 * se, 6) AS ci_low, ROUND(b1 + 1.959963984540054 * se, 6) AS ci_high,
+       CAST(n AS BIGINT) AS n_obs, p < 0.05 AS is_significant,
+       CASE WHEN p < 0.05 THEN printf('Demand is %s (elasticity %+.3f).',
+                                      CASE WHEN abs(b1) > 1 THEN 'elastic' ELSE 'inelastic' END, b1)
+            ELSE 'Not statistically distinguishable from zero - no measurable price sensitivity in this dataset.'
+       END AS interpretation
+FROM (SELECT b1, n, se, CASE WHEN az = 0 THEN 1.0 ELSE greatest(0.0, 2.0 * (0.5 - exp(-az * az / 2.0) / sqrt(2 * pi())
+             * (SELECT sum(exp((2 * s.k + 1) * ln(az) - (s.k + 1) * ln(2.0) - lgamma(s.k + 1.5) + 0.5 * ln(pi())))
+                FROM (SELECT unnest(generate_series(0, 400)) AS k) s))) END AS p
+      FROM (SELECT b1, n, sqrt(v11) AS se, abs(b1 / sqrt(v11)) AS az FROM ("""
+_HEAD = """SELECT ROUND(b1, 6) AS elasticity, ROUND(sqrt(v11), 6) AS std_err,
+       ROUND(b1 - 1.959963984540054 * sqrt(v11), 6) AS ci_low, ROUND(b1 + 1.959963984540054 * sqrt(v11), 6) AS ci_high,
+       CAST(n AS BIGINT) AS n_obs
+FROM ("""
+_ELAST_REPORT_SQL = ELASTICITY_SQL.replace(_HEAD, _REPORT_HEAD).rstrip() + ") zz) pz"
+register("price_elasticity_report", "J5", _ELAST_REPORT_SQL)(
+    lambda spark, d: RG.price_elasticity(facts(spark, d), SPEC))
 
 NAIVE_SQL = with_sales("""
 SELECT ROUND(b, 6) AS naive_effect, ROUND(sqrt(sum(dx * dx * e * e / ((1 - h) * (1 - h)))) / max(sxx), 6)
