@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checkpoint_dir
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 #: The possessive form matches the same and scans faster; DuckDB has only the plain one.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -18,3 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of ``text``; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder (zstd Parquet) and reads it back.
+
+    The plan ends there: later jobs, and retries after a lost executor, reread
+    the files instead of running the tasks again.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/ledgerlens-llm/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

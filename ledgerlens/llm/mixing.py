@@ -161,12 +161,12 @@ def training_order(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id",
     multiplied.
     """
     cols = docs.columns
-    nth = lambda *order: F.row_number().over(Window.partitionBy("_id").orderBy(*order))
-    left = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_size", word_count(F.col(text_col)))
-    left = left.withColumn("_nth", nth("_size"))
-    right = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("size").alias("_mixed_size"), "copies")
-    right = right.withColumn("_nth", nth("_mixed_size")).filter(F.size("copies") > 0)
-    out = left.join(right, ["_id", "_nth"]).withColumn("_copy", F.explode("copies"))
-    start = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD_WITH_LEAD), F.lit(0)), 1, F.col("_copy.words").cast("int")), "")
-    text = F.when(F.col("_copy.words") < F.col("_size"), start).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).orderBy(F.col("_copy.position"), "_id", F.col("_copy.copy")).select(*cols)
+    nth = lambda *order: F.row_number().over(Window.partitionBy("__mix_id").orderBy(*order))
+    left = docs.withColumn("__mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__mix_size", word_count(F.col(text_col)))
+    left = left.withColumn("__mix_nth", nth("__mix_size"))
+    right = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__mix_id"), F.col("size").alias("__mix_words"), F.col("copies").alias("__mix_copies"))
+    right = right.withColumn("__mix_nth", nth("__mix_words")).filter(F.size("__mix_copies") > 0)
+    out = left.join(right, ["__mix_id", "__mix_nth"]).withColumn("__mix_copy", F.explode("__mix_copies"))
+    start = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD_WITH_LEAD), F.lit(0)), 1, F.col("__mix_copy.words").cast("int")), "")
+    text = F.when(F.col("__mix_copy.words") < F.col("__mix_size"), start).otherwise(F.col(text_col))
+    return out.withColumn(text_col, text).orderBy(F.col("__mix_copy.position"), "__mix_id", F.col("__mix_copy.copy")).select(*cols)
