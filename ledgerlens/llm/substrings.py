@@ -35,6 +35,8 @@ GEAR_BYTES, MEAN_BYTES = 16, 24
 #: Words that a run of repeated chunks must hold to be a passage. The chunks at a
 #: passage's ends are lost, so this is far below the passages looked for (50 words).
 MIN_WORDS = 16
+#: Shorter chunks recur by chance; at a run's ends they don't count as part of the passage.
+SURE_CHARS = 12
 CHUNK_SCHEMA = "doc_id long, seq int, start int, stop int, words int, digest binary"
 
 
@@ -117,7 +119,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per repeated passage: doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first.
 
     ``first_doc_id`` is the smallest document id that shares a chunk of the
-    passage; ``is_first`` tells that no chunk of it stands in a smaller one.
+    passage; ``is_first`` tells that no chunk of it stands in a smaller one;
+    ``n_words`` counts the words of the whole run.
     """
     chunks = stage(chunk_documents(docs, id_col=id_col, text_col=text_col), "chunks")
     shared = (
@@ -127,13 +130,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = chunks.join(shared, "digest").select("doc_id", "seq", "start", "stop", "words", "first_doc_id")
     repeated = repeated.repartition("doc_id").distinct()  # of repeated rows with one id; the window needs no other exchange
     by_place = Window.partitionBy("doc_id").orderBy("seq", "start")
+    sure = F.col("stop") - F.col("start") >= SURE_CHARS
     runs = repeated.withColumn("run", F.col("seq") - F.dense_rank().over(by_place))
     return (
         runs.groupBy("doc_id", "run").agg(
-            F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("words").alias("n_words"),
+            F.min(F.when(sure, F.col("start"))).cast("long").alias("start"), F.max(F.when(sure, F.col("stop"))).cast("long").alias("stop"), F.sum("words").alias("n_words"),
             F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
         )
-        .filter(F.col("n_words") >= min_words)
+        .filter((F.col("n_words") >= min_words) & F.col("start").isNotNull())
         .select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("is_first"))
     )
 
