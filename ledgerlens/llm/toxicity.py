@@ -46,8 +46,8 @@ from ledgerlens.llm.common import stage
 #: Bounds of the model: labelled rows to learn from, entries of the lexicon.
 TRAIN_ROWS, LEXICON_TERMS = 20_000, 5_000
 #: Evidence (likelihood ratio) that a word or a beginning needs, its precision, and its contexts.
-WORD_EVIDENCE, STEM_EVIDENCE, PRECISION, CONTEXTS = 20.0, 15.0, 0.8, 4
-STEM_LETTERS = (4, 5, 6)
+WORD_EVIDENCE, STEM_EVIDENCE, PRECISION, CONTEXTS = 20.0, 20.0, 0.8, 4
+STEM_LETTERS = (4, 5, 6, 7, 8)
 #: Words on either side of a hit that its context is read from.
 CONTEXT = 5
 FUZZY, QUOTED, REPORTED, ADDRESSED = 0.7, 0.8, 0.4, 1.2
