@@ -11,6 +11,7 @@ from ledgerlens.llm.common import table
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.near_duplicates import find_groups
 from ledgerlens.llm.neighbours import nearest
+from ledgerlens.llm.oracles import ORACLES  # noqa: F401 (read with QUERIES)
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.pages import extract
 from ledgerlens.llm.pii import find_spans
@@ -96,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-ORACLES: dict[str, str] = {}
+
