@@ -12,8 +12,8 @@ Candidates. Bands of registers are keys; bands of empty registers are not used.
 The rows per band follow from the threshold: the longest for which a pair right
 at the threshold escapes all bands with a probability under 1e-8.
 
-Links, first round. In each band bucket only the pairs with its smallest member
-are looked at: registers estimate the Jaccard similarity, corrected for chance
+Links, first round. In each band bucket only the pairs with its hub, the member
+with the most company, are looked at: registers estimate the Jaccard similarity, corrected for chance
 collisions of registers, and pairs within five standard deviations of the
 threshold are confirmed on the full shingle sets. Components follow.
 
@@ -100,23 +100,36 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+LEVELS = 2.0 ** -np.arange(0, 53)
+
+
+def level_shares(n: np.ndarray) -> np.ndarray:
+    """For sets of these sizes, how likely a bucket's register has each leading-zero count."""
+    return np.exp(-np.outer(n / REGISTERS, LEVELS / 2)) - np.exp(-np.outer(n / REGISTERS, LEVELS))
+
+
 def expected_collisions(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Registers that sets of these sizes without common members share by chance."""
-    level = 2.0 ** -np.arange(0, 53)
-    share = lambda n: np.exp(-np.outer(n / REGISTERS, level / 2)) - np.exp(-np.outer(n / REGISTERS, level))
-    return REGISTERS * (share(n_a) * share(n_b)).sum(axis=1) / (1 << MANTISSA_BITS)
-
-
-def may_link(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the collision-corrected estimate (and the sizes) let a pair reach the threshold."""
-    held = regs_a != EMPTY
-    same = ((regs_a == regs_b) & held).sum(axis=1)
-    union = (held | (regs_b != EMPTY)).sum(axis=1)
-    chance = expected_collisions(n_a, n_b) * np.maximum(union - same, 0) / np.maximum(union, 1)
-    estimate = (same - chance) / np.maximum(union, 1)
-    least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(union, 1)) - 1 / np.maximum(union, 1)
+    return REGISTERS * (level_shares(n_a) * level_shares(n_b)).sum(axis=1) / (1 << MANTISSA_BITS)
+
+
+def may_link(same: np.ndarray, union: np.ndarray, chance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the collision-corrected estimate (and the sizes) let a pair reach the threshold.
+
+    ``same`` of ``union`` non-empty registers are equal, ``chance`` of them expected to be so by chance.
+    """
+    union = np.maximum(union, 1)
+    estimate = (same - chance * (1 - same / union)) / union
+    # Buckets draw from the union without replacement: with few shingles nearly each
+    # has a bucket of its own and little is left to chance.
+    distinct = (n_a + n_b) / (1 + threshold)
+    unseen = np.clip(1 - (union - 1) / np.maximum(distinct, 1), 0.02, 1)
+    deviation = np.sqrt(threshold * (1 - threshold) * unseen / union)
+    least = threshold - SLACK * deviation - 1.5 / union
     sizes = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9
-    return sizes & (estimate >= least)
+    # Each register that differs is a shingle at least that only one set has: a bound without chance.
+    differences = (n_a + n_b) * (1 - threshold) / (1 + threshold) + 1e-9
+    return sizes & (union - same <= differences) & (estimate >= least)
 
 
 def band_rows(threshold: float) -> int:
@@ -168,7 +181,9 @@ def _estimated(threshold: float):
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             if batch.num_rows:
-                ok = may_link(_matrix(col("regs_a")), _matrix(col("regs_b")), col("n_a").to_numpy(), col("n_b").to_numpy(), threshold)
+                x, y, n_a, n_b = _matrix(col("regs_a")), _matrix(col("regs_b")), col("n_a").to_numpy(), col("n_b").to_numpy()
+                same, union = ((x == y) & (x != EMPTY)).sum(axis=1), ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+                ok = may_link(same, union, expected_collisions(n_a, n_b), n_a, n_b, threshold)
                 yield pa.RecordBatch.from_arrays([col("a").filter(pa.array(ok)), col("b").filter(pa.array(ok))], ["a", "b"])
 
     return run
@@ -192,32 +207,43 @@ def _confirmed(percent: int):
 
 
 def _tile_pairs(threshold: float):
-    """Rows (key, p, q, tile, rep, comp, n, regs), sorted by (key, p, q), to the pairs that may link.
+    """Rows (key, p, q, band, hub, tile, rep, comp, n, regs), sorted by (key, p, q), to the pairs that may link.
 
-    Members of tile p meet those of tile q, members of another component only.
+    Members of tile p meet those of tile q of another component and of a size that
+    the threshold allows. A pair is told once, in the first band that it shares;
+    pairs with the bucket's hub were looked at before.
     """
+    rows_per_band = band_rows(threshold)
+    used = REGISTERS // rows_per_band * rows_per_band
 
     def search(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows["comp"], kind="stable")
+        p, q, band, hub = (rows[c][0] for c in ("p", "q", "band", "hub"))
+        order = np.argsort(rows["n"], kind="stable")
+        order = order[rows["rep"][order] != hub]
         rep, comp, n, tile, regs = (rows[c][order] for c in ("rep", "comp", "n", "tile", "regs"))
-        p, q = rows["p"][0], rows["q"][0]
-        sizes = np.unique(comp, return_counts=True)
-        largest = sizes[0][np.argmax(sizes[1])]
+        held, shares = regs != EMPTY, level_shares(n)
+        last = np.searchsorted(n, n / threshold + 1e-9, side="right")
         found_a, found_b = [], []
-        for i in np.flatnonzero(comp != largest):
-            # each pair once: against the largest component, and against later rows of the others
-            other = (comp == largest) | (np.arange(len(comp)) > i)
-            other &= (comp != comp[i]) & ((tile != tile[i]) if p != q else True)
-            j = np.flatnonzero(other)
-            if len(j):
-                ok = j[may_link(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], threshold)]
+        for i in range(len(rep)):
+            j = np.arange(i + 1, last[i])
+            j = j[(comp[j] != comp[i]) & ((tile[j] != tile[i]) if p != q else True)]
+            if not len(j):
+                continue
+            equal = (regs[j] == regs[i]) & held[i]
+            chance = shares[j] @ shares[i] * (REGISTERS / (1 << MANTISSA_BITS))
+            ok = may_link(equal.sum(axis=1), (held[j] | held[i]).sum(axis=1), chance, n[i], n[j], threshold)
+            if ok.any():
+                shared = equal[ok][:, :used] | ~(held[j][ok] | held[i])[:, :used]  # a band may hold empty registers
+                shared = shared.reshape(-1, used // rows_per_band, rows_per_band).all(axis=2)
+                some = equal[ok][:, :used].reshape(shared.shape[0], -1, rows_per_band).any(axis=2)
+                ok = j[ok][(shared & some).argmax(axis=1) == band]
                 found_a.append(np.minimum(rep[i], rep[ok]))
                 found_b.append(np.maximum(rep[i], rep[ok]))
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, "i8"), np.zeros(0, "i8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
-        names = ("key", "p", "q", "tile", "rep", "comp", "n")
+        names = ("key", "p", "q", "band", "hub", "tile", "rep", "comp", "n")
 
         def done() -> pa.RecordBatch:
             a, b = search({c: np.concatenate([h[c] for h in held]) for c in held[0]})
@@ -258,9 +284,15 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     width, blank = 2 * rows, F.unhex(F.lit("FF" * 2 * rows))
     band = lambda i: F.substring("regs", i * width + 1, F.lit(width))
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.when(band(i) != blank, F.xxhash64(i, band(i))))
-    bands = classes.select("rep", F.explode(keys).alias("key")).filter("key is not null")
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hits = stage(bands.join(buckets, "key"), "band-hits")
+    bands = classes.select("rep", F.posexplode(keys).alias("band", "key")).filter("key is not null")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    hits = bands.join(buckets, "key")
+    # The hub of a bucket is its member with the most company in all buckets: of near
+    # copies the one that the others were made from, rather than one of them.
+    hits = stage(hits, "band-hits")
+    company = hits.groupBy("rep").agg(F.sum("members").alias("company"))
+    hubs = hits.select("key", "rep").join(company, "rep").groupBy("key").agg(
+        F.max(F.struct("company", (-F.col("rep")).alias("rep")))["rep"].alias("hub")).select("key", (-F.col("hub")).alias("hub"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of representatives whose full shingle sets reach the threshold."""
@@ -271,7 +303,8 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(threshold_percent), "a long, b long")
 
     sketches = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    stars = hits.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hits = hits.join(hubs, "key")
+    stars = hits.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     stars = stars.join(sketches("a"), "a").join(sketches("b"), "b").mapInArrow(_estimated(threshold), "a long, b long")
     links = stage(confirm(stage(stars, "star-pairs")), "links")
     parts = connected_components(links)
@@ -282,15 +315,14 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     open_hits = stage(named.join(mixed, "key"), "open-hits")
     tiles = F.greatest(F.ceil(F.col("members") / TILE), F.lit(1)).cast("int")
     tile = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    tiled = open_hits.select("key", "rep", "comp", tile.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
-    tiled = tiled.select("key", F.least("tile", "u").alias("p"), F.greatest("tile", "u").alias("q"), "tile", "rep", "comp")
-    tiled = tiled.join(classes.select("rep", "n", "regs"), "rep").select("key", "p", "q", "tile", "rep", "comp", "n", "regs")
+    tiled = open_hits.select("key", "band", "hub", "rep", "comp", tile.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
+    tiled = tiled.select("key", F.least("tile", "u").alias("p"), F.greatest("tile", "u").alias("q"), "band", "hub", "tile", "rep", "comp")
+    tiled = tiled.join(classes.select("rep", "n", "regs"), "rep").select("key", "p", "q", "band", "hub", "tile", "rep", "comp", "n", "regs")
     late = (
         tiled.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        .mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
+        .mapInArrow(_tile_pairs(threshold), "a long, b long")
     )
-    late = stage(late, "late-pairs")
-    more = stage(confirm(late.join(stars_seen(links), ["a", "b"], "left_anti")), "late-links")
+    more = stage(confirm(stage(late, "late-pairs")), "late-links")
     parts = connected_components(links.union(more))
 
     grouped = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
@@ -301,7 +333,3 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def stars_seen(links: DataFrame) -> DataFrame:
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
