@@ -34,6 +34,10 @@ from ledgerlens.llm.tokens import load_tokenizer
 WINDOW = 2048
 #: Words whose ids a task keeps, and characters that a word may have to be kept.
 CACHED_WORDS, CACHED_CHARS = 300_000, 64
+#: Words whose lower case and classes are settled (nothing in them composes), and
+#: the tokenizer's split of them into pre-tokens (fixed value).
+PLAIN = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Ids that are handed on at a time.
 BATCH_IDS = 4_000_000
 TOKEN_SCHEMA = "part int, doc_id long, start long, n long, ids binary"
@@ -41,22 +45,69 @@ PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, word by word."""
+    """Ids of texts as little-endian bytes, word by word.
+
+    Words of plain Latin letters, digits and signs are lower-cased and split into
+    pre-tokens here, so that "The", "the" and "the," share a piece; the tokenizer
+    sees each new piece once, many to a call, and the pieces' ids are told apart by
+    the ids that end a word. All other words are given to the tokenizer as they are.
+    """
 
     def __init__(self, path: str, dtype: str) -> None:
-        self.encode = load_tokenizer(path).encode_batch_fast
-        self.dtype = dtype
+        import re
+
+        import regex
+
+        tokenizer = load_tokenizer(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.dtype = np.dtype(dtype)
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.plain = re.compile(PLAIN).fullmatch
+        self.split = regex.compile(PIECE).findall
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> dict[str, bytes]:
+        found = self.encode(words, add_special_tokens=False)
+        return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, found, strict=True)}
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, which hold no white space and are one pre-token each."""
+        out: dict[str, bytes] = {}
+        groups = [fresh[i : i + 1000] for i in range(0, len(fresh), 1000)]
+        for group, found in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(group) or last[-1] != len(ids):
+                out |= self._alone(group)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            stops = (last * width).tolist()
+            out.update(zip(group, [raw[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-        fresh = [w for w in set().union(*split) if w not in known] if split else []
-        ids = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True)}
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {}
+        known, pieces = self.known, self.pieces
+        fresh = [w for w in set().union(*split) if w not in known]
+        parts: dict[str, list[str]] = {}
+        for w in fresh:
+            if "<|" not in w and self.plain(w):
+                low = w.lower()
+                parts[w] = [low] if low.isalpha() else self.split(low)
+        new = self._learn([p for p in set().union(*parts.values()) if p not in pieces]) if parts else {}
+        pieces.update(new)
+        ids = self._alone([w for w in fresh if w not in parts])
+        ids.update((w, b"".join([pieces[p] for p in found])) for w, found in parts.items())
         long = {w: ids.pop(w) for w in fresh if len(w) > CACHED_CHARS}
+        for p in [p for p in new if len(p) > CACHED_CHARS]:
+            del pieces[p]
         known.update(ids)
         if long:
             return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
