@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashrand import hash_normal
 from ledgerlens.operators.features import clip, value_map
-from ledgerlens.spec import PROVENANCE_ORDER, TableSpec
+from ledgerlens.spec import PROVENANCE_ORDER, RESOLUTION_ORDER, TableSpec
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — panel parameters per reference region (must equal the
@@ -326,14 +326,15 @@ def provenance_rank(tag: Column) -> Column:
 
 
 def resolve_precedence(landed: DataFrame, keys: list[str], tag: str = "provenance") -> DataFrame:
-    """Per key keep the row from the strongest source (live > cache > mock).
+    """Per key keep the row of the first source that has it (cache, live, mock).
 
     ``min_by`` on the rank in a grouped aggregate: partial aggregation keeps one
     candidate per key per task, so no window sort over the landed rows.
     """
     others = [c for c in landed.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in others])
-    best = landed.groupBy(*keys).agg(F.min_by(packed, provenance_rank(F.col(tag))).alias("_best"))
+    rank = value_map(F.col(tag), {t: i for i, t in enumerate(RESOLUTION_ORDER)}, len(RESOLUTION_ORDER))
+    best = landed.groupBy(*keys).agg(F.min_by(packed, rank).alias("_best"))
     return best.select(*keys, "_best.*")
 
 

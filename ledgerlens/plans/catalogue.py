@@ -11,11 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import hashlib
-import os
+import inspect
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import checkpoint_dir, source_signature
+from ledgerlens.sources import facts as adapter
 from ledgerlens.sources.facts import sales_facts
 from ledgerlens.spec import TPCH_SPEC
 
@@ -31,7 +33,8 @@ class QueryDef:
 
 
 _REGISTRY: dict[str, QueryDef] = {}
-_FACTS: dict[tuple[int, str], DataFrame] = {}
+#: Written fact tables by application, source folder and signature.
+_FACTS: dict[tuple[str, str, str], str] = {}
 
 
 def register(name: str, survey_ids: str, oracle: str | None = None):
@@ -44,39 +47,26 @@ def register(name: str, survey_ids: str, oracle: str | None = None):
     return deco
 
 
-def _source_signature(sf_dir: str) -> str:
-    """Key of a written fact table: the source files and the adapter's code."""
-    import inspect
-
-    from ledgerlens.sources import facts as adapter
-
-    parts = [hashlib.sha1(inspect.getsource(adapter).encode()).hexdigest(), repr(TPCH_SPEC)]
-    for t in FACT_SOURCES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        parts.append(f"{p}:{st.st_size if st else 0}:{int(st.st_mtime) if st else 0}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+def facts_signature(spark: SparkSession, sf_dir: str) -> str:
+    """Key of the projected facts: the source files and the adapter's code."""
+    code = hashlib.sha1((inspect.getsource(adapter) + repr(TPCH_SPEC)).encode()).hexdigest()[:8]
+    return code + source_signature(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in FACT_SOURCES])
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical fact table, projected once from the base tables.
 
-    The five-way join runs once per source snapshot and is written as a Parquet
-    table in the shared checkpoint folder; every query then scans that table
-    (with column pruning and filter pushdown) instead of re-running the joins.
-    Writing it also cuts the lineage, so a lost executor never replays the joins.
+    The five-way join runs once per application and source snapshot and is
+    written as a Parquet table of its own in the shared checkpoint folder; every
+    query then scans that table (with column pruning and filter pushdown). Only a
+    finished write is ever read, and changed source files give a new table.
     """
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, facts_signature(spark, sf_dir))
     if key not in _FACTS:
-        path = os.path.join(checkpoint_dir(spark), "ledgerlens-facts", _source_signature(sf_dir))
-        try:
-            table = spark.read.parquet(path)
-            table.schema  # noqa: B018 — resolves the files; fails when absent
-        except Exception:  # noqa: BLE001 — not written yet
-            sales_facts(spark, sf_dir, TPCH_SPEC).write.mode("overwrite").parquet(path)
-            table = spark.read.parquet(path)
-        _FACTS[key] = table
-    return _FACTS[key]
+        path = f"{checkpoint_dir(spark)}/ledgerlens-facts/{key[2]}-{uuid.uuid4().hex}"
+        sales_facts(spark, sf_dir, TPCH_SPEC).write.parquet(path)
+        _FACTS[key] = path
+    return spark.read.parquet(_FACTS[key])
 
 
 def facts_unmaterialised(spark: SparkSession, sf_dir: str) -> DataFrame:

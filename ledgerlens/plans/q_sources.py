@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import panel as PN
-from ledgerlens.plans.catalogue import facts, register
+from ledgerlens.plans.catalogue import facts, facts_signature, register
 from ledgerlens.plans.oracle import SPEC, with_sales
 from ledgerlens.plans.q_panel import panel_sql
 from ledgerlens.sources import facts as SRC
@@ -27,7 +27,7 @@ SELECT Model, CAST(Year AS SMALLINT) AS Year, Region, Color, Fuel_Type, Transmis
 FROM sales"""),
 )(_coerced)
 
-# The reference's report text, run by Spark SQL over a registered view (A4/A5).
+# A report as SQL text over a registered view (A4/A5).
 _VIEW_SQL = """
 SELECT Region AS region,
        COUNT(*) AS n_records,
@@ -108,15 +108,49 @@ FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FRO
 )(_event_props_by_type)
 
 
+# Envelopes of every kind of badness, one per event (A7): rows of ``events`` choose the kind.
+def _event_envelopes(spark, d):
+    ev = SRC.table(spark, d, "events").select("event_id", "props", F.get_json_object("props", "$.k").alias("k"))
+    year = (F.lit(2000) + F.col("event_id") % 20).cast("string")
+    one = lambda date, value: F.concat(F.lit('[{"page":1},[{"date":"'), date, F.lit('","value":'), value, F.lit("}]]"))
+    kind = F.col("event_id") % 8
+    raw = (F.when(kind == 0, one(year, F.col("k"))).when(kind == 1, F.col("props"))
+           .when(kind == 2, F.concat(F.lit("["), F.col("props"), F.lit(',"text"]')))
+           .when(kind == 3, F.concat(F.lit("["), F.col("props"), F.lit(","), F.col("props"), F.lit("]")))
+           .when(kind == 4, one(F.concat(year, F.lit("Q1")), F.col("k")))
+           .when(kind == 5, one(year, F.lit('"n/a"'))).when(kind == 6, one(year, F.lit("null")))
+           .otherwise(F.concat(F.lit("["), F.col("props"), F.lit("]"))))
+    return ev.select("event_id", raw.alias("raw"))
+
+
+register("event_payload_observations", "A7", """
+SELECT event_id, CAST(2000 + event_id % 20 AS INT) AS year, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value
+FROM events WHERE event_id % 8 = 0 AND json_extract_string(props, '$.k') IS NOT NULL""")(
+    lambda spark, d: PL.parse_indicator_payloads(_event_envelopes(spark, d))[0]
+)
+register("event_payload_rejects", "A7", """
+SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'not a JSON array' WHEN 2 THEN 'observation list is not an array'
+                                   WHEN 3 THEN 'observation list is not an array' WHEN 4 THEN 'date is not a year'
+                                   WHEN 5 THEN 'value is not a number' ELSE 'envelope shorter than 2' END AS reason
+FROM events WHERE event_id % 8 NOT IN (0, 6)""")(
+    lambda spark, d: PL.parse_indicator_payloads(_event_envelopes(spark, d))[1].select("event_id", "reason")
+)
+
+
 # -- A9–A11 ------------------------------------------------------------------------
 def _landed_volume_index(spark, d):
-    """Live rows: parsed payload observations; mock rows: the full key×year spine at 0."""
+    """Live rows: parsed payload observations; cache rows: earlier, doubled values of the
+    even years; mock rows: the full key×year spine at 0. Even years so have all three."""
     f = facts(spark, d)
     window = PN.year_window(f, SPEC)
     live, _ = PL.parse_indicator_payloads(PL.indicator_payloads(f, SPEC, window))
+    cache = live.where(F.col("year") % 2 == 0).withColumn("value", F.col("value") * 2)
     keys = f.select(F.col(SPEC.region).alias("region"), F.col(SPEC.fuel).alias("fuel_type"))
     mock = PN.spine(keys, window).withColumn("value", F.lit(0.0))
-    landed = live.withColumn("provenance", F.lit("live")).unionByName(mock.withColumn("provenance", F.lit("mock")))
+    landed = None
+    for tag, rows in (("live", live), ("cache", cache), ("mock", mock)):
+        rows = rows.withColumn("provenance", F.lit(tag))
+        landed = rows if landed is None else landed.unionByName(rows)
     return landed.withColumn("source", F.lit("volume_index"))
 
 
@@ -127,8 +161,9 @@ def _resolved(spark, d):
 
 _RESOLVED_SQL = """
 resolved AS (
-  SELECT k.region, k.fuel_type, CAST(g.year AS INT) AS year, coalesce(y.value, 0.0) AS value,
-         CASE WHEN y.value IS NULL THEN 'mock' ELSE 'live' END AS provenance
+  SELECT k.region, k.fuel_type, CAST(g.year AS INT) AS year,
+         CASE WHEN y.value IS NULL THEN 0.0 WHEN g.year % 2 = 0 THEN y.value * 2 ELSE y.value END AS value,
+         CASE WHEN y.value IS NULL THEN 'mock' WHEN g.year % 2 = 0 THEN 'cache' ELSE 'live' END AS provenance
   FROM (SELECT DISTINCT Region AS region, Fuel_Type AS fuel_type FROM sales) k
   CROSS JOIN (SELECT unnest(generate_series(min(Year), max(Year))) AS year FROM sales) g
   LEFT JOIN (""" + _YEARLY + """) y ON y.region = k.region AND y.fuel_type = k.fuel_type AND y.year = g.year
@@ -195,30 +230,43 @@ FROM sales"""),
 
 
 def _schema_report(spark, d):
-    from ledgerlens.operators.profile import column_difference
-    from ledgerlens.spec import FACT_COLUMNS
-
-    have = facts(spark, d).columns
-    missing, extra = column_difference(have, FACT_COLUMNS)
-    rows = [(c, "present") for c in FACT_COLUMNS if c in have]
-    rows += [(c, "missing") for c in missing] + [(c, "unexpected") for c in extra]
-    return spark.createDataFrame(rows, "column_name string, status string")
-
-
+    """Columns and types of the landed tables against what the fact adapter reads."""
+    rows = None
+    for name, wanted in sorted(ADAPTER_COLUMNS.items()):
+        landed = SRC.table(spark, d, name)
+        have = dict(landed.dtypes)
+        counts = landed.agg(*[F.count(c).alias(c) for c in wanted if c in have])
+        found = counts.unpivot([], [c for c in wanted if c in have], "column_name", "n_present")
+        found = found.select(F.lit(name).alias("table_name"), "column_name", "n_present", F.lit("present").alias("status"))
+        missing = [(name, c, 0, "missing") for c in wanted if c not in have]
+        if missing:
+            found = found.unionByName(spark.createDataFrame(missing, found.schema))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+#: Columns that the fact adapter reads, by table.
+ADAPTER_COLUMNS = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
+    "customer": ("c_custkey", "c_nationkey", "c_mktsegment"),
+    "nation": ("n_nationkey", "n_regionkey"), "region": ("r_regionkey", "r_name"),
+    "part": ("p_partkey", "p_brand", "p_type", "p_size"),
+}
 register(
     "schema_check_report", "A2 G3",
-    "SELECT column_name, CASE WHEN column_name = 'row_key' THEN 'unexpected' ELSE 'present' END AS status FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS column_name" for c in (*SPEC.fact_columns, "row_key")) + ") c",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT({c}) AS n_present, 'present' AS status FROM {t}"
+        for t, cols in sorted(ADAPTER_COLUMNS.items()) for c in cols),
 )(_schema_report)
 
 
 def _cached_panel(spark, d):
     f = facts(spark, d)
     window = PN.year_window(f, SPEC)
-    params = {"source": "external_panel", "sf_dir": d, "start_year": window.start_year,
+    params = {"panel": "external_panel", "facts": facts_signature(spark, d), "start_year": window.start_year,
               "end_year": window.end_year}
     panel, _ = PL.cached_frame(spark, "external_panel", params,
-                               lambda: PN.build_external_panel(f, SPEC, window)[0])
+                               lambda: PN.build_external_panel(f, SPEC, window)[0], built_tag="mock")
     return panel.select("region", "year", "inflation_pct", "gdp_per_capita_usd", "regulation_stringency_index",
                         "fleet_co2_target_g_km", "co2_emissions_pc", "currency", "usd_per_unit")
 

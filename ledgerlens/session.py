@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,26 +53,45 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (local
-    runs, tests) a private folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Only a ``local`` master, where
+    driver and executors are one process, gets a private folder when it is unset
+    (tests, trial runs); anywhere else an unset folder is an error, because each
+    executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not _one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df, *, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run inside tasks live in the package's modules, so the Python
+    workers must be able to import it wherever the driver was started from.
+    """
+    sc = spark.sparkContext
+    if _one_process(spark) or sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-code-"), "ledgerlens")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(sc.applicationId)
 
 
 def write_shared(df, name: str = "stage"):
@@ -77,8 +100,23 @@ def write_shared(df, name: str = "stage"):
     One job, columnar and compressed; the result has no lineage to replay, and
     its columns (not its partitioning) carry whatever positions were computed.
     """
-    import uuid
-
     path = os.path.join(checkpoint_dir(df.sparkSession), "ledgerlens-stage", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def source_signature(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the files behind ``paths``: names, sizes and times, as Spark's reader reports them.
+
+    Works on any storage that Spark reads, for files and folders alike; one job
+    that reads no data columns and returns one row.
+    """
+    files = None
+    for p in paths:
+        one = spark.read.parquet(p).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = one if files is None else files.unionByName(one)
+    row = files.distinct().agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("x"),
+    ).first()
+    return hashlib.sha1(f"{row['n']}:{row['x']}".encode()).hexdigest()[:16]

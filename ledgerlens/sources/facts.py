@@ -56,8 +56,9 @@ _INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 def coerce_types(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
     """Cast each canonical column to its declared type, keeping column order.
 
-    Text headed for an integer type goes through DOUBLE first, so "901.0"
-    becomes 901 (truncated) while non-numeric text still fails the ANSI cast.
+    Text headed for an integer type goes through an exact decimal, so "901.0"
+    becomes 901 and no digit of a long integer is lost; a fraction is cut off and
+    non-numeric text still fails the ANSI cast.
     """
     types = dict(part.strip().split(" ", 1) for part in ddl.split(","))
     dtypes = dict(df.dtypes)
@@ -65,7 +66,7 @@ def coerce_types(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
     def cast(c):
         t = types[c]
         if t.upper() in _INTEGRAL and dtypes[c] == "string":
-            return F.col(c).cast("double").cast(t)
+            return F.col(c).cast("decimal(38,9)").cast(t)
         return F.col(c).cast(t)
 
     return df.select(*[cast(c).alias(c) if c in types else F.col(c) for c in df.columns])
@@ -94,9 +95,10 @@ def load_raw(
     """Load a fact table from CSV (header) or Parquet.
 
     The header is read first without a schema, so a wrong header is caught by the
-    column check instead of being hidden by a supplied schema.
+    column check instead of being hidden by a supplied schema. Unless ``fmt`` says
+    otherwise, names that end in .csv (or .csv.gz, .txt) are CSV and all others Parquet.
     """
-    fmt = fmt or ("parquet" if path.endswith(".parquet") or os.path.isdir(path) else "csv")
+    fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz", ".txt")) else "parquet")
     try:
         if fmt == "csv":
             df = spark.read.option("header", True).csv(path)

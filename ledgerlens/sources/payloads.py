@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from ledgerlens.operators.panel import PanelWindow, spine
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.spec import TableSpec
 
-OBS_SCHEMA = "array<struct<date:string,value:double>>"
+OBS_SCHEMA = "array<struct<date:string,value:string>>"
 
 
 def indicator_payloads(facts: DataFrame, spec: TableSpec, window: PanelWindow) -> DataFrame:
@@ -40,23 +40,34 @@ def indicator_payloads(facts: DataFrame, spec: TableSpec, window: PanelWindow) -
 
 
 def parse_indicator_payloads(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(observations, rejects). Observations are (…keys, year, value) with
-    null values dropped; rejects keep the raw text and a reason.
+    """(observations, rejects). Observations are (…keys, year, value).
+
+    A null value is a gap and yields nothing; anything else that yields no
+    observation is a reject with its text and a reason, be it a whole payload or
+    one observation of a good one.
     """
     keys = [c for c in df.columns if c != raw]
     env = F.from_json(F.col(raw), "array<string>")
-    checked = df.withColumn("_env", env).withColumn(
+    second = F.get("_env", F.lit(1))
+    checked = df.withColumn("_env", env).withColumn("_list", F.from_json(second, OBS_SCHEMA)).withColumn(
         "_reason",
-        F.when(F.col("_env").isNull(), F.lit("not a JSON array"))
+        F.when(~F.coalesce(F.ltrim(F.col(raw)).startswith("["), F.lit(False)) | F.col("_env").isNull(), F.lit("not a JSON array"))
         .when(F.size("_env") < 2, F.lit("envelope shorter than 2"))
-        .when(F.col("_env")[1].isNull(), F.lit("null observation list")),
+        .when(second.isNull(), F.lit("null observation list"))
+        .when(~F.ltrim(second).startswith("[") | F.col("_list").isNull(), F.lit("observation list is not an array")),
     )
-    good = checked.where(F.col("_reason").isNull())
-    obs = good.select(*keys, F.explode(F.from_json(F.col("_env")[1], OBS_SCHEMA)).alias("o"))
-    parsed = obs.where(F.col("o.value").isNotNull()).select(
-        *keys, F.col("o.date").cast("int").alias("year"), F.col("o.value").alias("value")
+    obs = checked.where(F.col("_reason").isNull()).select(*keys, F.explode("_list").alias("o"))
+    year, value = F.expr("try_cast(o.date AS INT)"), F.expr("try_cast(o.value AS DOUBLE)")
+    obs = obs.withColumns({"year": year, "value": value}).withColumn(
+        "_reason",
+        F.when(F.col("o").isNull(), F.lit("observation is not an object"))
+        .when(F.col("o.value").isNull(), F.lit(None))
+        .when(F.col("value").isNull(), F.lit("value is not a number"))
+        .when(F.col("year").isNull(), F.lit("date is not a year")),
     )
-    rejects = checked.where(F.col("_reason").isNotNull()).select(*keys, raw, F.col("_reason").alias("reason"))
+    parsed = obs.where(F.col("_reason").isNull() & F.col("value").isNotNull()).select(*keys, "year", "value")
+    rejects = checked.where(F.col("_reason").isNotNull()).select(*keys, raw, F.col("_reason").alias("reason")).unionByName(
+        obs.where(F.col("_reason").isNotNull()).select(*keys, F.to_json("o").alias(raw), F.col("_reason").alias("reason")))
     return parsed, rejects
 
 
@@ -69,9 +80,9 @@ def fx_payloads(fx: DataFrame) -> DataFrame:
 
 
 def parse_fx_payloads(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """``rates.USD`` as double; a payload without it is rejected."""
+    """``rates.USD`` as double; a payload without it, or with text for it, is rejected."""
     keys = [c for c in df.columns if c != raw]
-    rate = F.get_json_object(F.col(raw), "$.rates.USD").cast("double")
+    rate = F.get_json_object(F.col(raw), "$.rates.USD").try_cast("double")
     tagged = df.withColumn("usd_per_unit", rate)
     parsed = tagged.where(F.col("usd_per_unit").isNotNull()).select(*keys, "usd_per_unit")
     rejects = tagged.where(F.col("usd_per_unit").isNull()).select(
@@ -81,8 +92,8 @@ def parse_fx_payloads(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataF
 
 
 def json_field(df: DataFrame, raw: str, path: str, out: str, dtype: str = "double") -> DataFrame:
-    """A8 on any JSON text column (e.g. ``events.props`` ``$.k``)."""
-    return df.withColumn(out, F.get_json_object(F.col(raw), path).cast(dtype))
+    """A8 on any JSON text column (e.g. ``events.props`` ``$.k``); what doesn't cast is NULL."""
+    return df.withColumn(out, F.get_json_object(F.col(raw), path).try_cast(dtype))
 
 
 # -- A6 keyed cache ---------------------------------------------------------------
@@ -97,24 +108,31 @@ def cached_frame(
     params: dict,
     build: Callable[[], DataFrame],
     *,
+    built_tag: str = "live",
     cache_root: str | None = None,
     partition_by: str | None = None,
 ) -> tuple[DataFrame, str]:
     """Read a cached panel by parameter key, else build, write and tag it.
 
-    The cache lives in the shared checkpoint folder (or ``cache_root``). An
-    unreadable cache entry is ignored and rebuilt. Returns (frame, provenance).
+    ``params`` must hold whatever the panel depends on, its source's signature
+    included. Each build is written to a path of its own and published by a one-row
+    table that names it, so a half-written or overwritten panel is never read; an
+    entry that can't be read is rebuilt. Returns (frame, provenance): ``cache``, or
+    ``built_tag``, which says what the builder's rows are.
     """
-    root = cache_root or os.path.join(checkpoint_dir(spark), "ledgerlens-cache")
-    path = os.path.join(root, name, cache_key(name, params))
+    root = cache_root or f"{checkpoint_dir(spark)}/ledgerlens-cache"
+    entry = f"{root}/{name}/{cache_key(name, params)}"
     try:
+        path = spark.read.schema("path string").parquet(f"{entry}/published").first()["path"]
         cached = spark.read.parquet(path)
         cached.limit(1).collect()
         return cached, "cache"
-    except Exception:  # noqa: BLE001 — a missing or corrupt cache falls back to a build
+    except Exception:  # noqa: BLE001 — a missing or corrupt entry falls back to a build
         pass
-    writer = build().write.mode("overwrite")
+    path = f"{entry}/{uuid.uuid4().hex}"
+    writer = build().write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path), "live"
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{entry}/published")
+    return spark.read.parquet(path), built_tag

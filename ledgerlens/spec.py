@@ -65,6 +65,8 @@ CONTROL_R2 = 0.5
 CONFORMAL_INFORMATIVE = 0.6
 # Provenance tags, strongest first (a weaker tag wins when reporting a source).
 PROVENANCE_ORDER = ("live", "cache", "mock")
+# Where a value is taken from when several sources have it, first choice first.
+RESOLUTION_ORDER = ("cache", "live", "mock")
 # Default random seed.
 SEED = 42
 # ---------------------------------------------------------------------------

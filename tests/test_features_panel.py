@@ -76,11 +76,13 @@ def test_gap_fill_forward_then_backward(spark):
 def test_precedence_and_provenance(spark):
     landed = spark.createDataFrame(
         [("wb", "Asia", 2015, 1.0, "mock"), ("wb", "Asia", 2015, 2.0, "live"), ("wb", "Asia", 2016, 3.0, "mock"),
-         ("fx", "Asia", 2015, 4.0, "cache")],
+         ("fx", "Asia", 2015, 4.0, "cache"), ("fx", "Asia", 2015, 5.0, "live"), ("fx", "Asia", 2015, 6.0, "mock")],
         "source string, region string, year int, value double, provenance string")
     best = {(r.source, r.year): (r.value, r.provenance)
             for r in PN.resolve_precedence(landed, ["source", "region", "year"]).collect()}
     assert best[("wb", 2015)] == (2.0, "live") and best[("wb", 2016)] == (3.0, "mock")
+    assert best[("fx", 2015)] == (4.0, "cache")  # an earlier answer is taken before a new one is fetched
+    landed = landed.where("value <> 6.0")
     weakest = {r.source: r.provenance for r in PN.weakest_provenance(landed).collect()}
     assert weakest == {"wb": "mock", "fx": "cache"}
     summary = {r.provenance: r.sources for r in PN.provenance_summary(landed).collect()}

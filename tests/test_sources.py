@@ -49,18 +49,22 @@ def test_indicator_payload_parse_and_rejects(spark):
         ("short", json.dumps([{"page": 1}])),
         ("nulls", json.dumps([{"page": 1}, None])),
         ("junk", "not json"),
+        ("text", json.dumps([{"page": 1}, "text"])),
+        ("object", json.dumps([{"page": 1}, {"date": "2015", "value": 1}])),
+        ("quarter", json.dumps([{"page": 1}, [{"date": "2015Q1", "value": 1.0}, {"date": "2016", "value": 2.0}]])),
+        ("words", json.dumps([{"page": 1}, [{"date": "2015", "value": "many"}]])),
     ]
     df = spark.createDataFrame(rows, "src string, raw string")
     parsed, rejects = PL.parse_indicator_payloads(df)
-    assert [(r.src, r.year, r.value) for r in parsed.collect()] == [("ok", 2015, 1.5)]
-    assert sorted(r.src for r in rejects.collect()) == ["junk", "nulls", "short"]
+    assert sorted((r.src, r.year, r.value) for r in parsed.collect()) == [("ok", 2015, 1.5), ("quarter", 2016, 2.0)]
+    assert sorted(r.src for r in rejects.collect()) == ["junk", "nulls", "object", "quarter", "short", "text", "words"]
 
 
 def test_fx_payload(spark):
-    df = spark.createDataFrame([("EUR", '{"rates":{"USD":1.08}}'), ("XXX", '{"rates":{}}')], "c string, raw string")
+    df = spark.createDataFrame([("EUR", '{"rates":{"USD":1.08}}'), ("XXX", '{"rates":{}}'), ("YYY", '{"rates":{"USD":"abc"}}')], "c string, raw string")
     parsed, rejects = PL.parse_fx_payloads(df)
     assert [(r.c, r.usd_per_unit) for r in parsed.collect()] == [("EUR", 1.08)]
-    assert rejects.count() == 1
+    assert rejects.count() == 2
 
 
 def test_cached_frame(spark):
