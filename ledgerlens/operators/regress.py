@@ -1,16 +1,16 @@
 """Robust (HC3) least squares at table scale.
 
-Two passes over the data, each a ``mapInPandas`` that turns an Arrow batch into
+Two passes after the means, each a ``mapInPandas`` that turns an Arrow batch into
 partial sums, reduced by a Spark ``groupBy(position).sum``:
 
-1. Gram pass: ``X'X``, ``X'y``, ``y'y``, ``Σy``, ``n``.
+1. Gram pass: ``X'X``, ``X'y``, ``y'y``, ``Σy``, ``n``, centred on the means.
 2. Meat pass: with ``β`` and ``(X'X)⁻¹`` (k×k, shipped in the task closure),
    residuals ``e``, leverages ``h = x'(X'X)⁻¹x`` and ``Σ x x' e²/(1−h)²``.
 
-Only k×k numbers reach the driver, where ``(X'X)⁻¹`` is a pseudo-inverse of
-the Jacobi-scaled Gram matrix (exactly collinear columns get the
-minimum-norm split, as a pseudo-inverse fit does). p-values and intervals use
-normal tails; the model F is the robust Wald F(q, n − rank).
+Only k×k numbers reach the driver, where one eigendecomposition of the
+Jacobi-scaled Gram matrix gives rank, generalised inverse (exactly collinear
+columns share their effect) and the coordinates of the F test. p-values and
+intervals use normal tails; the model F is the robust Wald F(q, n − rank).
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from ledgerlens.functions.dist import f_sf, normal_ppf_975, normal_two_sided_p
 from ledgerlens.operators.features import add_engineered_features, positive_log_target
 from ledgerlens.spec import CAUSAL_MIN_EFFECT, R2_SIGNAL, SIGNIFICANCE, TableSpec
 
+#: Default bound on a categorical's levels: each is a column of the k×k matrices.
 MAX_LEVELS = 1000
 HIGH_LEVERAGE = 1.0 - 1e-10
+RANK_CUTOFF = 1e-10
 
 
 @dataclass
@@ -48,7 +50,7 @@ def categorical_levels(df: DataFrame, col: str, cap: int = MAX_LEVELS) -> list[s
     return [r.v for r in rows]
 
 
-def build_design(df: DataFrame, y: str, terms: Sequence[str], *, intercept: bool = True) -> Design:
+def build_design(df: DataFrame, y: str, terms: Sequence[str], *, intercept: bool = True, max_levels: int = MAX_LEVELS) -> Design:
     """Treatment-coded design: ``C(col)`` terms become dummies (first level is the
     base), listed before numeric terms; names follow ``C(col)[T.level]``."""
     names: list[str] = ["Intercept"] if intercept else []
@@ -56,7 +58,7 @@ def build_design(df: DataFrame, y: str, terms: Sequence[str], *, intercept: bool
     cats = [t[2:-1] for t in terms if t.startswith("C(")]
     nums = [t for t in terms if not t.startswith("C(")]
     for c in cats:
-        levels = categorical_levels(df, c)
+        levels = categorical_levels(df, c, max_levels)
         for lv in levels[1:]:
             names.append(f"C({c})[T.{lv}]")
             cols.append(F.when(F.col(c).cast("string") == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -139,20 +141,50 @@ def _r(x, digits):
     return None if np.isnan(x) or np.isinf(x) else round(x, digits)
 
 
-def ols_hc3(df: DataFrame, y: str, terms: Sequence[str], *, name: str = "ols", intercept: bool = True) -> OLSResult:
-    """OLS with HC3 robust covariance, fitted by two distributed passes."""
-    design = build_design(df, y, terms, intercept=intercept)
-    k = len(design.terms)
+def _spectral_inverse(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(generalised inverse, basis B, rank) of a Gram matrix from one decomposition.
+
+    Eigenvalues of the Jacobi-scaled matrix under ``RANK_CUTOFF`` of the largest
+    count as zero, for the inverse, the rank and the F test alike. The columns of
+    ``B`` span the estimable directions: inverse = B B', so ``B' (X'y)`` are the
+    estimable coordinates of the coefficients.
+    """
+    d = np.diag(gram)
+    scale = np.where(d > 0, 1.0 / np.sqrt(np.where(d > 0, d, 1.0)), 0.0)
+    values, vectors = np.linalg.eigh(gram * np.outer(scale, scale)) if len(d) else (np.zeros(0), np.zeros((0, 0)))
+    kept = values > RANK_CUTOFF * values.max(initial=0.0)
+    basis = scale[:, None] * vectors[:, kept] / np.sqrt(values[kept])
+    return basis @ basis.T, basis, int(kept.sum())
+
+
+def ols_hc3(df: DataFrame, y: str, terms: Sequence[str], *, name: str = "ols", intercept: bool = True, max_levels: int = MAX_LEVELS) -> OLSResult:
+    """OLS with HC3 robust covariance, fitted by distributed passes.
+
+    With an intercept, regressors and target are centred on their first-pass means,
+    so no sum of squares is the small difference of large numbers. Rows of leverage
+    1 leave HC3 undefined: their number is reported and errors, F and p are null.
+    """
+    design = build_design(df, y, terms, intercept=intercept, max_levels=max_levels)
+    slopes = [i for i, t in enumerate(design.terms) if not (intercept and i == 0)]
+    k = len(slopes)
     data = _design_frame(df.select(*design.source_columns), design)
-    xcols = [f"x{i}" for i in range(k)]
+    xcols = [f"x{i}" for i in slopes]
+    centre, y_centre = np.zeros(k), 0.0
+    if intercept:
+        row = data.agg(F.avg("y").alias("y"), *[F.avg(c).alias(c) for c in xcols]).first()
+        if row["y"] is None:
+            raise ValueError("no complete rows to fit")
+        centre, y_centre = np.array([row[c] for c in xcols], dtype="float64"), float(row["y"])
+
+    def centred(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf[xcols].to_numpy(dtype="float64") - centre, pdf["y"].to_numpy(dtype="float64") - y_centre
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros(k * k + k + 3)
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = pdf[xcols].to_numpy(dtype="float64")
-            yy = pdf["y"].to_numpy(dtype="float64")
+            x, yy = centred(pdf)
             acc[: k * k] += (x.T @ x).ravel()
             acc[k * k: k * k + k] += x.T @ yy
             acc[k * k + k] += yy @ yy
@@ -163,50 +195,55 @@ def ols_hc3(df: DataFrame, y: str, terms: Sequence[str], *, name: str = "ols", i
     g = _reduce_packed(data.mapInPandas(gram, "pos int, value double"))
     if g.size == 0 or g[k * k + k + 2] == 0:
         raise ValueError("no complete rows to fit")
-    xtx = g[: k * k].reshape(k, k)
     xty = g[k * k: k * k + k]
-    yty, ysum, n = g[k * k + k], g[k * k + k + 1], int(round(g[k * k + k + 2]))
-    d = np.diag(xtx).copy()
-    scale = np.where(d > 0, 1.0 / np.sqrt(np.where(d > 0, d, 1.0)), 0.0)
-    scaled = xtx * np.outer(scale, scale)
-    sv = np.linalg.svd(scaled, compute_uv=False)
-    tol = sv.max() * max(scaled.shape) * np.finfo(float).eps if sv.size else 0.0
-    rank = int((sv > tol).sum())
-    inv = np.linalg.pinv(scaled, rcond=1e-12) * np.outer(scale, scale)
+    sst, ysum, n = g[k * k + k], g[k * k + k + 1], int(round(g[k * k + k + 2]))
+    inv, basis, slope_rank = _spectral_inverse(g[: k * k].reshape(k, k))
     beta = inv @ xty
+    mean = 1.0 / n if intercept else 0.0
 
     def meat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(k * k + 2)
+        acc = np.zeros((k + 1) * (k + 1) + 2)
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = pdf[xcols].to_numpy(dtype="float64")
-            e = pdf["y"].to_numpy(dtype="float64") - x @ beta
-            h = np.einsum("ij,jk,ik->i", x, inv, x)
+            x, yy = centred(pdf)
+            e = yy - x @ beta
+            h = ((x @ basis) ** 2).sum(axis=1) + mean
             ok = h < HIGH_LEVERAGE
             w = np.where(ok, e * e / np.where(ok, (1.0 - h) ** 2, 1.0), 0.0)
-            acc[: k * k] += (x.T @ (x * w[:, None])).ravel()
-            acc[k * k] += e @ e
-            acc[k * k + 1] += (~ok).sum()
+            full = np.hstack([np.ones((len(x), 1)), x])
+            acc[:-2] += (full.T @ (full * w[:, None])).ravel()
+            acc[-2] += e @ e
+            acc[-1] += (~ok).sum()
         yield pd.DataFrame({"pos": np.arange(len(acc), dtype="int32"), "value": acc})
 
     m = _reduce_packed(data.mapInPandas(meat, "pos int, value double"))
-    meat_m = m[: k * k].reshape(k, k)
-    sse, n_hi = m[k * k], int(round(m[k * k + 1]))
-    cov = inv @ meat_m @ inv
-    sst = yty - ysum * ysum / n if intercept else yty
+    meat_m = m[:-2].reshape(k + 1, k + 1)
+    sse, n_hi = m[-2], int(round(m[-1]))
+    sst = sst - ysum * ysum / n if intercept else sst
     r2 = 1.0 - sse / sst if sst > 0 else float("nan")
-    df_resid = n - rank
-    df_model = rank - (1 if intercept else 0)
+    rank = slope_rank + (1 if intercept else 0)
+    df_resid, df_model = n - rank, slope_rank
     adj = 1.0 - (n - (1 if intercept else 0)) / df_resid * (1.0 - r2) if df_resid > 0 else float("nan")
     f_stat, f_p = float("nan"), float("nan")
-    if df_model > 0 and df_resid > 0:
-        idx = [i for i, t in enumerate(design.terms) if t != "Intercept"]
-        rb = beta[idx]
-        rvr = cov[np.ix_(idx, idx)]
-        f_stat = float(rb @ np.linalg.pinv(rvr) @ rb / df_model)
+    if df_model > 0 and df_resid > 0 and not n_hi:
+        # Wald test in the estimable coordinates, where the covariance has full rank
+        coordinates = basis.T @ xty
+        spread = basis.T @ meat_m[1:, 1:] @ basis
+        f_stat = float(coordinates @ np.linalg.solve(spread, coordinates) / df_model)
         f_p = f_sf(f_stat, df_model, df_resid)
-    return OLSResult(name, design.terms, beta, cov, n, rank, r2, adj, f_stat, f_p, df_model, df_resid, n_hi)
+    if intercept:
+        bread = np.zeros((k + 1, k + 1))
+        bread[0, 0], bread[1:, 1:] = mean, inv
+        back = np.eye(k + 1)
+        back[0, 1:] = -centre  # from centred regressors to the given ones
+        coef = back @ np.concatenate([[y_centre + ysum / n], beta])
+        cov = back @ (bread @ meat_m @ bread) @ back.T
+    else:
+        coef, cov = beta, inv @ meat_m[1:, 1:] @ inv
+    if n_hi:
+        cov = np.full_like(cov, np.nan)
+    return OLSResult(name, design.terms, coef, cov, n, rank, r2, adj, f_stat, f_p, df_model, df_resid, n_hi)
 
 
 # -- J3–J7 model jobs ---------------------------------------------------------------------
@@ -239,10 +276,9 @@ def price_elasticity(df: DataFrame, spec: TableSpec) -> DataFrame:
     p = normal_two_sided_p(b / s) if s > 0 else float("nan")
     q = normal_ppf_975()
     if not p < SIGNIFICANCE:
-        text = ("Not statistically distinguishable from zero - no measurable price sensitivity "
-                "in this dataset.")
+        text = "The interval includes zero: these rows do not show that volume reacts to price."
     else:
-        text = f"Demand is {'elastic' if abs(b) > 1 else 'inelastic'} (elasticity {b:+.3f})."
+        text = f"Volume reacts {'more' if abs(b) > 1 else 'less'} than proportionally to price (elasticity {b:+.3f})."
     return df.sparkSession.createDataFrame(
         [(round(b, 6), round(s, 6), round(p, 6), round(b - q * s, 6), round(b + q * s, 6), res.n,
           bool(p < SIGNIFICANCE), text)],
@@ -297,12 +333,12 @@ def vif_table(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFra
     for i in range(k):
         for j in range(i, k):
             cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
-    vif = np.diag(np.linalg.pinv(corr))
-    return df.sparkSession.createDataFrame(
-        [(c, round(float(v), digits)) for c, v in zip(cols, vif)], "feature string, vif double"
-    )
+    varies = np.diag(cov) > 0  # a constant column has no inflation factor: NULL
+    sd = np.sqrt(np.diag(cov)[varies])
+    vif = np.full(k, np.nan)
+    if varies.any():
+        vif[varies] = np.diag(np.linalg.pinv(cov[np.ix_(varies, varies)] / np.outer(sd, sd)))
+    return df.sparkSession.createDataFrame([(c, _r(v, digits)) for c, v in zip(cols, vif)], "feature string, vif double")
 
 
 def stack_fit_stats(results: Sequence[OLSResult], spark: SparkSession) -> DataFrame:

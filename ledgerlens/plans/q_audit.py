@@ -160,8 +160,7 @@ register(
 SELECT t.high_min AS threshold, t.high_min, t.low_max, t.high_min > t.low_max AS separable,
        ROUND(AVG(CASE WHEN (s.Sales_Volume >= t.high_min) = (s.Sales_Classification = 'High') THEN 1.0 ELSE 0.0 END), 6)
          AS accuracy,
-       printf('CONFIRMED leakage: Sales_Classification == ''High'' iff Sales_Volume >= %d (perfectly separable, '
-              || 'threshold rule accuracy = %.4f).', t.high_min,
+       printf('Sales_Volume >= %d alone decides Sales_Classification: the rule is right on %.4f of the rows', t.high_min,
               AVG(CASE WHEN (s.Sales_Volume >= t.high_min) = (s.Sales_Classification = 'High') THEN 1.0 ELSE 0.0 END))
          AS verdict
 FROM sales s, (SELECT min(CASE WHEN Sales_Classification = 'High' THEN Sales_Volume END) AS high_min,

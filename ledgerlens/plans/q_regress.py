@@ -41,9 +41,9 @@ register("price_elasticity_hc3", "J1 J2 J5 B3 B11", ELASTICITY_SQL)(
 _REPORT_HEAD = """SELECT ROUND(b1, 6) AS elasticity, ROUND(se, 6) AS std_err, ROUND(p, 6) AS p_value,
        ROUND(b1 - 1.959963984540054 * se, 6) AS ci_low, ROUND(b1 + 1.959963984540054 * se, 6) AS ci_high,
        CAST(n AS BIGINT) AS n_obs, p < 0.05 AS is_significant,
-       CASE WHEN p < 0.05 THEN printf('Demand is %s (elasticity %+.3f).',
-                                      CASE WHEN abs(b1) > 1 THEN 'elastic' ELSE 'inelastic' END, b1)
-            ELSE 'Not statistically distinguishable from zero - no measurable price sensitivity in this dataset.'
+       CASE WHEN p < 0.05 THEN printf('Volume reacts %s than proportionally to price (elasticity %+.3f).',
+                                      CASE WHEN abs(b1) > 1 THEN 'more' ELSE 'less' END, b1)
+            ELSE 'The interval includes zero: these rows do not show that volume reacts to price.'
        END AS interpretation
 FROM (SELECT b1, n, se, CASE WHEN az = 0 THEN 1.0 ELSE greatest(0.0, 2.0 * (0.5 - exp(-az * az / 2.0) / sqrt(2 * pi())
              * (SELECT sum(exp((2 * s.k + 1) * ln(az) - (s.k + 1) * ln(2.0) - lgamma(s.k + 1.5) + 0.5 * ln(pi())))

@@ -111,3 +111,47 @@ def test_null_effect_on_random_data(sample_sales, spec):
 def test_vif_independent_columns_near_one(sample_sales, spec):
     v = {r.feature: r.vif for r in RG.vif_table(sample_sales, [spec.engine, spec.mileage, spec.price]).collect()}
     assert all(0.99 < x < 1.05 for x in v.values())
+
+
+def test_f_of_a_collinear_design_equals_the_reduced_one(spark):
+    rng = np.random.default_rng(9)
+    n = 900
+    x, z = rng.normal(size=n), rng.integers(0, 4, n)
+    pdf = pd.DataFrame({"x": x, "x2": 3.0 - 2.0 * x, "z": z.astype(str), "y": 1e6 + rng.normal(size=n)})
+    df = spark.createDataFrame(pdf)
+    full = RG.ols_hc3(df, "y", ["C(z)", "x", "x2"])
+    reduced = RG.ols_hc3(df, "y", ["C(z)", "x"])
+    assert full.rank == reduced.rank == 5 and full.df_model == reduced.df_model == 4
+    assert full.f_stat == pytest.approx(reduced.f_stat, rel=1e-8) and full.r2 == pytest.approx(reduced.r2, rel=1e-8)
+    assert full.f_pvalue > 0.001
+
+
+def test_full_leverage_reports_null_errors(spark):
+    pdf = pd.DataFrame({"z": ["a"] * 20 + ["b"] * 20 + ["only"], "y": np.arange(41.0)})
+    res = RG.ols_hc3(spark.createDataFrame(pdf), "y", ["C(z)"])
+    row = res.fit_stats(spark).first()
+    assert row.n_high_leverage == 1 and row.f_stat is None
+    assert all(r.std_err is None for r in res.coefficients(spark).collect())
+
+
+def test_vif_of_a_constant_column_is_null(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"a": rng.normal(size=200), "b": rng.normal(size=200), "c": np.ones(200)})
+    vif = {r.feature: r.vif for r in RG.vif_table(spark.createDataFrame(pdf), ["a", "b", "c"]).collect()}
+    assert vif["c"] is None and vif["a"] == pytest.approx(1, abs=0.1)
+
+
+def test_findings_on_a_frame_without_signal(sample_sales, spec):
+    found = {r.title: r for r in AU.integrity_findings(sample_sales, spec).collect()}
+    assert found["any association"].verdict == "NO SIGNAL" and found["leaked label"].verdict == "LEAKAGE"
+    assert f"columns: {len(spec.fact_columns)};" in found["structure"].detail
+
+
+def test_chi2_of_uneven_cells_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.choice(list("pqrst"), 400, p=[0.6, 0.2, 0.1, 0.07, 0.03]), "b": rng.choice(list("uvwxyz"), 400)})
+    pdf = pdf[~((pdf.a == "t") & (pdf.b == "u"))]
+    got = AU.chi2_independence(spark.createDataFrame(pdf), "a", "b").first()
+    table = pd.crosstab(pdf.a, pdf.b).to_numpy(float)
+    e = np.outer(table.sum(1), table.sum(0)) / table.sum()
+    assert got.chi2 == pytest.approx(((table - e) ** 2 / e).sum(), abs=1e-6)
