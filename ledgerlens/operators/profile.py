@@ -111,15 +111,18 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of (a, b) with zero cells filled, long form.
 
-    The full grid comes from a pivot on ``b`` (levels found by Spark, bounded
-    by ``spark.sql.pivotMaxValues``) and an unpivot back; no cross join.
+    The levels come from the counted cells; each level of ``a`` is paired with the
+    levels of ``b`` by an equi-join, so the rows that arise are those of the result
+    and nothing is collected.
     """
-    counts = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct().orderBy(b).collect()]
-    wide = counts.where(F.col("b").isNotNull()).groupBy("a").pivot("b", levels).agg(F.first("n")).na.fill(0)
-    long = wide.unpivot(["a"], levels, "b", "n")
-    return long.select(
-        F.col("a").alias(a.lower()), F.col("b").alias(b.lower()), F.col("n").cast("long").alias("n")
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    table = F.lit(0).alias("table")
+    rows = cells.select(table, F.col("a").alias("ga")).distinct()
+    columns = cells.where(F.col("b").isNotNull()).select(table, F.col("b").alias("gb")).distinct()
+    grid = rows.join(columns, "table").drop("table")
+    same = F.col("ga").eqNullSafe(F.col("a")) & (F.col("gb") == F.col("b"))
+    return grid.join(cells, same, "left").select(
+        F.col("ga").alias(a.lower()), F.col("gb").alias(b.lower()), F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 

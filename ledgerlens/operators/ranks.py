@@ -1,4 +1,4 @@
-"""Distributed exact ranks (E6): cumulative counts and exact percentiles.
+"""Distributed exact ranks (E6): cumulative counts, order statistics, percentiles.
 
 A window ``ORDER BY value`` without a partition key sends every row to one task,
 and a window partitioned by a hot group does the same for that group. Here the
@@ -10,9 +10,9 @@ group that spans many partitions (a skewed group) is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import write_shared
@@ -95,48 +95,56 @@ def cumulative_counts(
     return out.drop("_pid", "_pos", "_first", "_wsum", "_off")
 
 
-def exact_percentiles(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    quantiles: dict[str, float],
-    *,
-    dedupe: bool = True,
-) -> DataFrame:
+#: Buckets that an open interval is counted into, per round of a selection.
+SELECT_BUCKETS = 4096
+
+
+def order_statistics(df: DataFrame, group_cols: Sequence[str], value_col: str, index_of: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact order statistics per group by counting buckets: no sort, no shuffle of rows.
+
+    ``index_of`` maps a name to the zero-based position wanted, as a function of the
+    group's number of non-null values. Each round counts the values of every open
+    interval in ``SELECT_BUCKETS`` buckets and keeps the bucket that holds the
+    position, narrowed to the smallest and largest value in it, until those are
+    equal. Rounds follow the digits of the values (a handful), not their number. The
+    state, a row for each group and name, is written between rounds; it is joined to
+    the rows, where the planner broadcasts it if it is small.
+
+    Returns one row per group: the group, ``n`` and one column per name.
+    """
+    groups = list(group_cols)
+    data = df.where(F.col(value_col).isNotNull()).select(F.lit(0).alias("_all"), *groups, F.col(value_col).alias("_v"))
+    keys = ["_all", *groups]
+    span = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("at")) for name, at in index_of.items()])
+    state = span.withColumn("_w", F.explode(wanted)).select(*keys, "n", F.col("_w.name").alias("name"), F.col("_w.at").alias("at"), "_lo", "_hi")
+    state = write_shared(state, "select")
+    while state.where(F.col("_lo") < F.col("_hi")).limit(1).count():
+        open_ = state.where(F.col("_lo") < F.col("_hi"))
+        hits = data.join(open_, [data[k].eqNullSafe(open_[k]) for k in keys]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+        bucket = F.least(F.floor(share * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1)).cast("int")
+        own = [open_[k] for k in keys]
+        counted = hits.groupBy(*own, "n", "name", "at", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_k").over(Window.partitionBy(*keys, "name").orderBy("_b"))
+        narrowed = counted.withColumn("_cum", upto).where((F.col("_cum") > F.col("at")) & (F.col("_cum") - F.col("_k") <= F.col("at")))
+        narrowed = narrowed.select(*keys, "n", "name", (F.col("at") - F.col("_cum") + F.col("_k")).alias("at"), "_lo", "_hi")
+        state = write_shared(state.where(F.col("_lo") >= F.col("_hi")).unionByName(narrowed), "select")
+    return state.groupBy(*keys, "n").pivot("name", list(index_of)).agg(F.first("_lo")).drop("_all")
+
+
+def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact percentiles by linear interpolation (position ``q·(n−1)``).
 
-    Same definition as SQL ``percentile`` / ``quantile_cont`` but without holding
-    a value map per group in one task: ranks come from :func:`cumulative_counts`.
-    ``dedupe=True`` first counts each distinct value (best when values repeat a
-    lot); ``dedupe=False`` ranks the rows themselves by position (best for
-    near-continuous values: no counting shuffle, no window). Both are exact.
-    Returns one row per group with one column per entry of ``quantiles``.
+    Same definition as SQL ``percentile`` / ``quantile_cont``, from
+    :func:`order_statistics`. One row per group, one column per entry of ``quantiles``.
     """
-    group_cols = list(group_cols)
-    cc = cumulative_counts(df.select(*group_cols, value_col), group_cols, value_col, unique_values=not dedupe)
-    totals = cc.groupBy(*group_cols).agg(F.sum("k").alias("_n"))
-    if group_cols:
-        with_n = cc.join(totals, group_cols)
-    else:  # one global group: its size is a scalar
-        with_n = cc.withColumn("_n", F.lit(int(totals.first()["_n"] or 0)))
-    qarr = F.array(*[
-        F.struct(F.lit(name).alias("qname"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()
-    ])
-    exploded = with_n.select(*group_cols, value_col, "k", "cum", "_n", F.explode(qarr).alias("qq"))
-    pos = F.col("qq.q") * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    below = F.col("cum") - F.col("k")
-    covers_lo = (below <= lo) & (lo < F.col("cum"))
-    covers_hi = (below <= hi) & (hi < F.col("cum"))
-    picked = (
-        exploded.where(covers_lo | covers_hi)
-        .groupBy(*group_cols, F.col("qq.qname").alias("qname"))
-        .agg(
-            F.max(F.when(covers_lo, F.col(value_col))).alias("v_lo"),
-            F.max(F.when(covers_hi, F.col(value_col))).alias("v_hi"),
-            F.first(pos - lo).alias("frac"),
-        )
-        .withColumn("value", F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
-    )
-    wide = picked.groupBy(*group_cols).pivot("qname", list(quantiles)).agg(F.first("value"))
-    return wide
+    at = lambda q: lambda n: F.lit(float(q)) * (n - 1)
+    index = {}
+    for name, q in quantiles.items():
+        index[f"{name}__lo"] = lambda n, q=q: F.floor(at(q)(n))
+        index[f"{name}__hi"] = lambda n, q=q: F.ceil(at(q)(n))
+    found = order_statistics(df, group_cols, value_col, index)
+    between = lambda name, q: F.col(f"{name}__lo") + (at(q)(F.col("n")) - F.floor(at(q)(F.col("n")))) * (F.col(f"{name}__hi") - F.col(f"{name}__lo"))
+    return found.select(*group_cols, *[between(name, q).alias(name) for name, q in quantiles.items()])

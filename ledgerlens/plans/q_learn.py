@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import audit as AU
 from ledgerlens.operators import learn as LN
-from ledgerlens.plans.catalogue import facts, register
+from ledgerlens.plans.catalogue import facts, facts_signature, register
 from ledgerlens.plans.oracle import SPEC, hash_uniform_sql, with_sales
 
 SEED = 42
@@ -42,7 +42,7 @@ def _split(spark, d, stratified: bool):
     permutation test)."""
     from ledgerlens.session import write_shared
 
-    key = (id(spark), d, stratified)
+    key = (spark.sparkContext.applicationId, d, facts_signature(spark, d), stratified)
     if key not in _SPLITS:
         split = LN.assign_split(_labelled(spark, d), "row_key", seed=SEED, stratify="label" if stratified else None)
         _SPLITS[key] = write_shared(split, "split")
@@ -234,12 +234,18 @@ def _perm(spark, d):
 _PERM_CTES = _split_ctes(False) + f""",
 tr AS (SELECT row_key, Model, y FROM spl WHERE split = 'train'),
 te AS (SELECT Model, y FROM spl WHERE split = 'test'),
-base AS (SELECT y, row_number() OVER (ORDER BY md5(row_key || ':0')) AS rank FROM tr),
-pm AS (SELECT unnest(range(1, {N_PERM + 1})) AS perm),
-sh AS (SELECT perm, Model, row_number() OVER (PARTITION BY perm ORDER BY md5(row_key || ':' || CAST(perm AS VARCHAR)))
-              AS rank FROM tr, pm),
+base AS (SELECT y, CAST(row_number() OVER (ORDER BY md5(row_key || ':0')) - 1 AS HUGEINT) AS j FROM tr),
+size AS (SELECT CAST(COUNT(*) AS HUGEINT) AS n FROM tr),
+pm AS (WITH RECURSIVE r(perm, a) AS (
+         SELECT 1, (SELECT CAST({LN.PERM_PRIME} AS HUGEINT) % n FROM size)
+         UNION ALL SELECT perm + 1, (a * (SELECT CAST({LN.PERM_PRIME} AS HUGEINT) % n FROM size)) % (SELECT n FROM size)
+         FROM r WHERE perm < {N_PERM})
+       SELECT perm, a, (perm * {LN.PERM_SHIFT}) % (SELECT n FROM size) AS b FROM r),
+places AS (SELECT Model, SUM(k) OVER (ORDER BY Model) - k AS lo, SUM(k) OVER (ORDER BY Model) AS hi
+           FROM (SELECT Model, COUNT(*) AS k FROM tr GROUP BY Model) c),
+sh AS (SELECT pm.perm, base.y, (pm.a * base.j + pm.b) % (SELECT n FROM size) AS place FROM base, pm),
 alltr AS (SELECT 0 AS perm, Model, y FROM tr
-          UNION ALL SELECT sh.perm, sh.Model, base.y FROM sh JOIN base USING (rank)),
+          UNION ALL SELECT sh.perm, places.Model, sh.y FROM sh JOIN places ON sh.place >= places.lo AND sh.place < places.hi),
 gm AS (SELECT perm, Model, avg(y) AS m FROM alltr GROUP BY perm, Model),
 om AS (SELECT perm, avg(y) AS m FROM alltr GROUP BY perm),
 scores AS (
@@ -368,7 +374,7 @@ _BENCH_CACHE: dict = {}
 
 def _benchmark_cached(spark, d):
     """The benchmark table is small (task × model × metric); keep its rows per session."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d, facts_signature(spark, d))
     if key not in _BENCH_CACHE:
         _BENCH_CACHE[key] = [tuple(r) for r in _benchmark(spark, d).collect()]
     return spark.createDataFrame(_BENCH_CACHE[key], "task string, model string, metric string, value double")

@@ -1,9 +1,7 @@
-"""Plan guards: no cross products, filters reach the scan, stream refresh works."""
+"""Plan guards: no cross products, filters reach the scan, cut points without sorting rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 import __spark_entry__ as entry
 import pytest
@@ -42,25 +40,60 @@ def test_fact_scan_prunes_columns(spark):
     assert "ReadSchema: struct<Region:string,Sales_Volume:int>" in plan
 
 
-def test_streaming_refresh_processes_new_files(spark):
-    from ledgerlens.streaming.reports import refresh_report
-
-    facts = catalogue.facts(spark, SF_SMALL)
-    schema = facts.schema
-    land = tempfile.mkdtemp(prefix="ledgerlens-land-")
-    ckpt = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-stream-"), "c")
-    half = facts.where("Year <= 1997")
-    half.write.mode("append").parquet(land)
-    first = {r.region: r.n_records for r in refresh_report(spark, land, schema, TPCH_SPEC, checkpoint=ckpt).collect()}
-    facts.where("Year > 1997").write.mode("append").parquet(land)
-    second = {r.region: r.n_records for r in refresh_report(spark, land, schema, TPCH_SPEC, checkpoint=ckpt).collect()}
-    total = {r.Region: r["count"] for r in facts.groupBy("Region").count().collect()}
-    assert second == total and all(first[k] <= second[k] for k in first)
-
-
 @pytest.mark.parametrize("name", ["top_regions_by_volume", "price_stats_by_model", "yoy_volume"])
 def test_reports_run_on_unmaterialised_join(spark, name):
     from ledgerlens.operators import reports
 
     f = catalogue.facts_unmaterialised(spark, SF_SMALL)
     assert reports.REPORTS[name](f, TPCH_SPEC).count() > 0
+
+
+def test_quartiles_and_split_neither_sort_nor_shuffle_the_facts(spark):
+    from ledgerlens.operators import learn, reports
+
+    f = catalogue.facts(spark, SF_SMALL)
+    split = _plan(learn.assign_split(f, "row_key"))
+    assert "Exchange" not in split and "Sort" not in split
+    quartiles = _plan(reports.price_stats_by_model(f, TPCH_SPEC))
+    # the facts meet one partial aggregate; all other exchanges are of group-sized rows
+    assert quartiles.count("Price_USD") and "SortMergeJoin" not in quartiles.split("Price_USD")[0]
+
+
+def test_facts_follow_their_sources(spark, tmp_path):
+    import shutil
+
+    folder = str(tmp_path / "sf")
+    shutil.copytree(SF_SMALL, folder)
+    n = catalogue.facts(spark, folder).count()
+    spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(100).coalesce(1).write.parquet(f"{folder}/new")
+    shutil.rmtree(f"{folder}/lineitem.parquet", ignore_errors=True)
+    import os
+
+    os.chmod(folder, 0o755)
+    if os.path.exists(f"{folder}/lineitem.parquet"):
+        os.remove(f"{folder}/lineitem.parquet")
+    os.rename(f"{folder}/new", f"{folder}/lineitem.parquet")
+    assert 0 < catalogue.facts(spark, folder).count() <= 100 < n
+
+
+def test_no_private_folder_on_a_cluster(monkeypatch):
+    from ledgerlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -7,9 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.functions import dist
-from ledgerlens.operators.ranks import cumulative_counts, exact_percentiles
+from ledgerlens.operators.ranks import cumulative_counts, exact_percentiles, order_statistics
 
 
 def _skewed(spark, n=4000, seed=3):
@@ -49,3 +50,24 @@ def test_distribution_tails():
     assert dist.normal_two_sided_p(1.959964) == pytest.approx(0.05, abs=1e-6)
     assert 0.04 < dist.kolmogorov_sf(1.358 / math.sqrt(5000), 5000) < 0.06
     assert math.isnan(dist.f_sf(float("nan"), 1, 2))
+
+
+def test_tails_at_large_degrees_of_freedom():
+    for f, d1 in ((1.01, 24), (0.6, 24), (1.9, 5)):
+        limit = dist.chi2_sf(d1 * f, d1)
+        assert dist.f_sf(f, d1, 1e12) == pytest.approx(limit, rel=1e-8)
+        assert dist.f_sf(f, d1, 1e9) == pytest.approx(limit, rel=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_order_statistics_match_sorting(spark, kind):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.lognormal(0, 6, 700), np.full(90, 2.0), [-5.0]])
+    if kind == "long":
+        values = (values * 1e6).clip(-9e17, 9e17).astype("int64")
+    pdf = pd.DataFrame({"g": ["a" if i % 3 else None for i in range(len(values))], "v": values})
+    df = spark.createDataFrame(pdf)
+    got = {r["g"]: r for r in order_statistics(df, ["g"], "v", {"lo": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "hi": lambda n: n - 1}).collect()}
+    for g in ("a", None):
+        ordered = np.sort(values[[(x == g) for x in pdf["g"].where(pdf["g"].notna(), None)]])
+        assert (got[g]["n"], got[g]["lo"], got[g]["mid"], got[g]["hi"]) == (len(ordered), ordered[0], ordered[len(ordered) // 2], ordered[-1])
