@@ -10,7 +10,6 @@ sources    loading, schema checks, the TPC-H fact adapter, JSON payloads, sinks
 operators  reports, profile, features, panel, audit, regression, learning, scenarios
 functions  column-expression helpers (hash randomness, binning) and scalar tails
 plans      the named query catalogue and its DuckDB oracle SQL
-streaming  incremental refresh of the SQL reports over an arriving fact folder
 """
 
 from ledgerlens.session import checkpoint_dir, get_session
