@@ -52,7 +52,7 @@ SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 ESCAPE = 1e-8
 #: Standard deviations that an estimate may fall short of the threshold.
 SLACK = 5.0
-TILE = 512
+TILE = 4096
 KNOWN_WORDS = 500_000
 
 
@@ -297,7 +297,8 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of representatives whose full shingle sets reach the threshold."""
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        # the ids grow with the corpus: a shuffle join at every size, never a broadcast of them
+        texts = narrow.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         sets = stage(texts.mapInArrow(_full_sets(shingle_words), "id long, hashes binary"), "full-sets")
         side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(threshold_percent), "a long, b long")
