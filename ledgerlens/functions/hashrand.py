@@ -38,12 +38,10 @@ def hash_order(*parts) -> Column:
     return F.md5(_text(parts))
 
 
-def seed_from(*parts) -> int:
-    """Integer seed from sha1 of the '|'-joined parts (first 8 hex digits)."""
-    import hashlib
-
-    payload = "|".join(str(p) for p in parts)
-    return int(hashlib.sha1(payload.encode("utf-8")).hexdigest()[:8], 16)
+def sha1_seed(*parts) -> Column:
+    """H5: integer seed from the sha1 of the '|'-joined parts (first 8 hex digits)."""
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def hash_rank_key(*parts) -> Column:

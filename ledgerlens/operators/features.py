@@ -78,11 +78,6 @@ def select_features(df: DataFrame, spec: TableSpec, *, include_leakage: bool = F
     return numeric, categorical
 
 
-def drop_null_regressors(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Drop rows with a null in any regressor."""
-    return df.dropna(subset=columns)
-
-
 def label_encode(df: DataFrame, spec: TableSpec, out: str = "label") -> DataFrame:
     """Positive label -> 1, anything else -> 0."""
     return df.withColumn(out, (F.col(spec.label) == F.lit(spec.positive_label)).cast("int"))

@@ -20,12 +20,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashrand import hash_order, hash_rank_key, hash_uniform
-from ledgerlens.operators.features import add_engineered_features, feature_columns
+from ledgerlens.operators.features import add_engineered_features, select_features
 from ledgerlens.operators.ranks import cumulative_counts, exact_percentiles, order_statistics
 from ledgerlens.session import write_shared
 from ledgerlens.spec import CONFORMAL_INFORMATIVE, CONTROL_R2, SEED, SIGNIFICANCE, TableSpec
@@ -348,42 +348,45 @@ def permutation_pvalue(scores: DataFrame) -> DataFrame:
 
 
 # -- K3–K6, K9, K16 Spark ML learners ---------------------------------------------------
+#: Boosting rounds and trees: of the benchmark, conformal and capability learners, and of the audit's scorer.
+ROUNDS, AUDIT_ROUNDS, TREES = 400, 150, 400
+RATE, LEAVES_DEPTH = 0.05, 5  # 2^5 = 32 leaves at most
 REGRESSORS = {
-    "GBT": lambda seed: GBTRegressor(featuresCol="features", labelCol="label", seed=seed, maxIter=40,
-                                     stepSize=0.1, maxDepth=5),
-    "RandomForest": lambda seed: RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed,
-                                                       numTrees=40, maxDepth=8),
-    "Linear": lambda seed: LinearRegression(featuresCol="features", labelCol="label"),
+    "GBT": lambda seed, rounds, trees: GBTRegressor(featuresCol="features", labelCol="label", seed=seed, maxIter=rounds,
+                                                    stepSize=RATE, maxDepth=LEAVES_DEPTH),
+    "RandomForest": lambda seed, rounds, trees: RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed,
+                                                                      numTrees=trees, maxDepth=8),
+    "Linear": lambda seed, rounds, trees: LinearRegression(featuresCol="features", labelCol="label"),
 }
 CLASSIFIERS = {
-    "GBT": lambda seed: GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=40,
-                                      stepSize=0.1, maxDepth=5),
-    "RandomForest": lambda seed: RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
-                                                        numTrees=40, maxDepth=8),
-    "Logistic": lambda seed: LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
+    "GBT": lambda seed, rounds, trees: GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=rounds,
+                                                     stepSize=RATE, maxDepth=LEAVES_DEPTH),
+    "RandomForest": lambda seed, rounds, trees: RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
+                                                                       numTrees=trees, maxDepth=8),
+    "Logistic": lambda seed, rounds, trees: LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
 }
 
 
-def param_space(est, task: str, name: str):
-    """K5: small grids per family (sampled below)."""
-    g = ParamGridBuilder()
-    if name == "GBT":
-        g = g.addGrid(est.maxDepth, [3, 5, 7]).addGrid(est.stepSize, [0.05, 0.1, 0.2])
-    elif name == "RandomForest":
-        g = g.addGrid(est.maxDepth, [5, 8, 12]).addGrid(est.numTrees, [40, 80])
-    elif name == "Linear":
-        g = g.addGrid(est.regParam, [0.0, 0.01, 0.1]).addGrid(est.elasticNetParam, [0.0, 0.5])
-    else:
-        g = g.addGrid(est.regParam, [0.0, 0.01, 0.1]).addGrid(est.elasticNetParam, [0.0, 0.5])
-    return g.build()
+def random_params(est, name: str, n_iter: int, seed: int) -> list[dict]:
+    """K5: ``n_iter`` parameter maps drawn at random from each family's ranges."""
+    rng = random.Random(f"{name}:{seed}")
+    draws = []
+    for _ in range(n_iter):
+        if name == "GBT":
+            draws.append({est.maxDepth: rng.randint(3, 8), est.stepSize: math.exp(rng.uniform(math.log(0.01), math.log(0.3))),
+                          est.subsamplingRate: rng.uniform(0.6, 1.0), est.minInstancesPerNode: rng.randint(1, 50)})
+        elif name == "RandomForest":
+            draws.append({est.maxDepth: rng.randint(4, 12), est.subsamplingRate: rng.uniform(0.5, 1.0),
+                          est.minInstancesPerNode: rng.randint(1, 50)})
+        else:
+            draws.append({est.regParam: math.exp(rng.uniform(math.log(1e-6), math.log(1.0))), est.elasticNetParam: rng.uniform(0.0, 1.0)})
+    return draws
 
 
 def model_frame(df: DataFrame, spec: TableSpec, task: str, *, include_leakage: bool = False) -> tuple:
     """Features + ``label`` (target) for a task; the leaked label column is dropped."""
     data = add_engineered_features(df, spec)
-    cols = feature_columns(spec, include_leakage=include_leakage)
-    numeric = [c for c in cols["numeric"] if c in data.columns]
-    categorical = [c for c in cols["categorical"] if c in data.columns]
+    numeric, categorical = select_features(data, spec, include_leakage=include_leakage)
     if task == "regression":
         label = F.col(spec.volume).cast("double")
     else:
@@ -394,16 +397,16 @@ def model_frame(df: DataFrame, spec: TableSpec, task: str, *, include_leakage: b
 
 
 def train_one(train: DataFrame, test: DataFrame, numeric, categorical, task: str, name: str, *,
-              tune: bool = False, n_iter: int = 6, folds: int = 3, seed: int = SEED, parallelism: int = 4):
+              tune: bool = False, n_iter: int = 6, folds: int = 3, seed: int = SEED, parallelism: int = 4,
+              rounds: int = ROUNDS, trees: int = TREES):
     """K3/K4/K5: fit one family (optionally random search + CV), score on test.
 
     Returns (fitted PipelineModel, metrics dict).
     """
-    est = (REGRESSORS if task == "regression" else CLASSIFIERS)[name](seed)
+    est = (REGRESSORS if task == "regression" else CLASSIFIERS)[name](seed, rounds, trees)
     pipe = Pipeline(stages=preprocessing_stages(numeric, categorical) + [est])
     if tune:
-        grid = param_space(est, task, name)
-        grid = random.Random(seed).sample(grid, min(n_iter, len(grid)))
+        grid = random_params(est, name, n_iter, seed)
         evaluator = (RegressionEvaluator(metricName="r2") if task == "regression"
                      else BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0))
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
@@ -437,8 +440,8 @@ def mlp_classifier(train: DataFrame, test: DataFrame, numeric, categorical, *, s
                                                         "f1": m["f1"]}
 
 
-def benchmark(df: DataFrame, spec: TableSpec, *, tune: bool = False, seed: int = SEED,
-              families: Sequence[str] | None = None) -> DataFrame:
+def benchmark(df: DataFrame, spec: TableSpec, *, tune: bool = True, seed: int = SEED,
+              families: Sequence[str] | None = None, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
     """Every family for regression and classification, plus the leakage
     run; returns the long metrics table (task, model, metric, value)."""
     spark = df.sparkSession
@@ -451,7 +454,8 @@ def benchmark(df: DataFrame, spec: TableSpec, *, tune: bool = False, seed: int =
         train, test = split.where("split = 'train'"), split.where("split = 'test'")
         names = families or list((REGRESSORS if task == "regression" else CLASSIFIERS))
         for name in names:
-            _, metrics = train_one(train, test, num, cat, task, name, tune=tune and not include_leakage, seed=seed)
+            _, metrics = train_one(train, test, num, cat, task, name, tune=tune and not include_leakage, seed=seed,
+                                   rounds=rounds, trees=trees)
             rows += [(tag, name, k, None if v is None else float(v)) for k, v in metrics.items()]
     return spark.createDataFrame(rows, "task string, model string, metric string, value double")
 
@@ -468,14 +472,14 @@ def best_models(metrics: DataFrame) -> DataFrame:
 
 # -- I11 / K14 / K15 ----------------------------------------------------------------------
 def positive_control(df: DataFrame, spec: TableSpec, synthetic: DataFrame, *, family: str = "GBT",
-                     seed: int = SEED) -> DataFrame:
+                     seed: int = SEED, rounds: int = AUDIT_ROUNDS) -> DataFrame:
     """The same learner on the real and on the signal-bearing target."""
     out = []
     for label, source in (("real", df), ("synthetic", synthetic)):
         frame, num, cat = model_frame(source, spec, "regression")
         split = assign_split(frame, spec.key, seed=seed)
         _, m = train_one(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, "regression",
-                         family, seed=seed)
+                         family, seed=seed, rounds=rounds)
         out.append((label, float(m["r2"])))
     r_real, r_syn = out[0][1], out[1][1]
     validated = r_syn > CONTROL_R2

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashrand import hash_normal
 from ledgerlens.operators.features import clip, value_map
+from ledgerlens.session import write_shared
 from ledgerlens.spec import PROVENANCE_ORDER, RESOLUTION_ORDER, TableSpec
 
 # ---------------------------------------------------------------------------
@@ -195,16 +196,18 @@ def fuel_panel(facts: DataFrame, spec: TableSpec, window: PanelWindow) -> DataFr
 def build_external_panel(facts: DataFrame, spec: TableSpec, window: PanelWindow | None = None):
     """(region×year panel, region×year×fuel panel, provenance frame).
 
-    macro ⟗ CO2 ⟗ FX on (region, year) (C2).
+    macro ⟗ CO2 ⟗ FX on (region, year) (C2). The facts are read once, for their
+    distinct (region, fuel, year); the key table and both panels are written, so
+    whatever uses them scans small tables.
     """
-    window = window or year_window(facts, spec)
-    sp = region_spine(facts, spec, window)
-    panel = (
+    keys = write_shared(facts.select(spec.region, spec.fuel, spec.year).distinct(), "panel-keys")
+    window = window or year_window(keys, spec)
+    sp = region_spine(keys, spec, window)
+    panel = write_shared(
         macro_panel(sp, window)
         .join(co2_panel(sp, window), ["region", "year"], "full_outer")
-        .join(fx_panel(sp, window), ["region", "year"], "full_outer")
-    )
-    fuel = fuel_panel(facts, spec, window)
+        .join(fx_panel(sp, window), ["region", "year"], "full_outer"), "panel")
+    fuel = write_shared(fuel_panel(keys, spec, window), "fuel-panel")
     spark = facts.sparkSession
     provenance = spark.createDataFrame([(s, "mock") for s in PANEL_SOURCES], "source string, provenance string")
     return panel, fuel, provenance

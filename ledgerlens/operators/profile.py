@@ -231,14 +231,6 @@ def argmax_by_group(df: DataFrame, group: str, item: str, metric: str) -> DataFr
     )
 
 
-def stack_frames(frames: Sequence[DataFrame]) -> DataFrame:
-    """UNION ALL by column name (missing columns filled with NULL)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
-
-
 def column_difference(have: Sequence[str], want: Sequence[str]) -> tuple[list[str], list[str]]:
     """(missing, unexpected) column names."""
     return sorted(set(want) - set(have)), sorted(set(have) - set(want))

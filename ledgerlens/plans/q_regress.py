@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.operators import panel as PN
+from ledgerlens.operators import audit as AU
 from ledgerlens.operators import regress as RG
 from ledgerlens.operators.features import add_engineered_features
 from ledgerlens.plans.catalogue import facts, register
@@ -121,6 +122,24 @@ def _econometric_summary(spark, d):
 register("econometric_summary", "J4 J8 J9")(_econometric_summary)
 
 
+def _econometric_report(spark, d):
+    """Both fits, the elasticity, the inflation factors and the leak, as (section, item, value)."""
+    f = facts(spark, d)
+    rows = []
+    for fit in (RG.hedonic_price_model(f, SPEC), RG.demand_model(_enriched(spark, d), SPEC)):
+        rows += [(fit.name, k, v) for k, v in (("n_obs", fit.n), ("rank", fit.rank), ("r2", fit.r2), ("f_stat", fit.f_stat), ("f_pvalue", fit.f_pvalue))]
+    e = RG.price_elasticity(f, SPEC).first()
+    rows += [("Elasticity", k, e[k]) for k in ("elasticity", "std_err", "p_value", "ci_low", "ci_high")]
+    rows += [("Inflation factors", r.feature, r.vif) for r in RG.vif_table(add_engineered_features(f, SPEC), VIF_DEFAULT).collect()]
+    leak = AU.prove_leakage(f, SPEC).first()
+    rows += [("Leaked label", k, leak[k]) for k in ("threshold", "accuracy")]
+    clean = [(a, b, None if v is None or v != v else float(v)) for a, b, v in rows]
+    return spark.createDataFrame(clean, "section string, item string, value double")
+
+
+register("econometric_report", "J9 J3 J4 J5 J7 I6")(_econometric_report)
+
+
 def _attr_naive(spark, d):
     data = RG.positive_log_target(add_engineered_features(facts(spark, d), SPEC), SPEC)
     res = RG.ols_hc3(data, "log_volume", ["log_price"], name="naive")
@@ -141,8 +160,6 @@ WHERE Sales_Volume > 0""", features=True),
 
 
 def _attr_synthetic(spark, d):
-    from ledgerlens.operators import audit as AU
-
     data = AU.signal_bearing_target(facts(spark, d), SPEC)
     terms = [f"C({SPEC.region})", "is_premium_tier", SPEC.engine, SPEC.year, SPEC.price, "is_electrified"]
     res = RG.ols_hc3(data, "synthetic_demand", terms, name="synthetic")

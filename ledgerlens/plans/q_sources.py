@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.hashrand import sha1_seed
 from ledgerlens.operators import panel as PN
 from ledgerlens.plans.catalogue import facts, facts_signature, register
 from ledgerlens.plans.oracle import SPEC, with_sales
 from ledgerlens.plans.q_panel import panel_sql
+from ledgerlens.session import checkpoint_dir
 from ledgerlens.sources import facts as SRC
 from ledgerlens.sources import payloads as PL
 
@@ -40,8 +44,11 @@ ORDER BY total_volume DESC"""
 
 
 def _view_report(spark, d):
+    """The facts landed as CSV, viewed with inferred types, and the report run on the view."""
+    path = f"{checkpoint_dir(spark)}/ledgerlens-stage/view-{uuid.uuid4().hex}.csv"
+    facts(spark, d).select(*SPEC.fact_columns).write.option("header", True).csv(path)
     view = "ledgerlens_sales_view"
-    facts(spark, d).createOrReplaceTempView(view)
+    SRC.register_view(spark, path, view)
     return spark.sql(_VIEW_SQL.format(view=view))
 
 
@@ -49,6 +56,15 @@ register("sql_view_top_regions", "A4 A5",
          with_sales(_VIEW_SQL.format(view="sales").replace("100.0D", "CAST(100.0 AS DOUBLE)")))(_view_report)
 
 
+register(
+    "sha1_seeds", "H5",
+    with_sales("""
+SELECT DISTINCT Region AS region, Year AS year,
+       CAST('0x' || substr(sha1(Region || '|' || CAST(Year AS VARCHAR) || '|42'), 1, 8) AS BIGINT) AS seed FROM sales"""),
+)(lambda spark, d: facts(spark, d).select(F.col(SPEC.region).alias("region"), F.col(SPEC.year).alias("year")).distinct()
+  .withColumn("seed", sha1_seed(F.col("region"), F.col("year"), 42)))
+
+
 def _payload_obs(spark, d):
     f = facts(spark, d)
     window = PN.year_window(f, SPEC)

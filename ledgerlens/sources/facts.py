@@ -72,17 +72,6 @@ def coerce_types(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
     return df.select(*[cast(c).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
-def count_bad_casts(df: DataFrame, ddl: str = FACT_DDL) -> DataFrame:
-    """Per column, rows whose non-null value does not cast (``try_cast`` is null)."""
-    types = dict(part.strip().split(" ", 1) for part in ddl.split(","))
-    cols = [c for c in df.columns if c in types]
-    aggs = [
-        F.sum((F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS {types[c]})").isNull()).cast("long")).alias(c)
-        for c in cols
-    ]
-    return df.agg(*aggs).unpivot([], cols, "column_name", "n_bad")
-
-
 # -- A1 load ------------------------------------------------------------------
 def load_raw(
     spark: SparkSession,
@@ -181,10 +170,3 @@ def sales_facts(spark: SparkSession, sf_dir: str, spec: TableSpec = TPCH_SPEC) -
         row_key(F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"),
                 F.col("l_linenumber"), F.col("l_extendedprice")).alias(spec.key),
     )
-
-
-def assert_unique_key(df: DataFrame, key: str = "row_key") -> None:
-    """Raise when the row key repeats (one aggregate pass)."""
-    dup = df.groupBy(key).count().filter("count > 1").limit(1).count()
-    if dup:
-        raise ValueError(f"row key {key!r} is not unique")
