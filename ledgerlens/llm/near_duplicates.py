@@ -53,7 +53,7 @@ ESCAPE = 1e-8
 #: Standard deviations that an estimate may fall short of the threshold.
 SLACK = 5.0
 TILE = 4096
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 
 class WordHash(dict):

@@ -33,7 +33,7 @@ from ledgerlens.llm.tokens import load_tokenizer
 
 WINDOW = 2048
 #: Words whose ids a task keeps, and characters that a word may have to be kept.
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
 #: Words whose lower case and classes are settled (nothing in them composes), and
 #: the tokenizer's split of them into pre-tokens (fixed value).
 PLAIN = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"

@@ -33,7 +33,7 @@ from ledgerlens.llm.common import stage
 #: Bytes of text after which a block ends.
 BLOCK_BYTES = 32_000_000
 #: Words of a part whose counts a task keeps.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters only are split by ``PRE_TOKEN`` in the regex module;

@@ -56,7 +56,7 @@ REPORTING = frozenset("said says say quote quoted quotes called term word wrote
 ADDRESS = frozenset("you your yours du dich dir dein deine ihr euch tu te toi ton ta vous votre tú usted tus vosotros".split())
 QUOTES = "\"“”„«»‹›"
 WORDS = re.compile(r"[^\W_]+")
-SEEN_WORDS = 400_000
+SEEN_WORDS = 200_000
 
 
 def held_out(doc_id: Column) -> Column:

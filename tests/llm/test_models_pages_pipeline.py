@@ -194,24 +194,31 @@ def test_pages_cases(spark):
     assert parse("<article>x<div class='comments'>c<div>d</div></div>y</div>z<aside>a</aside></article><p>t") == (["x", "y", "z"], ["t"])
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, monkeypatch):
+    """One run over the small documents, with every stage's input and output looked at."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").cache()
-    whole = docs.count()
-    clean = p.drop_toxic(spark, docs, SMALL).cache()
-    assert clean.columns == docs.columns and whole * 0.8 < clean.count() <= whole
-    single = p.drop_near_duplicates(spark, clean, SMALL).cache()
-    assert single.columns == docs.columns and 0 < single.count() < clean.count()
-    masked = p.mask_personal_data(spark, single, SMALL).cache()
-    assert masked.count() == single.count() and masked.filter("text rlike '@mail[0-9]'").count() == 0
-    assert masked.filter("n_chars <> length(text)").count() == 0
-    mixed = p.mix_sources(spark, masked, SMALL).cache()
-    assert mixed.columns == docs.columns and mixed.count() > 0
-    rows = p.pack_sequences(spark, mixed, SMALL).collect()
+    seen = []
+
+    def watched(name, step):
+        def run(spark, docs, sf_dir):
+            out = step(spark, docs, sf_dir)
+            seen.append((name, docs, out))
+            return out
+
+        return name, run
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+    monkeypatch.setattr(p, "STAGES", [watched(*x) for x in p.STAGES])
+    rows = p.run(spark, SMALL).collect()
+    counts = [docs.count() for _, docs, _ in seen]  # of the written tables
+    whole, clean, single, masked, mixed = counts
+    columns = spark.read.parquet(f"{SMALL}/documents.parquet").columns
+    assert all(docs.columns == columns for _, docs, _ in seen)
+    assert whole * 0.8 < clean <= whole and 0 < single < clean and masked == single and mixed > 0
+    assert seen[3][1].filter("text rlike '@mail[0-9]' or n_chars <> length(text)").count() == 0
     assert rows and max(r["offset"] + r["length"] for r in rows) <= 2048
-    again = p.run(spark, SMALL)
-    assert again.count() > 0 and [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+    assert sum(r["start"] == 0 for r in rows) == mixed
 
 
 def test_pipeline_takes_odd_tables(spark):
