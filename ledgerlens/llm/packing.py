@@ -33,10 +33,10 @@ from ledgerlens.llm.tokens import load_tokenizer
 
 WINDOW = 2048
 #: Words whose ids a task keeps, and characters that a word may have to be kept.
-CACHED_WORDS, CACHED_CHARS = 150_000, 64
-#: Words whose lower case and classes are settled (nothing in them composes), and
+CACHED_WORDS, CACHED_CHARS = 400_000, 64
+#: Texts whose lower case and classes are settled (nothing in them composes), and
 #: the tokenizer's split of them into pre-tokens (fixed value).
-PLAIN = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"
+PLAIN = r"[\x20-\x7e\xa1-\u012f\u0131-\u024f]*"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Ids that are handed on at a time.
 BATCH_IDS = 4_000_000
@@ -47,10 +47,11 @@ PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_
 class WordIds:
     """Ids of texts as little-endian bytes, word by word.
 
-    Words of plain Latin letters, digits and signs are lower-cased and split into
-    pre-tokens here, so that "The", "the" and "the," share a piece; the tokenizer
-    sees each new piece once, many to a call, and the pieces' ids are told apart by
-    the ids that end a word. All other words are given to the tokenizer as they are.
+    Texts of plain Latin letters, digits and signs are lower-cased and their words
+    split into pre-tokens here, so that "The", "the" and "the," share a piece; the
+    tokenizer sees each new piece once, many to a call, and the pieces' ids are told
+    apart by the ids that end a word. The words of all other texts are given to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -61,8 +62,8 @@ class WordIds:
         tokenizer = load_tokenizer(path)
         self.encode = tokenizer.encode_batch_fast
         self.dtype = np.dtype(dtype)
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}  # of plain words and their pre-tokens
+        self.words: dict[str, bytes] = {"": b""}  # of the others
         self.plain = re.compile(PLAIN).fullmatch
         self.split = regex.compile(PIECE).findall
         vocabulary = tokenizer.get_vocab()
@@ -73,46 +74,61 @@ class WordIds:
         found = self.encode(words, add_special_tokens=False)
         return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, found, strict=True)}
 
-    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+    def _learn(self, fresh: list[str]) -> None:
         """Ids of new pieces, which hold no white space and are one pre-token each."""
-        out: dict[str, bytes] = {}
         groups = [fresh[i : i + 1000] for i in range(0, len(fresh), 1000)]
         for group, found in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.dtype)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(group) or last[-1] != len(ids):
-                out |= self._alone(group)
+                self.pieces |= self._alone(group)
                 continue
             raw, width = ids.tobytes(), self.dtype.itemsize
             stops = (last * width).tolist()
-            out.update(zip(group, [raw[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
-        return out
+            self.pieces.update(zip(group, [raw[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+    def _plain(self, split: list[list[str]]) -> list[bytes]:
         if len(self.pieces) > CACHED_WORDS:
-            self.pieces = {}
-        known, pieces = self.known, self.pieces
-        fresh = [w for w in set().union(*split) if w not in known]
-        parts: dict[str, list[str]] = {}
+            self.pieces = {"": b""}
+        pieces = self.pieces
+        fresh = set().union(*split).difference(pieces)
+        new, ended, several = [], [], {}
         for w in fresh:
-            if "<|" not in w and self.plain(w):
-                low = w.lower()
-                parts[w] = [low] if low.isalpha() else self.split(low)
-        new = self._learn([p for p in set().union(*parts.values()) if p not in pieces]) if parts else {}
-        pieces.update(new)
-        ids = self._alone([w for w in fresh if w not in parts])
-        ids.update((w, b"".join([pieces[p] for p in found])) for w, found in parts.items())
-        long = {w: ids.pop(w) for w in fresh if len(w) > CACHED_CHARS}
-        for p in [p for p in new if len(p) > CACHED_CHARS]:
-            del pieces[p]
-        known.update(ids)
-        if long:
-            return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            if w.isalpha():
+                new.append(w)
+            elif w[:-1].isalpha():
+                ended.append(w)  # letters and one other character: two pre-tokens
+            else:
+                several[w] = self.split(w)
+        more = {w[:-1] for w in ended}.union((w[-1] for w in ended), *several.values())
+        more = more.difference(new).difference(pieces)
+        self._learn([*new, *more])
+        for w in ended:
+            pieces[w] = pieces[w[:-1]] + pieces[w[-1]]
+        for w, found in several.items():
+            if w not in more:
+                pieces[w] = b"".join([pieces[p] for p in found])
+        out = [b"".join(map(pieces.__getitem__, words)) for words in split]
+        for w in [w for w in (*fresh, *more) if len(w) > CACHED_CHARS]:
+            pieces.pop(w, None)
+        return out
+
+    def _other(self, split: list[list[str]]) -> list[bytes]:
+        if len(self.words) > CACHED_WORDS:
+            self.words = {"": b""}
+        fresh = set().union(*split).difference(self.words)
+        self.words |= self._alone(list(fresh))
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w in [w for w in fresh if len(w) > CACHED_CHARS]:
+            del self.words[w]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        texts = [t.replace("\n", " ") for t in texts]
+        plain = ["<|" not in t and self.plain(t) is not None for t in texts]
+        lowered = iter(self._plain([t.lower().split(" ") for t, p in zip(texts, plain, strict=True) if p]))
+        others = iter(self._other([t.split(" ") for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(lowered if p else others) for p in plain]
 
 
 def _tokenize(path: str, end_id: int, dtype: str):
