@@ -24,12 +24,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bytes that a batch of rows may hold on its way to a Python worker. Texts and shingle
+#: sets are long; Spark's own bound (64 MB) is met several times over in a small executor.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches to ``BATCH_BYTES`` if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder (zstd Parquet) and reads it back.
 
     The plan ends there: later jobs, and retries after a lost executor, reread
     the files instead of running the tasks again.
     """
+    bound_batches(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/ledgerlens-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import bound_batches
+
 #: Fixed patterns: what follows an e-mail's at-sign, an address, a digit group, a phone number.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -163,6 +165,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans, for every row."""
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_spans, f"doc_id long, {FOUND_SCHEMA}")
 
@@ -191,4 +194,5 @@ def _mask(place: int):
 
 def mask_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced by tags such as ``[EMAIL]``."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_mask(docs.columns.index(text_col)), docs.schema)
