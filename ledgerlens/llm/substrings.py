@@ -3,8 +3,9 @@
 A gear hash over the last ``GEAR_BYTES`` bytes is rolled along a document; a
 chunk ends where it falls below a threshold. Cuts depend on nearby bytes alone
 (no smallest or largest chunk), so a passage is cut alike wherever it stands and
-an insertion shifts nothing beyond its own chunk. Chunks are compared by 128-bit
-digests. A chunk found in two or more documents is repeated; a run of
+an insertion shifts nothing beyond its own chunk. Chunks are compared by 64-bit
+digests (a chance collision makes one chunk of a few words look repeated, not a
+run of several). A chunk found in two or more documents is repeated; a run of
 neighbouring repeated chunks that holds at least ``min_words`` words is a
 repeated passage. Its first copy is the one in the smallest document id.
 
@@ -37,7 +38,7 @@ GEAR_BYTES, MEAN_BYTES = 16, 24
 MIN_WORDS = 16
 #: Shorter chunks recur by chance; at a run's ends they don't count as part of the passage.
 SURE_CHARS = 12
-CHUNK_SCHEMA = "doc_id long, seq int, start int, stop int, words int, digest binary"
+CHUNK_SCHEMA = "doc_id long, seq int, start int, stop int, words int, digest long"
 
 
 def gear_table(seed: int = 20) -> np.ndarray:
@@ -72,7 +73,7 @@ def cut_points(data: np.ndarray, gear: np.ndarray, mean: int = MEAN_BYTES) -> np
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
+    from xxhash import xxh3_64_intdigest
 
     gear = gear_table()
     space = np.zeros(256, bool)
@@ -80,8 +81,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(parts):
         cols = [np.concatenate(c) for c in zip(*(p[:5] for p in parts), strict=True)]
-        digests = [d for p in parts for d in p[5]]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests, pa.binary())], ["doc_id", "seq", "start", "stop", "words", "digest"])
+        digests = np.concatenate([p[5] for p in parts]).view("i8")
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests)], ["doc_id", "seq", "start", "stop", "words", "digest"])
 
     for batch in batches:
         parts, held = [], 0
@@ -99,7 +100,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.cumsum(begins)
             upto = lambda c: np.concatenate([[0], c[ends - 1]])  # noqa: B023, E731
             at, n = upto(chars), np.diff(upto(words))
-            digests = [xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            digests = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), "u8", len(ends))
             parts.append((np.full(len(ends), doc_id, "i8"), np.arange(len(ends), dtype="i4"), at[:-1].astype("i4"), at[1:].astype("i4"), n.astype("i4"), digests))
             held += len(ends)
             if held > 200_000:
