@@ -3,16 +3,23 @@
 A gear hash over the last ``GEAR_BYTES`` bytes is rolled along a document; a
 chunk ends where it falls below a threshold. Cuts depend on nearby bytes alone
 (no smallest or largest chunk), so a passage is cut alike wherever it stands and
-an insertion shifts nothing beyond its own chunk. Chunks are compared by 64-bit
-digests (a chance collision makes one chunk of a few words look repeated, not a
-run of several). A chunk found in two or more documents is repeated; a run of
-neighbouring repeated chunks that holds at least ``min_words`` words is a
-repeated passage. Its first copy is the one in the smallest document id.
+an insertion shifts nothing beyond its own chunk.
+
+Compared are windows: the shortest sequences of neighbouring chunks, from each
+chunk on and up to each chunk, that hold ``min_words`` words. A window found in
+two or more documents is repeated, so at least ``min_words`` words stand in the
+same order in one other document; phrases from several documents never add up
+to a passage. Its first copy is the one in the smallest document id. Repeated
+windows that overlap are one repeated passage, apart for those whose first copy
+is in this document and those that an earlier document has: what a document adds
+to a copied passage is first there, and is kept there when that is copied on.
+Windows are compared by 64-bit digests, which are not held against the texts
+(two billion windows have one equal pair by chance in about ten corpora).
 
 Shuffled are digests with their places: once to find the repeated ones
-(aggregated before the shuffle, so a chunk that a third of all documents share
+(aggregated before the shuffle, so a window that a third of all documents share
 is one row per task), and once to join them back, where the planner may split
-a hot digest. Runs are found per document among repeated chunks only.
+a hot digest. Passages are found per document among repeated windows only.
 
 Defined results: null and empty texts have no chunks; repeated rows of one id
 are one document and do not repeat each other; repeats inside one document do
@@ -26,19 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stage
 
 #: Bytes that a cut depends on, and mean bytes of a chunk.
 GEAR_BYTES, MEAN_BYTES = 16, 24
-#: Words that a run of repeated chunks must hold to be a passage. The chunks at a
-#: passage's ends are lost, so this is far below the passages looked for (50 words).
+#: Words that a window must hold. The chunks at a passage's ends are lost, so this
+#: is far below the passages looked for (50 words).
 MIN_WORDS = 16
-#: Shorter chunks recur by chance; at a run's ends they don't count as part of the passage.
+#: Shorter chunks recur by chance; at a window's ends they don't count as part of the passage.
 SURE_CHARS = 12
-CHUNK_SCHEMA = "doc_id long, seq int, start int, stop int, words int, digest long"
+#: Places are pairs of offsets in one long: begin << 32 | end, of code points, words and chunks.
+WINDOW_SCHEMA = "doc_id long, chars long, words long, chunks long, digest long"
+PASSAGE_SCHEMA = "doc_id long, start long, stop long, n_words long, n_chunks long, first_doc_id long, is_first boolean"
 
 
 def gear_table(seed: int = 20) -> np.ndarray:
@@ -72,7 +81,20 @@ def cut_points(data: np.ndarray, gear: np.ndarray, mean: int = MEAN_BYTES) -> np
     return out if len(out) and out[-1] == len(data) else np.append(out, len(data))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and end (exclusive) of the shortest windows of ``least`` words from and up to each chunk.
+
+    ``words`` are the words before each chunk, and all words at the end.
+    """
+    n = len(words)
+    every = np.arange(n)
+    to = np.searchsorted(words, words + least)
+    since = np.searchsorted(words, words - least, "right") - 1
+    keys = np.unique(np.concatenate([(every * n + to)[to < n], (since * n + every)[since >= 0]]))
+    return keys // n, keys % n
+
+
+def _windows(min_words: int):
     from xxhash import xxh3_64_intdigest
 
     gear = gear_table()
@@ -80,67 +102,124 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     space[[9, 10, 11, 12, 13, 32]] = True
 
     def emit(parts):
-        cols = [np.concatenate(c) for c in zip(*(p[:5] for p in parts), strict=True)]
-        digests = np.concatenate([p[5] for p in parts]).view("i8")
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests)], ["doc_id", "seq", "start", "stop", "words", "digest"])
-
-    for batch in batches:
-        parts, held = [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_py()
-            if not raw:
-                continue
-            data = np.frombuffer(raw, "u1")
-            ends = cut_points(data, gear)
-            starts = np.concatenate([[0], ends[:-1]])
-            chars = np.cumsum((data & 0xC0) != 0x80)
-            blank = space[data]
-            begins = ~blank
-            begins[1:] &= blank[:-1]
-            words = np.cumsum(begins)
-            upto = lambda c: np.concatenate([[0], c[ends - 1]])  # noqa: B023, E731
-            at, n = upto(chars), np.diff(upto(words))
-            digests = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), "u8", len(ends))
-            parts.append((np.full(len(ends), doc_id, "i8"), np.arange(len(ends), dtype="i4"), at[:-1].astype("i4"), at[1:].astype("i4"), n.astype("i4"), digests))
-            held += len(ends)
-            if held > 200_000:
+        cols = [np.concatenate(c) for c in zip(*(p[:4] for p in parts), strict=True)]
+        digests = np.concatenate([p[4] for p in parts]).view("i8")
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests)], ["doc_id", "chars", "words", "chunks", "digest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, held = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py()
+                if not raw:
+                    continue
+                data = np.frombuffer(raw, "u1")
+                at = np.concatenate([[0], cut_points(data, gear)])
+                blank = space[data]
+                begins = ~blank
+                begins[1:] &= blank[:-1]
+                upto = lambda mask: np.concatenate([[0], np.cumsum(mask)[at[1:] - 1]])  # noqa: B023, E731
+                chars, words = upto((data & 0xC0) != 0x80), upto(begins)
+                a, b = windows_of(words, min_words)
+                sure = np.flatnonzero(np.diff(chars) >= SURE_CHARS)
+                first, last = np.searchsorted(sure, a), np.searchsorted(sure, b) - 1
+                some = first <= last
+                start, stop = a.copy(), b.copy()
+                start[some], stop[some] = sure[first[some]], sure[last[some]] + 1
+                digests = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(at[a].tolist(), at[b].tolist(), strict=True)), "u8", len(a))
+                parts.append((np.full(len(a), doc_id, "i8"), chars[start] << 32 | chars[stop], words[a] << 32 | words[b], a << 32 | b, digests))
+                held += len(a)
+                if held > 200_000:
+                    yield emit(parts)
+                    parts, held = [], 0
+            if parts:
                 yield emit(parts)
-                parts, held = [], 0
-        if parts:
-            yield emit(parts)
-
 
-def chunk_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, seq, start, stop (code points), words, digest of every chunk."""
+    return run
+
+
+def extend(runs: list[list[int]], window: list[int]) -> None:
+    """Adds a window to the runs of those before it: begin and end in code points, in words and in chunks, first document."""
+    if runs and window[0] < runs[-1][1]:
+        last = runs[-1]
+        for k in (0, 2, 4):
+            last[k], last[k + 1] = min(last[k], window[k]), max(last[k + 1], window[k + 1])
+        last[6] = min(last[6], window[6])
+    else:
+        runs.append(window)
+
+
+def apart(later: list[list[int]], first: list[list[int]], least: int) -> list[tuple[list[int], bool]]:
+    """Runs that aren't first in their document, and what of the first ones lies beside them."""
+    out, at = [], 0
+    for run in first:
+        while at < len(later) and later[at][1] <= run[0]:
+            at += 1
+        k = at
+        while k < len(later) and later[k][0] < run[1]:
+            other = later[k]
+            if other[0] > run[0] and other[2] - run[2] >= least:
+                out.append(([run[0], other[0], run[2], other[2], run[4], other[4], run[6]], True))
+            run = [other[1], run[1], other[3], run[3], other[5], run[5], run[6]]
+            k += 1
+        if run[0] < run[1] and run[3] - run[2] >= least:
+            out.append((run, True))
+    return [*((x, False) for x in later), *out]
+
+
+def _passages(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out = None, []
+        runs: tuple[list[list[int]], list[list[int]]] = ([], [])
+
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            out.clear()
+            types = [pa.int64()] * 6 + [pa.bool_()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "start", "stop", "n_words", "n_chunks", "first_doc_id", "is_first"])
+
+        def close() -> None:
+            out.extend((key, x[0], x[1], x[3] - x[2], x[5] - x[4], x[6], own) for x, own in apart(*runs, min_words))
+            runs[0].clear()
+            runs[1].clear()
+
+        for batch in batches:
+            for doc_id, chars, words, chunks, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc_id != key:
+                    close()
+                    key = doc_id
+                extend(runs[first == doc_id], [chars >> 32, chars & 0xFFFFFFFF, words >> 32, words & 0xFFFFFFFF, chunks >> 32, chunks & 0xFFFFFFFF, first])
+            yield emit()
+        close()
+        yield emit()
+
+    return run
+
+
+def window_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, chars, words, chunks (places), digest of every window."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return narrow.filter(F.col("doc_id").isNotNull()).mapInArrow(_chunks, CHUNK_SCHEMA)
+    return narrow.filter(F.col("doc_id").isNotNull()).mapInArrow(_windows(min_words), WINDOW_SCHEMA)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first.
 
-    ``first_doc_id`` is the smallest document id that shares a chunk of the
-    passage; ``is_first`` tells that no chunk of it stands in a smaller one;
-    ``n_words`` counts the words of the whole run.
+    ``first_doc_id`` is the smallest document id that shares a window of the
+    passage; ``is_first`` tells that no window of it stands in a smaller one (of
+    a passage that is not first, every window does). Rows of a document don't
+    overlap: of a first passage, the parts of ``min_words`` words that lie beside
+    the others are given. ``n_words`` and ``n_chunks`` count the whole windows.
     """
-    chunks = stage(chunk_documents(docs, id_col=id_col, text_col=text_col), "chunks")
+    windows = stage(window_documents(docs, id_col=id_col, text_col=text_col, min_words=min_words), "windows")
     shared = (
-        chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+        windows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
         .filter(F.col("first_doc_id") < F.col("last")).select("digest", "first_doc_id")
     )
-    repeated = chunks.join(shared, "digest").select("doc_id", "seq", "start", "stop", "words", "first_doc_id")
-    repeated = repeated.repartition("doc_id").distinct()  # of repeated rows with one id; the window needs no other exchange
-    by_place = Window.partitionBy("doc_id").orderBy("seq", "start")
-    sure = F.col("stop") - F.col("start") >= SURE_CHARS
-    runs = repeated.withColumn("run", F.col("seq") - F.dense_rank().over(by_place))
-    return (
-        runs.groupBy("doc_id", "run").agg(
-            F.min(F.when(sure, F.col("start"))).cast("long").alias("start"), F.max(F.when(sure, F.col("stop"))).cast("long").alias("stop"), F.sum("words").alias("n_words"),
-            F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
-        )
-        .filter((F.col("n_words") >= min_words) & F.col("start").isNotNull())
-        .select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("is_first"))
-    )
+    repeated = windows.join(shared, "digest").select("doc_id", "chars", "words", "chunks", "first_doc_id")
+    sorted_ = repeated.repartition("doc_id").sortWithinPartitions("doc_id", "chars", "words", "chunks")
+    return sorted_.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

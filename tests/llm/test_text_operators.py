@@ -414,6 +414,23 @@ def test_repeated_passages(spark, documents, empty):
     assert q.op9_repeated_passages(spark, SF).count() > 0
 
 
+def test_passages_survive_once_in_chains(spark):
+    """Copies that were added to and then copied on: every passage stays in one document."""
+    from ledgerlens.llm.substrings import remove_passages, repeated_passages
+
+    rng = random.Random(18)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts, cores = {}, []
+    for i in range(0, 120, 6):
+        passages = [words(80) for _ in range(4)]
+        cores += [" ".join(p.split()[30:50]) for p in passages]
+        for j, chain in enumerate(([0], [0, 1], [0, 1], [2, 0, 1], [2, 0, 1, 3], [3, 0])):
+            texts[i + j] = " ".join([words(30), *(passages[k] for k in chain), words(30)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    left = [r["text"] for r in remove_passages(docs, repeated_passages(docs)).collect()]
+    assert [sum(c in t for t in left) for c in cores] == [1] * len(cores)
+
+
 def test_substring_cases(odd):
     from ledgerlens.llm.substrings import repeated_passages
 
