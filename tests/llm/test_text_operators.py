@@ -431,6 +431,19 @@ def test_passages_survive_once_in_chains(spark):
     assert [sum(c in t for t in left) for c in cores] == [1] * len(cores)
 
 
+def test_passages_come_from_one_document(spark):
+    """Phrases that stand in several documents, or in another order, are no passage."""
+    from ledgerlens.llm.substrings import repeated_passages
+
+    rng = random.Random(28)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    phrases = [words(14) for _ in range(60)]
+    texts = {i: f"{words(30)} {p} {words(30)}" for i, p in enumerate(phrases)}
+    texts |= {100 + i: " ".join(phrases[6 * i : 6 * i + 6]) for i in range(10)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert repeated_passages(docs).collect() == []
+
+
 def test_substring_cases(odd):
     from ledgerlens.llm.substrings import repeated_passages
 
