@@ -71,33 +71,31 @@ class Lexicon:
     """Trie of words and stems, walked through its Levenshtein product automaton."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset[str] = frozenset()) -> None:
-        self.weight = [0.0]  # of the word or stem that ends at a node
+        self.word: list[float | None] = [None]  # weight of the word that ends at a node
+        self.stem: list[float | None] = [None]  # and of the stem
         self.children: list[dict[str, int]] = [{}]
         self.term = [""]
-        self.kind = [0]  # 1: a word ends here, 2: a stem
         self.ordinary = ordinary
         for stem, weight in stems.items():
-            self._add(stem, weight, 2)
+            self._add(stem, weight, self.stem)
         for word, weight in words.items():
-            self._add(word, weight, 1)
+            self._add(word, weight, self.word)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.start = self._state(frozenset({(0, 0, "")}))
 
-    def _add(self, term: str, weight: float, kind: int) -> None:
+    def _add(self, term: str, weight: float, weights: list[float | None]) -> None:
         node = 0
         for c in term:
-            if self.kind[node] == 2:
-                return  # a stem already covers it
             if c not in self.children[node]:
                 self.children[node][c] = len(self.children)
                 self.children.append({})
-                self.weight.append(0.0)
+                self.word.append(None)
+                self.stem.append(None)
                 self.term.append(self.term[node] + c)
-                self.kind.append(0)
             node = self.children[node][c]
-        self.weight[node], self.kind[node] = weight, kind
+        weights[node] = weight
 
     def _state(self, members: frozenset) -> int:
         if members not in self.states:
@@ -114,16 +112,17 @@ class Lexicon:
                 yield from self._left_out(child, edits + 1)
 
     def _step(self, state: int, c: str) -> int:
-        """Moves of the product: node of the trie, edits so far, letter still owed by a swap."""
+        """Moves of the product: node of the trie, edits so far, letter still owed by a swap (``*``: past a stem)."""
         out = set()
         for node, edits, owed in self.sets[state]:
             if owed:
-                if c == owed:
+                if owed == "*":
+                    out.add((node, 0, "*"))
+                elif c == owed:
                     out.add((node, edits, ""))
                 continue
-            if self.kind[node] == 2 and not edits:
-                out.add((node, 0, ""))  # a stem takes any ending
-                continue
+            if self.stem[node] is not None and not edits:
+                out.add((node, 0, "*"))  # a stem takes any ending; the words under it go on
             for place, n in self._left_out(node, edits):
                 here = self.children[place]
                 if c in here:
@@ -149,17 +148,17 @@ class Lexicon:
             if after < 0:
                 return None
             state = after
-        best = None
+        best = None  # an entry itself goes before a misspelling
         for node, edits, owed in self.sets[state]:
+            if not edits and owed in ("", "*") and (weight := self.stem[node]) is not None:
+                best = max(best or (False, 0.0), (True, weight))
             if owed or not node:
                 continue
             for end, n in self._left_out(node, edits):
-                exact = n == 0
-                if self.kind[end] == 0 or (self.kind[end] == 2 and not exact):
-                    continue
-                if n <= edits_allowed(self.term[end]) and (exact or word not in self.ordinary):
-                    best = max(best or (0.0, False), (self.weight[end] * (1.0 if exact else FUZZY), exact))
-        return best
+                exact, weight = n == 0, self.word[end]
+                if weight is not None and n <= edits_allowed(self.term[end]) and (exact or word not in self.ordinary):
+                    best = max(best or (False, 0.0), (exact, weight * (1.0 if exact else FUZZY)))
+        return best and (best[1], best[0])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("states", "sets", "steps", "start")}
@@ -316,7 +315,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     stems: dict[str, float] = {}
     for t in sorted((t[:-1] for t in kept if t.endswith("*")), key=len):
         covered = any(t.startswith(s) for s in stems)
-        one_word = any(w.startswith(t) and strong[f"{t}*"]["toxic"] <= strong[w]["toxic"] for w in words)
+        one_word = any(w != t and w.startswith(t) and strong[f"{t}*"]["toxic"] <= strong[w]["toxic"] for w in words)
         if not covered and not one_word:  # a stem that is but one word's beginning says no more than the word
             stems[t] = weight(strong[f"{t}*"])
     lexicon = Lexicon(words, stems)

@@ -158,6 +158,44 @@ def test_automaton_equals_edit_distance():
         assert bool(found) == (exact or near) and (not found or found[1] == exact), word
 
 
+@pytest.mark.parametrize("stems", [["abca"], ["abab"], ["cabc", "bbbb", "abcab"]])
+def test_automaton_with_words_under_and_equal_to_stems(stems):
+    import random
+
+    from ledgerlens.llm.toxicity import Lexicon, edits_allowed
+
+    def distance(a, b):
+        d = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[-1, -1]
+
+    terms, rng = ["abab", "abc", "bbbbbaaa", "abcabcabc", "cabc"], random.Random(2)
+    lexicon = Lexicon({t: 1.0 for t in terms}, dict.fromkeys(stems, 2.0))
+    for _ in range(3000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word) + 1)
+            if rng.random() < 0.4:
+                word.insert(at, rng.choice("abc"))
+            elif word[at:]:
+                word[at : at + 2] = rng.choice([word[at : at + 2][::-1], word[at : at + 1], [rng.choice("abc")]])
+        word = "".join(word)
+        if not word:
+            continue
+        exact = word in terms or word.startswith(tuple(stems))
+        near = any(word[0] == t[0] and distance(word[1:], t[1:]) <= edits_allowed(t) for t in terms)
+        found = lexicon.match(word)
+        if rng.random() < 0.2:
+            word, found = word + "zz", lexicon.match(word + "zz")
+            exact = word in terms or word.startswith(tuple(stems))
+            near = any(word[0] == t[0] and distance(word[1:], t[1:]) <= edits_allowed(t) for t in terms)
+        assert bool(found) == (exact or near) and (not found or found[1] == exact), word
+
+
 def test_pages_whole_table(spark):
     import html
 
