@@ -39,6 +39,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?i)iban[\x20:=#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})\b")
 SSN = re.compile(r"(?i)(?:ssn|social security(?: number| no\.?)?)[\x20:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})\b")
 ACCOUNT = re.compile(r"(?i)(?:account|acct)(?: number| no\.?| nr\.?)?[\x20:=#]{0,3}([0-9](?:[\x20-]?[0-9]){5,16})\b")
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = dict(x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 "
+    "FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 "
+    "LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 "
+    "SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())
 URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s/]+")
 KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?:ghp_|gho_|sk_live_|sk-|xox[bap]-)[0-9A-Za-z_-]{16,}")
@@ -74,6 +80,21 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the IBAN that begins at ``start`` and may run on to ``stop`` ends.
+
+    Its country tells its length; without one, or if that fails, it is the longest
+    that ends with a word (for a known country only the whole run).
+    """
+    ends = [i + 1 for i in range(start, stop) if text[i] != " "]
+    length = int(IBAN_LENGTHS.get(text[start : start + 2].upper(), 0))
+    tries = [ends[length - 1], stop] if 0 < length <= len(ends) else [stop] if length else ends[:13:-1]
+    for end in tries:
+        if not (text[end : end + 1].isalnum() or text[end : end + 1] == "_") and iban_valid(text[start:end]):
+            return end
+    return None
+
+
 def email_at(text: str, at: int, floor: int) -> Span | None:
     """The e-mail around the at-sign at ``at`` that begins at ``floor`` or later."""
     domain = DOMAIN.match(text, at + 1)
@@ -135,8 +156,12 @@ def spans_of(text: str, machine) -> dict[str, list[Span]]:
                     while start and text[start - 1].isalnum() and text[start - 1].isascii():
                         start -= 1
                     span = (start, span[1])
-                ok = pattern is not IBAN or iban_valid(text[slice(*span)])
-                if ok and not (found[kind] and span[0] < found[kind][-1][1]):
+                if pattern is IBAN:
+                    end = iban_end(text, *span)
+                    if end is None:
+                        continue
+                    span = (span[0], end)
+                if not (found[kind] and span[0] < found[kind][-1][1]):
                     found[kind].append(span)
     return found
 

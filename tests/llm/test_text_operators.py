@@ -290,6 +290,18 @@ def test_personal_data(spark, documents, odd, empty):
 # near duplicates
 
 
+def test_accounts_before_words():
+    from ledgerlens.llm.pii import _anchors, spans_of
+
+    machine = _anchors()
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", " for the rent", ". Thanks", " is mine and 12 others are", " a", "\nand more"):
+            text = f"Pay to IBAN {iban}{after}"
+            assert spans_of(text, machine)["account"] == [(12, 12 + len(iban))], text
+    for text in ("IBAN DE89 3704 0044 0532 0130 01 for the rent", "IBAN DE89370400440532013000x and on"):
+        assert spans_of(text, machine)["account"] == []
+
+
 def brute_groups(texts: dict, size: int, percent: int):
     def shingles(text):
         words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
