@@ -232,6 +232,23 @@ def test_pages_cases(spark):
     assert parse("<article>x<div class='comments'>c<div>d</div></div>y</div>z<aside>a</aside></article><p>t") == (["x", "y", "z"], ["t"])
 
 
+def test_names_inside_main_parts():
+    from ledgerlens.llm.pages import parse
+
+    kept = ["<h2 id='social-impact'>T</h2>", "<h2 id='related'>T</h2>", "<section id='legal-basis'>T</section>", "<p class='notice-period'>T</p>", "<div class='related-work'><p>T <a href='x'>u</a> v w</p></div>"]
+    for part in kept:
+        for main in ("article", "main"):
+            text = " ".join(re.sub(r"<[^>]*>", "", part).split())
+            assert parse(f"<{main}>a<div>{part}</div>b</{main}>")[0] == ["a", text, "b"], part
+    for name in ("post comments-open", "category-social", "social"):
+        assert parse(f"<article class='{name}'><p>T</article>")[0] == ["T"]
+        assert parse(f"<main id='{name}'><article class='{name}'><p>T</article></main>")[0] == ["T"]
+    gone = ["<div class='comments'>T</div>", "<div id='cookie-banner'>T</div>", "<article class='comment'>T</article>", "<ul class='related-articles'><li><a href='x'>T</a><li><a href='y'>U</a></ul>", "<div class='x ad'>T</div>", "<div hidden class='x'>T</div>"]
+    for part in gone:
+        assert parse(f"<article>a<div>{part}</div>b</article>")[0] == ["a", "b"], part
+    assert parse("<div class='social-links'>T</div><p>t") == (None, ["t"])
+
+
 def test_pipeline_stages(spark, monkeypatch):
     """One run over the small documents, with every stage's input and output looked at."""
     import corpus_pipeline as p
