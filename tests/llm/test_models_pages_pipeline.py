@@ -232,6 +232,24 @@ def test_pages_cases(spark):
     assert parse("<article>x<div class='comments'>c<div>d</div></div>y</div>z<aside>a</aside></article><p>t") == (["x", "y", "z"], ["t"])
 
 
+def test_copies_are_no_boilerplate():
+    """Equal and near-equal pages keep what only they share, and lose what other pages have."""
+    import random
+
+    from ledgerlens.llm.pages import unique_blocks
+
+    menu = "Welcome to the pages of our little club founded long ago by friends"
+    body = lambda k, n=8: [" ".join(f"w{k}x{b}x{j}" for j in range(30)) for b in range(n)]
+    edited = [*body(1)[:7], "w1x7x0 now told otherwise"]
+    pages = [[menu, *body(0)], [menu, *body(0)], [menu, *body(0)], [menu, *body(1)], [menu, *edited], [menu, *body(2)], [menu], [], []]
+    want = [body(0)] * 3 + [body(1), edited, body(2), [], [], []]
+    order = list(range(len(pages)))
+    for seed in range(5):
+        random.Random(seed).shuffle(order)
+        assert unique_blocks([pages[i] for i in order]) == [want[i] for i in order]
+    assert unique_blocks([[menu, *body(0)]] * 2) == [[menu, *body(0)]] * 2
+
+
 def test_names_inside_main_parts():
     from ledgerlens.llm.pages import parse
 
