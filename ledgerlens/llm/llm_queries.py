@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.fingerprints import compare_edited
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.near_duplicates import find_groups
 from ledgerlens.llm.neighbours import nearest
@@ -83,6 +84,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -94,7 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_token_counts": op10_token_counts,
+    "op11_fingerprints": op11_fingerprints,
 }
 
-
-

@@ -102,4 +102,28 @@ SELECT n.doc_id, n.n_shingles, coalesce(comp.c, cls.class_id, n.doc_id) AS compo
        n.doc_id = coalesce(comp.c, cls.class_id, n.doc_id) AS kept, coalesce(cls.class_id, n.doc_id) AS class_id
 FROM n LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.class_id"""
 
-ORACLES = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_nearest_neighbours": OP3, "op7_near_duplicates": OP7}
+_SKETCH = """list_sort(list_distinct(list_filter(list_transform(
+    range(1, CASE WHEN len({w}) = 0 THEN 1 ELSE greatest(len({w}) - 2, 1) + 1 END),
+    lambda i: left(md5(array_to_string({w}[i : i + 2], ' ')), 16)), lambda x: x < '2000000000000000')))"""
+_ALIKE = """CASE WHEN {same} THEN 1.0::DOUBLE WHEN len({a}) + len({b}) = 0 THEN 0.0::DOUBLE
+    ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE END"""
+_INSIDE = "CASE WHEN {same} THEN 1.0::DOUBLE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({a})::DOUBLE END"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}')"
+
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS at, COUNT(*) OVER () AS total FROM documents),
+p AS (SELECT a.doc_id, a.t, b.t AS nt, length(a.t) AS n FROM d a JOIN d b ON b.at = CASE WHEN a.at = a.total THEN 1 ELSE a.at + 1 END),
+e AS (SELECT *, left(t, n - n // 2) || left(nt, n // 2) AS et FROM p),
+w AS (SELECT *, {_words('t')} AS w, {_words('nt')} AS nw, {_words('et')} AS ew FROM e),
+s AS (SELECT *, {_SKETCH.format(w='w')} AS s, {_SKETCH.format(w='nw')} AS ns, {_SKETCH.format(w='ew')} AS es FROM w)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, left(md5(t), 16) || ':' || array_to_string(s, ',') AS fingerprint,
+       left(md5(et), 16) || ':' || array_to_string(es, ',') AS edited_fingerprint, {_ALIKE.format(a='s', b='es', same='t = et')} AS near_edited,
+       {_ALIKE.format(a='s', b='ns', same='t = nt')} AS near_next, {_INSIDE.format(a='s', b='es', same='t = et')} AS contained_edited,
+       {_INSIDE.format(a='s', b='ns', same='t = nt')} AS contained_next
+FROM s"""
+
+ORACLES = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_nearest_neighbours": OP3, "op7_near_duplicates": OP7, "op11_fingerprints": OP11}
