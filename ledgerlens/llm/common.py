@@ -47,3 +47,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/ledgerlens-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pack_array(values, dtype: str) -> bytes:
+    """A numpy array as zstd-compressed bytes, its k-th bytes side by side (high bytes of small numbers vanish)."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(values, dtype)
+    planes = raw.view("u1").reshape(len(raw), raw.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if len(raw) else b"")
+
+
+def unpack_array(data: bytes, dtype: str):
+    """The array that :func:`pack_array` packed."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=n * width, asbytes=True)
+    return np.frombuffer(planes, "u1").reshape(width, n).T.copy().view(dtype).ravel()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.collocations import collocations
 from ledgerlens.llm.common import table
 from ledgerlens.llm.fingerprints import compare_edited
 from ledgerlens.llm.mixing import mix
@@ -88,6 +89,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -100,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_token_counts": op10_token_counts,
     "op11_fingerprints": op11_fingerprints,
+    "op12_collocations": op12_collocations,
 }
 

@@ -126,4 +126,24 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, left(m
        {_INSIDE.format(a='s', b='ns', same='t = nt')} AS contained_next
 FROM s"""
 
-ORACLES = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_nearest_neighbours": OP3, "op7_near_duplicates": OP7, "op11_fingerprints": OP11}
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i : i + k - 1] AS s FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) x(k))),
+f AS (SELECT lang, k, s, array_to_string(s, ' ') AS phrase, COUNT(*) AS c FROM g GROUP BY lang, k, s HAVING COUNT(*) >= 10),
+u AS (SELECT lang, phrase, s, k, c AS a, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+x AS (SELECT u.lang, u.phrase, u.k, u.a, u.cut, l.c AS l, r.c AS r,
+             CAST((1000000::HUGEINT * u.a * u.a) // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.s = u.s[1 : u.cut] JOIN f r ON r.lang = u.lang AND r.s = u.s[u.cut + 1 : u.k]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(c) AS longer FROM (SELECT lang, c, array_to_string(s[1:2], ' ') AS phrase FROM f WHERE k = 3
+      UNION ALL SELECT lang, c, array_to_string(s[2:3], ' ') FROM f WHERE k = 3) y GROUP BY lang, phrase),
+r AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, t.n, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+      FROM b JOIN t USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000"""
+
+ORACLES = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_nearest_neighbours": OP3, "op7_near_duplicates": OP7, "op11_fingerprints": OP11, "op12_collocations": OP12}
