@@ -121,6 +121,13 @@ def _blocks(block_bytes: int):
     return run
 
 
+def _powers(base: int, m: int) -> np.ndarray:
+    """base^0 to base^m modulo 2^64."""
+    factors = np.full(m + 1, base, "u8")
+    factors[0] = 1
+    return np.cumprod(factors, dtype="u8")
+
+
 class _Runs:
     """The coded words of a block and the fingerprints of their runs."""
 
@@ -139,10 +146,10 @@ class _Runs:
         self.lang_hash = np.fromiter(map(xxh3_64_intdigest, self.langs), "u8", len(self.langs))
         m = len(self.codes)
         self.marks = np.concatenate([[0], np.cumsum(self.codes == 0)])
-        powers = np.concatenate([[1], np.full(m, BASE, "u8")]).astype("u8").cumprod(dtype="u8")
+        powers = _powers(BASE, m)
         values = np.concatenate([np.zeros(1, "u8"), hashes])[self.codes]
         self.prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(values * powers[:m], dtype="u8")])
-        self.unpower = np.concatenate([[1], np.full(m, pow(BASE, -1, 1 << 64), "u8")]).astype("u8").cumprod(dtype="u8")
+        self.unpower = _powers(pow(BASE, -1, 1 << 64), m)
         self.shift = np.uint64(64 - key_bits)
 
     def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
