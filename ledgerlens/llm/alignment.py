@@ -120,7 +120,7 @@ def _same_bytes(ids: pa.ListArray, entries: pa.Array, texts: list[bytes]) -> np.
     joined = entries.take(ids.flatten())
     data = joined.buffers()[2]
     places = np.frombuffer(joined.buffers()[1], "<i4", len(joined) + 1, joined.offset * 4)[ids.offsets.to_numpy()].tolist()
-    view = memoryview(data) if data is not None else memoryview(b"")
+    view = memoryview(data or b"").cast("B")
     return np.fromiter((view[a:b] == t for a, b, t in zip(places[:-1], places[1:], texts, strict=True)), bool, len(texts))
 
 
@@ -170,7 +170,7 @@ class _Aligner:
         doc, a, b, common = _links(key_a, key_b)
         n = len(texts)
         pair = flat[0][a].astype("i8") << 32 | flat[1][b]
-        counted = pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+        counted = pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc")
         counts = [ids.value_lengths().to_numpy().astype("i8") for ids in lists]
         return {
             "n_a": counts[0], "n_b": counts[1], "n_groups": np.bincount(doc[common], minlength=n), "n_links": np.bincount(doc, minlength=n),
