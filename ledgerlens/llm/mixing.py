@@ -86,17 +86,18 @@ def source_targets(sized: DataFrame, schedule_of, max_repeats: int) -> DataFrame
     sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
     s = integrate_schedules(schedule_of(sources)).withColumn("cap", F.col("source_size") * max_repeats)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "src").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.try_divide(F.col("cap").cast("double"), F.col("weight")).asc_nulls_last()
+    before = Window.orderBy(reach, "src").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({
         "total": F.sum("source_size").over(every),
         "total_weight": F.sum("weight").over(every),
         "full": F.coalesce(F.sum("cap").over(before), F.lit(0)),
         "full_weight": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-        "turn": F.row_number().over(Window.orderBy(F.col("cap") / F.col("weight"), "src")),
+        "turn": F.row_number().over(Window.orderBy(reach, "src")),
     })
     # Words per unit of weight if exactly the sources before this one are full;
     # the first source that then fits under its cap settles the level.
-    level = (F.col("total") - F.col("full")) / (F.col("total_weight") - F.col("full_weight"))
+    level = F.try_divide((F.col("total") - F.col("full")).cast("double"), F.col("total_weight") - F.col("full_weight"))
     s = s.withColumn("level", level)
     fits = F.col("level") * F.col("weight") <= F.col("cap")
     s = s.withColumn("settled", F.min(F.when(fits, F.struct("turn", "level"))).over(every)["level"])
@@ -145,7 +146,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     def copy(c: Column) -> Column:
         lo = c * F.col("source_size") + F.col("base") + F.col("local")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - lo)).cast("long")
-        return F.struct(c.alias("copy"), words.alias("words"), position_at((lo + words * 0.5) / F.col("quota")).alias("position"))
+        return F.struct(c.alias("copy"), words.alias("words"), position_at(F.try_divide(lo + words * 0.5, F.col("quota").cast("double"))).alias("position"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), copy), lambda x: x["words"] > 0)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
