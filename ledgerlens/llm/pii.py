@@ -36,7 +36,7 @@ ADDRESS = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Cue-driven kinds: cue (lower case) and what has to follow it.
-IBAN = re.compile(r"(?i)iban[\x20:=#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})\b")
+IBAN = re.compile(r"(?i:iban)[\x20:=#]{0,3}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})\b")
 SSN = re.compile(r"(?i)(?:ssn|social security(?: number| no\.?)?)[\x20:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})\b")
 ACCOUNT = re.compile(r"(?i)(?:account|acct)(?: number| no\.?| nr\.?)?[\x20:=#]{0,3}([0-9](?:[\x20-]?[0-9]){5,16})\b")
 #: Letters and digits of an IBAN by country.
