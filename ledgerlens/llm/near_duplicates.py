@@ -160,12 +160,15 @@ def _sketch(size: int):
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         known = WordHash()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [shingle_hashes(t.as_py(), size, known).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+                digests = [xxh3_128_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "hashes"])
 
     return run
 
@@ -276,9 +279,11 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     threshold = threshold_percent / 100
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sketch = stage(narrow.mapInArrow(_sketch(shingle_words), "doc_id long, n long, digest binary, regs binary"), "sketches")
+    # a class is a set; its number, given once as it is written, stands for it in all that follows
+    told = sketch.filter("n > 0 and doc_id is not null")
     classes = stage(
-        sketch.filter("n > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+        told.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     rows = band_rows(threshold)
     width, blank = 2 * rows, F.unhex(F.lit("FF" * 2 * rows))
@@ -295,13 +300,17 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.max(F.struct("company", (-F.col("rep")).alias("rep")))["rep"].alias("hub")).select("key", (-F.col("hub")).alias("hub"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of representatives whose full shingle sets reach the threshold."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        # the ids grow with the corpus: a shuffle join at every size, never a broadcast of them
-        texts = narrow.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = stage(texts.mapInArrow(_full_sets(shingle_words), "id long, hashes binary"), "full-sets")
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(threshold_percent), "a long, b long")
+        """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
+        of = lambda x: classes.select(F.col("rep").alias(x), F.col("least").alias(f"id_{x}"), F.col("digest").alias(f"digest_{x}"))
+        named = pairs.join(of("a"), "a").join(of("b"), "b")
+        ids = named.select(F.col("id_a").alias("doc_id")).union(named.select(F.col("id_b").alias("doc_id"))).distinct()
+        # the ids grow with the corpus: a shuffle join at every size, never a broadcast of them;
+        # an id may have several texts, of which the digest tells the class's own
+        texts = narrow.join(ids.hint("merge"), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
+        sets = stage(texts.mapInArrow(_full_sets(shingle_words), "id long, digest binary, hashes binary"), "full-sets")
+        side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+        both = named.join(side("a"), ["id_a", "digest_a"]).join(side("b"), ["id_b", "digest_b"])
+        return both.select("a", "hashes_a", "b", "hashes_b").mapInArrow(_confirmed(threshold_percent), "a long, b long")
 
     sketches = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     hits = hits.join(hubs, "key")
@@ -324,10 +333,16 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .mapInArrow(_tile_pairs(threshold), "a long, b long")
     )
     more = stage(confirm(stage(late, "late-pairs")), "late-links")
-    parts = connected_components(links.union(more))
-
-    grouped = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    # an id with several texts links their classes
+    several = told.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).filter("lo < hi").select("doc_id")
+    shared = told.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+    first = shared.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    parts = connected_components(links.union(more).union(shared.join(first, "doc_id").select("a", F.col("rep").alias("b"))))
+
+    grouped = classes.select("digest", "rep", "least").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = grouped.select("digest", F.col("least").alias("class_id"), F.coalesce("component", "rep").alias("part"))
+    smallest = grouped.groupBy("part").agg(F.min("class_id").alias("component"))
+    grouped = grouped.join(smallest, "part").drop("part")
     out = sketch.select("doc_id", "n", "digest").join(grouped, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))

@@ -460,3 +460,37 @@ def test_substring_cases(odd):
     from ledgerlens.llm.substrings import repeated_passages
 
     assert repeated_passages(odd).filter("doc_id is null").count() == 0
+
+
+def test_mix_source_without_words(spark):
+    from ledgerlens.llm.mixing import mix, training_order
+
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "", "t"), (3, None, "u")], "doc_id long, text string, source string")
+    rows = {r["doc_id"]: r for r in mix(docs).collect()}
+    assert (rows[1]["taken"], rows[2]["taken"], rows[3]["taken"]) == (2, 0, 0) and rows[2]["target"] == rows[3]["target"] == 0.0
+    assert [r["text"] for r in training_order(docs, mix(docs)).collect()] == ["a b"]
+    nothing = spark.createDataFrame([(1, None, "s"), (2, "", None)], "doc_id long, text string, source string")
+    assert [r["taken"] for r in mix(nothing).collect()] == [0, 0]
+    assert training_order(nothing, mix(nothing)).collect() == []
+
+
+def test_letters_beyond_ascii_after_an_account_cue():
+    from ledgerlens.llm.pii import _anchors, iban_valid, spans_of
+
+    machine = _anchors()
+    for text in ("iban İa41 1111 1111 1111 11", "iban DE89 3704 0044 0532 0130 0K", "ıban DE89ſ704", "IBAN KK12 1111 1111 1111 1"):
+        assert spans_of(text, machine)["account"] == []
+    assert iban_valid("de89 3704 0044 0532 0130 00")
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_with_several_texts_keeps_all_their_links(spark, turned):
+    from ledgerlens.llm.near_duplicates import find_groups
+
+    rng = random.Random(4)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(120), words(120), words(120)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (4, " ".join(c)), (5, " ".join(c)), (5, " ".join(words(50)))]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    found = find_groups(df, shingle_words=3, threshold_percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4)]
