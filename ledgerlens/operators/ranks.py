@@ -95,43 +95,83 @@ def cumulative_counts(
     return out.drop("_pid", "_pos", "_first", "_wsum", "_off")
 
 
-#: Buckets that an open interval is counted into, per round of a selection.
-SELECT_BUCKETS = 4096
+#: Bits of a value's code that one round of a selection settles; six rounds settle 64.
+SELECT_BITS = 12
+SELECT_ROUNDS = -(-64 // SELECT_BITS)
+_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
+
+
+def value_code(value: Column, integral: bool) -> Column:
+    """A 64-bit integer with the order of ``value``: -Infinity first, NaN after Infinity, both zeros equal.
+
+    Integers are their own code. A double's bits are ordered like the number if it is
+    positive; of a negative one all bits but the sign are turned over.
+    """
+    if integral:
+        return value.cast("long")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+
+
+def code_value(code: Column, integral: bool) -> Column:
+    """The value (long or double) of a code."""
+    if integral:
+        return code
+    bits = code.bitwiseXOR(F.shiftright(code, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
 def order_statistics(df: DataFrame, group_cols: Sequence[str], value_col: str, index_of: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Exact order statistics per group by counting buckets: no sort, no shuffle of rows.
+    """Exact order statistics per group by counting leading bits: no sort, no shuffle of rows.
 
     ``index_of`` maps a name to the zero-based position wanted, as a function of the
-    group's number of non-null values. Each round counts the values of every open
-    interval in ``SELECT_BUCKETS`` buckets and keeps the bucket that holds the
-    position, narrowed to the smallest and largest value in it, until those are
-    equal. Rounds follow the digits of the values (a handful), not their number. The
-    state, a row for each group and name, is written between rounds; it is joined to
-    the rows, where the planner broadcasts it if it is small.
-
-    Returns one row per group: the group, ``n`` and one column per name.
+    group's number of non-null values. The values' sortable codes are written once.
+    Each round reads them, counts those of every open interval by the ``SELECT_BITS``
+    bits after the ones that the interval's ends share, and keeps the bucket that holds
+    the position, narrowed to the smallest and largest code in it, until those are
+    equal. So ``SELECT_ROUNDS`` rounds settle any distribution: infinities, NaN (after
+    all numbers), the largest doubles beside the smallest. Names that still have the
+    same interval share its counts. The state, a row for each group and name, is
+    written between rounds; it is joined to the rows, where the planner broadcasts it
+    if it is small.
+
+    Returns one row per group: the group, ``n`` and one column per name (a double, or a
+    long if the values are integers).
     """
     groups = list(group_cols)
-    data = df.where(F.col(value_col).isNotNull()).select(F.lit(0).alias("_all"), *groups, F.col(value_col).alias("_v"))
+    integral = dict(df.dtypes)[value_col] in _INTEGRAL
+    code = value_code(F.col(value_col), integral)
+    # the constant key is stored, so that an overall statistic is an equi-join as well
+    coded = write_shared(df.where(F.col(value_col).isNotNull()).select(F.lit(0).alias("_all"), *groups, code.alias("_v")), "codes")
     keys = ["_all", *groups]
-    span = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("at")) for name, at in index_of.items()])
     state = span.withColumn("_w", F.explode(wanted)).select(*keys, "n", F.col("_w.name").alias("name"), F.col("_w.at").alias("at"), "_lo", "_hi")
     state = write_shared(state, "select")
+    rounds = 0
     while state.where(F.col("_lo") < F.col("_hi")).limit(1).count():
+        if rounds == SELECT_ROUNDS:
+            raise RuntimeError("a selection did not end with the bits of its codes")
+        rounds += 1
         open_ = state.where(F.col("_lo") < F.col("_hi"))
-        hits = data.join(open_, [data[k].eqNullSafe(open_[k]) for k in keys]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        share = (F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-        bucket = F.least(F.floor(share * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1)).cast("int")
-        own = [open_[k] for k in keys]
-        counted = hits.groupBy(*own, "n", "name", "at", bucket.alias("_b")).agg(
-            F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        upto = F.sum("_k").over(Window.partitionBy(*keys, "name").orderBy("_b"))
-        narrowed = counted.withColumn("_cum", upto).where((F.col("_cum") > F.col("at")) & (F.col("_cum") - F.col("_k") <= F.col("at")))
-        narrowed = narrowed.select(*keys, "n", "name", (F.col("at") - F.col("_cum") + F.col("_k")).alias("at"), "_lo", "_hi")
+        # bits in which the interval's ends differ, of which this round settles the first
+        differ = F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi"))))
+        ends = open_.select(*keys, "_lo", "_hi", F.greatest(differ - SELECT_BITS, F.lit(0)).alias("_shift")).distinct()
+        held = ends.groupBy(*keys).agg(F.collect_list(F.struct("_lo", "_hi", "_shift")).alias("_open"))
+        met = coded.join(held, [coded[k].eqNullSafe(held[k]) for k in keys]).select(
+            *[coded[k] for k in keys], "_v", F.explode(F.filter("_open", lambda x: F.col("_v").between(x["_lo"], x["_hi"]))).alias("_x"))
+        bucket = F.expr("shiftright(_v, _x._shift) - shiftright(_x._lo, _x._shift)")
+        counted = met.groupBy(*keys, F.col("_x._lo").alias("_from"), F.col("_x._hi").alias("_to"), bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        upto = F.sum("_k").over(Window.partitionBy(*keys, "_from", "_to").orderBy("_b"))
+        counted = counted.withColumn("_cum", upto)
+        same = [open_[k].eqNullSafe(counted[k]) for k in keys] + [F.col("_lo") == F.col("_from"), F.col("_hi") == F.col("_to")]
+        within = (F.col("_cum") > F.col("at")) & (F.col("_cum") - F.col("_k") <= F.col("at"))
+        narrowed = open_.join(counted, same).where(within).select(
+            *[open_[k] for k in keys], "n", "name", (F.col("at") - F.col("_cum") + F.col("_k")).alias("at"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi"))
         state = write_shared(state.where(F.col("_lo") >= F.col("_hi")).unionByName(narrowed), "select")
-    return state.groupBy(*keys, "n").pivot("name", list(index_of)).agg(F.first("_lo")).drop("_all")
+    found = state.withColumn("_at", code_value(F.col("_lo"), integral))
+    return found.groupBy(*keys, "n").pivot("name", list(index_of)).agg(F.first("_at")).drop("_all")
 
 
 def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str, quantiles: dict[str, float]) -> DataFrame:
@@ -146,5 +186,12 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         index[f"{name}__lo"] = lambda n, q=q: F.floor(at(q)(n))
         index[f"{name}__hi"] = lambda n, q=q: F.ceil(at(q)(n))
     found = order_statistics(df, group_cols, value_col, index)
-    between = lambda name, q: F.col(f"{name}__lo") + (at(q)(F.col("n")) - F.floor(at(q)(F.col("n")))) * (F.col(f"{name}__hi") - F.col(f"{name}__lo"))
+
+
+    def between(name: str, q: float) -> Column:
+        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
+        share = at(q)(F.col("n")) - F.floor(at(q)(F.col("n")))
+        # nothing is subtracted where it isn't needed: infinities stay what they are
+        return F.when((share == 0) | (lo == hi), lo.cast("double")).otherwise(lo + share * (hi - lo))
+
     return found.select(*group_cols, *[between(name, q).alias(name) for name, q in quantiles.items()])

@@ -71,3 +71,50 @@ def test_order_statistics_match_sorting(spark, kind):
     for g in ("a", None):
         ordered = np.sort(values[[(x == g) for x in pdf["g"].where(pdf["g"].notna(), None)]])
         assert (got[g]["n"], got[g]["lo"], got[g]["mid"], got[g]["hi"]) == (len(ordered), ordered[0], ordered[len(ordered) // 2], ordered[-1])
+
+
+EXTREME = {
+    "inf": [1.0, 2.0, 3.0, float("inf")],
+    "nan": [1.0, 2.0, float("nan"), 3.0],
+    "both": [float("-inf"), -1.0, 0.0, -0.0, float("inf"), float("nan")],
+    "wide": [-1.7e308, 1.0, 2.0, 1.7e308],
+    "digits": [10.0**-k for k in range(0, 294, 7)],
+    "close": [1.0 + k * 2.0**-52 for k in range(50)],
+    "negative": [-float(k) ** 3 for k in range(40)],
+    "equal": [5.0] * 30,
+}
+
+
+def test_order_statistics_end_on_any_distribution(spark, monkeypatch):
+    """Every position of every group, in at most six rounds, whose rows are read once each."""
+    from ledgerlens.operators import ranks
+
+    rows = [(g, float(v)) for g, values in EXTREME.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    written = []
+    real = ranks.write_shared
+    monkeypatch.setattr(ranks, "write_shared", lambda d, name="stage": written.append(name) or real(d, name))
+    got = {r["g"]: r for r in order_statistics(df, ["g"], "v", {f"p{i}": lambda n, i=i: (n - 1) * i / 7 for i in range(8)}).collect()}
+    assert written.count("codes") == 1 and written.count("select") - 1 <= ranks.SELECT_ROUNDS == 6
+    for g, values in EXTREME.items():
+        ordered = sorted((float(v) for v in values), key=lambda x: (math.isnan(x), x))
+        for i in range(8):
+            want = ordered[int((len(ordered) - 1) * i / 7)]
+            found = got[g][f"p{i}"]
+            assert found == want or (math.isnan(found) and math.isnan(want)), (g, i)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_order_statistics_of_integers(spark, kind):
+    ends = {"int": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}[kind]
+    values = [*ends, 0, -1, 1, 7, 7, None]
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    row = order_statistics(df, [], "v", {f"p{i}": lambda n, i=i: n * 0 + i for i in range(7)}).first()
+    assert row["n"] == 7 and [row[f"p{i}"] for i in range(7)] == sorted(v for v in values if v is not None)
+    assert order_statistics(df.limit(0), [], "v", {"x": lambda n: n - 1}).count() == 0
+
+
+def test_percentiles_beside_infinities(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, "inf", "inf", "inf")], "v double")
+    row = exact_percentiles(df, [], "v", {"lo": 0.2, "mid": 0.5, "hi": 0.9}).first()
+    assert (row["lo"], row["mid"], row["hi"]) == (2.0, math.inf, math.inf)
