@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashrand import hash_order
+from ledgerlens.session import write_shared
 from ledgerlens.spec import TableSpec
 
 
@@ -108,22 +109,27 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 # -- D11 ------------------------------------------------------------------------------
+#: Most levels of the second column of a contingency table; the table has all of them in each row.
+MAX_TABLE_COLUMNS = 100_000
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of (a, b) with zero cells filled, long form.
 
-    The levels come from the counted cells; each level of ``a`` is paired with the
-    levels of ``b`` by an equi-join, so the rows that arise are those of the result
-    and nothing is collected.
+    The facts meet one aggregate, whose cells are written. The levels of ``b``, the
+    columns of the table, are listed (an error beyond ``MAX_TABLE_COLUMNS``); each level
+    of ``a`` looks them up in a map of its own counts, so nothing is crossed by a join.
     """
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    table = F.lit(0).alias("table")
-    rows = cells.select(table, F.col("a").alias("ga")).distinct()
-    columns = cells.where(F.col("b").isNotNull()).select(table, F.col("b").alias("gb")).distinct()
-    grid = rows.join(columns, "table").drop("table")
-    same = F.col("ga").eqNullSafe(F.col("a")) & (F.col("gb") == F.col("b"))
-    return grid.join(cells, same, "left").select(
-        F.col("ga").alias(a.lower()), F.col("gb").alias(b.lower()), F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
+    cells = write_shared(df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")), "cells")
+    levels = [r["b"] for r in cells.where(F.col("b").isNotNull()).select("b").distinct().limit(MAX_TABLE_COLUMNS + 1).collect()]
+    if len(levels) > MAX_TABLE_COLUMNS:
+        raise ValueError(f"{b} has more than {MAX_TABLE_COLUMNS} levels")
+    held = F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n"))))
+    rows = cells.groupBy("a").agg(held.alias("held"))
+    kind = cells.schema["b"].dataType
+    column = F.explode(F.array(*[F.lit(x).cast(kind) for x in levels]) if levels else F.array().cast(f"array<{kind.simpleString()}>"))
+    return rows.select(F.col("a"), "held", column.alias("b")).select(
+        F.col("a").alias(a.lower()), F.col("b").alias(b.lower()), F.coalesce(F.try_element_at("held", "b"), F.lit(0)).cast("long").alias("n"))
 
 
 # -- D12–D14 --------------------------------------------------------------------------

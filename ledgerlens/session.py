@@ -86,7 +86,7 @@ def ship_code(spark: SparkSession) -> None:
     workers must be able to import it wherever the driver was started from.
     """
     sc = spark.sparkContext
-    if _one_process(spark) or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     base = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-code-"), "ledgerlens")
@@ -105,18 +105,20 @@ def write_shared(df, name: str = "stage"):
     return df.sparkSession.read.parquet(path)
 
 
-def source_signature(spark: SparkSession, paths: list[str]) -> str:
-    """Digest of the files behind ``paths``: names, sizes and times, as Spark's reader reports them.
+def source_files(spark: SparkSession, paths: list[str]):
+    """One row for each file behind ``paths`` (path, length, modificationTime), as Spark's reader lists them.
 
-    Works on any storage that Spark reads, for files and folders alike; one job
-    that reads no data columns and returns one row.
+    Works on any storage that Spark reads, for files and folders alike. The content
+    column is never selected, so no file is opened.
     """
-    files = None
-    for p in paths:
-        one = spark.read.parquet(p).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        files = one if files is None else files.unionByName(one)
-    row = files.distinct().agg(
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return listed.select("path", "length", "modificationTime")
+
+
+def source_signature(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the files behind ``paths``: names, sizes and times. One small job over the listing; no source row is read."""
+    row = source_files(spark, paths).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("x"),
+        F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("x"),
     ).first()
     return hashlib.sha1(f"{row['n']}:{row['x']}".encode()).hexdigest()[:16]

@@ -60,16 +60,15 @@ def test_quartiles_and_split_neither_sort_nor_shuffle_the_facts(spark):
 
 
 def test_facts_follow_their_sources(spark, tmp_path):
+    import os
     import shutil
 
     folder = str(tmp_path / "sf")
     shutil.copytree(SF_SMALL, folder)
+    os.chmod(folder, 0o755)  # the test data are read-only, and their modes are copied
     n = catalogue.facts(spark, folder).count()
     spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(100).coalesce(1).write.parquet(f"{folder}/new")
     shutil.rmtree(f"{folder}/lineitem.parquet", ignore_errors=True)
-    import os
-
-    os.chmod(folder, 0o755)
     if os.path.exists(f"{folder}/lineitem.parquet"):
         os.remove(f"{folder}/lineitem.parquet")
     os.rename(f"{folder}/new", f"{folder}/lineitem.parquet")
@@ -97,3 +96,37 @@ def test_no_private_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_signature_lists_files_and_reads_no_row(spark, tmp_path):
+    from ledgerlens.session import source_files, source_signature
+
+    paths = [f"{SF_SMALL}/{t}.parquet" for t in catalogue.FACT_SOURCES]
+    assert source_files(spark, paths).count() == len(paths)
+    assert "content" not in _plan(source_files(spark, paths)).split("ReadSchema")[-1]
+    folder = str(tmp_path / "t")
+    spark.range(1000).repartition(3).write.parquet(folder)
+    before = source_signature(spark, [folder])
+    assert source_files(spark, [folder]).count() == 3 and before == source_signature(spark, [folder])
+    spark.range(10).coalesce(1).write.mode("append").parquet(folder)
+    assert source_signature(spark, [folder]) != before
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from ledgerlens.session import get_session, ship_code\n"
+        "spark = get_session('local[1]', driver_memory='1g'); ship_code(spark)\n"
+        "def names(batches):\n"
+        "    import ledgerlens.spec, pyarrow as pa\n"
+        "    for b in batches: yield pa.RecordBatch.from_arrays([pa.array([ledgerlens.spec.SEED] * b.num_rows)], ['x'])\n"
+        "print('found', spark.range(1).mapInArrow(names, 'x long').first()['x'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found 42" in out.stdout, out.stderr[-2000:]
