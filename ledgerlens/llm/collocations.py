@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import pack_array, stage, unpack_array
 
 #: Bytes of text after which a block ends.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Fingerprints of a bin, on average.
 BIN_ENTRIES = 2_000_000
 #: Leading bits of a fingerprint that are compared; texts decide where they collide.
