@@ -60,6 +60,15 @@ def sketch(text: Column, *, scale: int = SCALE, shingle_words: int = SHINGLE_WOR
     return F.array_sort(F.array_distinct(F.filter(F.get(every, F.lit(0)), lambda x: x < threshold(scale))))
 
 
+def packed(hashes: Column) -> Column:
+    """A sketch as bytes, for shuffles: half the size of its digits."""
+    return F.unhex(F.array_join(hashes, ""))
+
+
+def unpacked(data: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(data)), F.lit(f".{{{HASH_DIGITS}}}"), F.lit(0))
+
+
 def text_digest(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS)
 
@@ -131,7 +140,7 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     narrow = base.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text").cast("long")).alias("n"), F.count(F.lit(1)).alias("c"))
     links = stage(_next_in_order(narrow), "fingerprint-links")
     # one text of each (k, h), with its sketch; both joins below use the same shuffle
-    texts = base.groupBy("k", "h").agg(F.first("text").alias("text"), F.first(made(F.col("text"))).alias("sketch"))
+    texts = base.groupBy("k", "h").agg(F.first("text").alias("text"), F.first(packed(made(F.col("text")))).alias("sketch"))
     asked = links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("for_k"), F.col("h").alias("for_h"), F.expr("n div 2").alias("half"))
     answers = texts.join(asked, ["k", "h"]).select(
         F.col("for_k").alias("k"), F.col("for_h").alias("h"), F.left("text", F.col("half")).alias("head"),
@@ -146,6 +155,7 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = rows.select(
         "doc_id", "n", "text", "sketch", digest.alias("digest"), "next.times", "next.next_sketch", "next.next_digest",
         F.concat(F.left("text", F.col("n") - half), F.col("next.head")).alias("edited"))
+    rows = rows.withColumns({"sketch": unpacked(F.col("sketch")), "next_sketch": unpacked(F.col("next_sketch"))})
     rows = rows.withColumns({"edited_sketch": made(F.col("edited")), "edited_digest": text_digest(F.col("edited")), "edited_sha256": F.sha2(F.col("edited"), 256)})
     same, same_next = F.col("digest") == F.col("edited_digest"), F.col("digest") == F.col("next_digest")
     found = rows.select(
