@@ -1,9 +1,9 @@
 """Table-scale learning: splits, metrics, conformal intervals, cross-validation,
-learning curves, permutation tests and Spark ML learners (K1–K16, I9, I11, I13).
+learning curves and permutation tests (K1, K2, K7, K8, K11–K13, K16, I9).
 
 Closed-form scorers (group means, linear fits) run as grouped aggregates, so
-every fold, size and permutation is one Spark job instead of a driver loop;
-tree ensembles and the MLP are Spark ML estimators.
+every fold, size and permutation is one Spark job instead of a driver loop. The
+learners' training table, fits and searches are in :mod:`ledgerlens.operators.training`.
 """
 
 from __future__ import annotations
@@ -13,22 +13,17 @@ import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashrand import hash_order, hash_rank_key, hash_uniform
 from ledgerlens.operators.features import add_engineered_features, select_features
 from ledgerlens.operators.ranks import cumulative_counts, exact_percentiles, order_statistics
 from ledgerlens.session import write_shared
-from ledgerlens.spec import CONFORMAL_INFORMATIVE, CONTROL_R2, SEED, SIGNIFICANCE, TableSpec
+from ledgerlens.spec import CONFORMAL_INFORMATIVE, SEED, SIGNIFICANCE, TableSpec
 
 TEST_SHARE, VAL_SHARE = 0.15, 0.15
 
@@ -164,29 +159,33 @@ def group_mean_predictions(train: DataFrame, score: DataFrame, group: str, y: st
 
 
 # -- K11 split conformal --------------------------------------------------------------
-def split_conformal(scored: DataFrame, y: str, yhat: str, role: str, *, alpha: float = 0.1) -> DataFrame:
+def split_conformal(scored: DataFrame, y: str, yhat: str, role: str, *, alpha: float | Sequence[float] = 0.1) -> DataFrame:
     """Half-width = quantile of |y − ŷ| on calibration rows at
     ``min(ceil((n+1)(1−α))/n, 1)`` (linear interpolation); coverage, width and
     informativeness on test rows. ``role`` marks rows 'cal' or 'test'.
+
+    Any number of alphas: the residuals are written once, one selection finds the
+    half-widths of all, and one aggregate counts what each covers. A row per alpha.
     """
-    res = scored.withColumn("_score", F.abs(F.col(y).cast("double") - F.col(yhat)))
-    cal = res.where(F.col(role) == "cal")
-    n = cal.count()
-    q = min(math.ceil((n + 1) * (1 - alpha)) / n, 1.0)
-    hw = exact_percentiles(cal.select("_score"), [], "_score", {"hw": q}).first()["hw"]
-    test = res.where(F.col(role) == "test")
+    alphas = [alpha] if isinstance(alpha, (int, float)) else list(alpha)
     yv = F.col(y).cast("double")
-    stats = test.agg(
-        F.avg((F.col("_score") <= F.lit(hw)).cast("double")).alias("coverage"),
-        F.stddev_pop(yv).alias("target_std"), (F.max(yv) - F.min(yv)).alias("target_range"),
-    )
-    rel = F.try_divide(F.lit(2.0 * hw), F.col("target_range"))
-    return stats.select(
-        F.lit(float(alpha)).alias("alpha"), F.lit(float(hw)).alias("half_width"), "coverage", "target_std",
-        "target_range", F.coalesce(rel, F.lit(0.0)).alias("relative_width"),
-        (F.coalesce(rel, F.lit(0.0)) < CONFORMAL_INFORMATIVE).alias("is_informative"),
-        F.lit(int(n)).cast("long").alias("n_calibration"),
-    )
+    res = write_shared(scored.select(F.col(role).alias("_role"), yv.alias("_y"), F.abs(yv - F.col(yhat)).alias("_score")), "residuals")
+    cal, test = res.where("_role = 'cal'"), res.where("_role = 'test'")
+    n = cal.count()
+    if not n:
+        raise ValueError("no calibration rows")
+    levels = {f"hw{i}": min(math.ceil((n + 1) * (1 - a)) / n, 1.0) for i, a in enumerate(alphas)}
+    widths = exact_percentiles(cal.select("_score"), [], "_score", levels).first()
+    row = test.agg(
+        *[F.avg((F.col("_score") <= F.lit(widths[f"hw{i}"])).cast("double")).alias(f"c{i}") for i in range(len(alphas))],
+        F.stddev_pop("_y").alias("std"), (F.max("_y") - F.min("_y")).alias("range")).first()
+    rows = []
+    for i, a in enumerate(alphas):
+        hw = float(widths[f"hw{i}"])
+        relative = 2.0 * hw / row["range"] if row["range"] else 0.0
+        rows.append((float(a), hw, row[f"c{i}"], row["std"], row["range"], relative, relative < CONFORMAL_INFORMATIVE, n))
+    return scored.sparkSession.createDataFrame(
+        rows, "alpha double, half_width double, coverage double, target_std double, target_range double, relative_width double, is_informative boolean, n_calibration long")
 
 
 def conformal_roles(df: DataFrame, key: str, *, seed: int = SEED, split: DataFrame | None = None) -> DataFrame:
@@ -294,14 +293,35 @@ def _group_at(position: Column, groups: list, ends: list[int]) -> Column:
 
 def permutation_test_group_mean(split: DataFrame, key: str, group: str, y: str, *, n_perm: int = 30,
                                 seed: int = SEED) -> DataFrame:
-    """Observed held-out R² vs R² under P label shuffles of the train rows.
+    """Observed held-out R² vs R² under P label shuffles of the train rows (see :func:`_permuted_predictions`)."""
+    scored = _permuted_predictions(split, key, group, y, n_perm)
+    return _r2_from_moments(scored.select("perm", "n", "m", "v", "yhat"), ["perm"]).select("perm", "r2")
+
+
+def permutation_auc_group_mean(split: DataFrame, key: str, group: str, label: str, *, n_perm: int = 30, seed: int = SEED) -> DataFrame:
+    """Observed held-out ROC-AUC vs that under P label shuffles of the train rows.
+
+    A test group's rows share a score, so the AUC follows from the groups' positives
+    and negatives by (permutation, score): ties get mid-ranks, and what is ordered per
+    permutation is at most as long as there are groups. Null where a class is absent.
+    """
+    scored = _permuted_predictions(split, key, group, label, n_perm)
+    cells = scored.groupBy("perm", "yhat").agg(F.sum(F.round(F.col("n") * F.col("m"))).alias("p"), F.sum("n").alias("k"))
+    cells = cells.withColumn("q", F.col("k") - F.col("p"))
+    below = Window.partitionBy("perm").orderBy("yhat").rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0.0)) + F.col("q") / 2.0)
+    return cells.withColumn("won", won).groupBy("perm").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("roc_auc"))
+
+
+def _permuted_predictions(split: DataFrame, key: str, group: str, y: str, n_perm: int) -> DataFrame:
+    """Moments (n, m, v) of each test group beside the mean ``yhat`` that permutation ``perm`` gives it (0: the labels as they are).
 
     The train labels are ranked once, by a hash of the key. Permutation p sends the
     label of rank j to place (a_p·j + b_p) mod n, with a_p the p-th power of a prime
     mod n and b_p a multiple of p; places belong to the groups in name order, each
     with as many as it has rows. So one pass gives the sums per (permutation,
     group), without a sort or a join per permutation, and scores follow from the
-    moments of the test groups. Returns per-permutation scores (perm 0 = observed).
+    moments of the test groups.
     """
     yv = F.col(y).cast("double")
     part = lambda name: split.where(F.col("split") == name).select(F.col(key), F.col(group).cast("string").alias("_g"), yv.alias("_y"))
@@ -329,8 +349,7 @@ def permutation_test_group_mean(split: DataFrame, key: str, group: str, y: str,
     asked = tests.withColumn("perm", F.explode(F.array(*[F.lit(p) for p in range(0, n_perm + 1)])))
     learned = means.select(F.col("perm").alias("_p"), F.col("_g").alias("_tg"), (F.col("s") / F.col("n")).alias("_gm"))
     same = (asked["perm"] == learned["_p"]) & asked["_g"].eqNullSafe(learned["_tg"])
-    scored = asked.join(learned, same, "left").join(overall, "perm").withColumn("yhat", F.coalesce("_gm", "_m"))
-    return _r2_from_moments(scored.select("perm", "n", "m", "v", "yhat"), ["perm"]).select("perm", "r2")
+    return asked.join(learned, same, "left").join(overall, "perm").withColumn("yhat", F.coalesce("_gm", "_m"))
 
 
 def permutation_pvalue(scores: DataFrame) -> DataFrame:
@@ -351,36 +370,10 @@ def permutation_pvalue(scores: DataFrame) -> DataFrame:
 #: Boosting rounds and trees: of the benchmark, conformal and capability learners, and of the audit's scorer.
 ROUNDS, AUDIT_ROUNDS, TREES = 400, 150, 400
 RATE, LEAVES_DEPTH = 0.05, 5  # 2^5 = 32 leaves at most
-REGRESSORS = {
-    "GBT": lambda seed, rounds, trees: GBTRegressor(featuresCol="features", labelCol="label", seed=seed, maxIter=rounds,
-                                                    stepSize=RATE, maxDepth=LEAVES_DEPTH),
-    "RandomForest": lambda seed, rounds, trees: RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed,
-                                                                      numTrees=trees, maxDepth=8),
-    "Linear": lambda seed, rounds, trees: LinearRegression(featuresCol="features", labelCol="label"),
-}
-CLASSIFIERS = {
-    "GBT": lambda seed, rounds, trees: GBTClassifier(featuresCol="features", labelCol="label", seed=seed, maxIter=rounds,
-                                                     stepSize=RATE, maxDepth=LEAVES_DEPTH),
-    "RandomForest": lambda seed, rounds, trees: RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
-                                                                       numTrees=trees, maxDepth=8),
-    "Logistic": lambda seed, rounds, trees: LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
-}
-
-
 def random_params(est, name: str, n_iter: int, seed: int) -> list[dict]:
-    """K5: ``n_iter`` parameter maps drawn at random from each family's ranges."""
+    """K5: ``n_iter`` penalty settings of a linear family drawn at random."""
     rng = random.Random(f"{name}:{seed}")
-    draws = []
-    for _ in range(n_iter):
-        if name == "GBT":
-            draws.append({est.maxDepth: rng.randint(3, 8), est.stepSize: math.exp(rng.uniform(math.log(0.01), math.log(0.3))),
-                          est.subsamplingRate: rng.uniform(0.6, 1.0), est.minInstancesPerNode: rng.randint(1, 50)})
-        elif name == "RandomForest":
-            draws.append({est.maxDepth: rng.randint(4, 12), est.subsamplingRate: rng.uniform(0.5, 1.0),
-                          est.minInstancesPerNode: rng.randint(1, 50)})
-        else:
-            draws.append({est.regParam: math.exp(rng.uniform(math.log(1e-6), math.log(1.0))), est.elasticNetParam: rng.uniform(0.0, 1.0)})
-    return draws
+    return [{est.regParam: math.exp(rng.uniform(math.log(1e-6), math.log(1.0))), est.elasticNetParam: rng.uniform(0.0, 1.0)} for _ in range(n_iter)]
 
 
 def model_frame(df: DataFrame, spec: TableSpec, task: str, *, include_leakage: bool = False) -> tuple:
@@ -396,35 +389,6 @@ def model_frame(df: DataFrame, spec: TableSpec, task: str, *, include_leakage: b
     return out, numeric, categorical
 
 
-def train_one(train: DataFrame, test: DataFrame, numeric, categorical, task: str, name: str, *,
-              tune: bool = False, n_iter: int = 6, folds: int = 3, seed: int = SEED, parallelism: int = 4,
-              rounds: int = ROUNDS, trees: int = TREES):
-    """K3/K4/K5: fit one family (optionally random search + CV), score on test.
-
-    Returns (fitted PipelineModel, metrics dict).
-    """
-    est = (REGRESSORS if task == "regression" else CLASSIFIERS)[name](seed, rounds, trees)
-    pipe = Pipeline(stages=preprocessing_stages(numeric, categorical) + [est])
-    if tune:
-        grid = random_params(est, name, n_iter, seed)
-        evaluator = (RegressionEvaluator(metricName="r2") if task == "regression"
-                     else BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0))
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-                            seed=seed, parallelism=parallelism)
-        model = cv.fit(train).bestModel
-    else:
-        model = pipe.fit(train)
-    pred = model.transform(test)
-    if task == "regression":
-        m = regression_metrics(pred, "label", "prediction").first()
-        metrics = {"r2": m["r2"], "rmse": m["rmse"], "mae": m["mae"]}
-    else:
-        scored = pred.withColumn("score", vector_to_array("probability")[1])
-        m = classification_metrics(scored, "label", "score").first()
-        metrics = {"roc_auc": m["roc_auc"], "accuracy": m["accuracy"], "f1": m["f1"]}
-    return model, metrics
-
-
 def mlp_classifier(train: DataFrame, test: DataFrame, numeric, categorical, *, seed: int = SEED,
                    hidden=(128, 64), max_iter: int = 100):
     """Multilayer perceptron [d, 128, 64, 2] for the classification task."""
@@ -440,65 +404,14 @@ def mlp_classifier(train: DataFrame, test: DataFrame, numeric, categorical, *, s
                                                         "f1": m["f1"]}
 
 
-def benchmark(df: DataFrame, spec: TableSpec, *, tune: bool = True, seed: int = SEED,
-              families: Sequence[str] | None = None, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """Every family for regression and classification, plus the leakage
-    run; returns the long metrics table (task, model, metric, value)."""
-    spark = df.sparkSession
-    rows = []
-    for task, include_leakage, tag in (("regression", False, "regression"),
-                                       ("classification", False, "classification"),
-                                       ("classification", True, "classification_leaked")):
-        frame, num, cat = model_frame(df, spec, task, include_leakage=include_leakage)
-        split = assign_split(frame, spec.key, seed=seed, stratify="label" if task != "regression" else None)
-        train, test = split.where("split = 'train'"), split.where("split = 'test'")
-        names = families or list((REGRESSORS if task == "regression" else CLASSIFIERS))
-        for name in names:
-            _, metrics = train_one(train, test, num, cat, task, name, tune=tune and not include_leakage, seed=seed,
-                                   rounds=rounds, trees=trees)
-            rows += [(tag, name, k, None if v is None else float(v)) for k, v in metrics.items()]
-    return spark.createDataFrame(rows, "task string, model string, metric string, value double")
-
-
 def best_models(metrics: DataFrame) -> DataFrame:
     """Per task, the model with the best primary metric (r2 / roc_auc)."""
     primary = metrics.where(((F.col("task") == "regression") & (F.col("metric") == "r2"))
                             | ((F.col("task") != "regression") & (F.col("metric") == "roc_auc")))
+    primary = primary.where(F.col("value").isNotNull())
+    if not primary.limit(1).count():
+        raise ValueError("no model has a primary metric")
     return primary.groupBy("task").agg(
         F.min_by("model", F.struct(-F.col("value"), F.col("model"))).alias("best_model"),
         F.max("value").alias("best_value"),
     )
-
-
-# -- I11 / K14 / K15 ----------------------------------------------------------------------
-def positive_control(df: DataFrame, spec: TableSpec, synthetic: DataFrame, *, family: str = "GBT",
-                     seed: int = SEED, rounds: int = AUDIT_ROUNDS) -> DataFrame:
-    """The same learner on the real and on the signal-bearing target."""
-    out = []
-    for label, source in (("real", df), ("synthetic", synthetic)):
-        frame, num, cat = model_frame(source, spec, "regression")
-        split = assign_split(frame, spec.key, seed=seed)
-        _, m = train_one(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, "regression",
-                         family, seed=seed, rounds=rounds)
-        out.append((label, float(m["r2"])))
-    r_real, r_syn = out[0][1], out[1][1]
-    validated = r_syn > CONTROL_R2
-    verdict = (f"the learner finds a planted signal (R2 {r_syn:.3f}); on the given target its R2 is {r_real:.3f}"
-               if validated else f"the learner misses a planted signal (R2 {r_syn:.3f}): no conclusion")
-    return df.sparkSession.createDataFrame([(family, r_real, r_syn, validated, verdict)],
-                                           "model string, r2_real double, r2_synthetic double, "
-                                           "pipeline_validated boolean, verdict string")
-
-
-def tree_importances(model: PipelineModel, numeric, categorical, spark: SparkSession) -> DataFrame:
-    """K15 (re-aimed): feature importances of the fitted tree model, summed per input column."""
-    est = model.stages[-1]
-    imp = est.featureImportances.toArray() if hasattr(est, "featureImportances") else []
-    names = list(numeric)
-    indexers = [s for s in model.stages if hasattr(s, "labels") and hasattr(s, "getInputCol")]
-    for c, ix in zip(categorical, indexers):
-        names += [c] * max(len(ix.labels), 0)  # dropLast keeps |labels| slots (incl. the unknown slot)
-    agg: dict[str, float] = {}
-    for n, v in zip(names, imp):
-        agg[n] = agg.get(n, 0.0) + float(v)
-    return spark.createDataFrame(sorted(agg.items(), key=lambda kv: -kv[1]), "feature string, importance double")

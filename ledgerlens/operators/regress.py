@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dist import f_sf, normal_ppf_975, normal_two_sided_p
+from ledgerlens.functions.hashrand import hash_uniform
 from ledgerlens.operators.features import add_engineered_features, positive_log_target
-from ledgerlens.spec import CAUSAL_MIN_EFFECT, R2_SIGNAL, SIGNIFICANCE, TableSpec
+from ledgerlens.spec import CAUSAL_MIN_EFFECT, R2_SIGNAL, SEED, SIGNIFICANCE, TableSpec
 
 #: Default bound on a categorical's levels: each is a column of the k×k matrices.
 MAX_LEVELS = 1000
@@ -350,6 +351,58 @@ def stack_fit_stats(results: Sequence[OLSResult], spark: SparkSession) -> DataFr
     return out
 
 
+def linear_folds(df: DataFrame, key: str, y: str, terms: Sequence[str], *, k: int = 5, sizes: Sequence[float] = (), seed: int = SEED) -> tuple[list[tuple], list[tuple]]:
+    """K12–K14 of a linear fit on all features, from one pass: R² of every fold and the learning curve.
+
+    Each row is in a fold and in the smallest of ``sizes`` that its hash falls under; the
+    pass sums X'X, X'y and y'y per (fold, size), around fixed centres. A fold's training
+    sums are those of the other folds, a size's those of the sizes up to it; the fold's
+    own sums give its squared errors, so no row is read again. Returns (fold, r2, n) per
+    fold and (size, mean r2, mean training rows) per size. A row with a null is dropped.
+    """
+    design = build_design(df, y, terms)
+    width = len(design.columns)
+    fold = F.least(F.floor(hash_uniform(F.col(key), seed, "fold") * k), F.lit(k - 1)).cast("int")
+    u, step = hash_uniform(F.col(key), seed, "size"), F.lit(len(sizes))
+    for i, size in reversed(list(enumerate(sizes))):
+        step = F.when(u < F.lit(float(size)), F.lit(i)).otherwise(step)
+    rows = df.select(fold.alias("fold"), step.cast("int").alias("step"), design.y.alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(design.columns)]).dropna()
+    # any centre near the data will do: the algebra after it is exact, and sums stay small
+    means = rows.agg(F.avg("y").alias("y"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, width)]).first()
+    if means["y"] is None:
+        raise ValueError("no complete rows to fit")
+    centre = np.array([0.0] + [means[f"x{i}"] for i in range(1, width)] + [means["y"]])
+    names = [f"x{i}" for i in range(width)] + ["y"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (f, s), part in pdf.groupby(["fold", "step"]):
+                z = part[names].to_numpy("f8") - centre
+                yield pd.DataFrame({"fold": f, "step": s, "pos": np.arange((width + 1) ** 2, dtype="i4"), "value": (z.T @ z).ravel()})
+
+    cells: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows.mapInPandas(sums, "fold int, step int, pos int, value double").groupBy("fold", "step", "pos").agg(F.sum("value").alias("value")).collect():
+        cells.setdefault((r["fold"], r["step"]), np.zeros((width + 1) ** 2))[r["pos"]] = r["value"]
+    total = {c: m.reshape(width + 1, width + 1) for c, m in cells.items()}
+    none = np.zeros((width + 1, width + 1))
+
+    def r2(train: np.ndarray, test: np.ndarray) -> float:
+        beta = _spectral_inverse(train[:-1, :-1])[0] @ train[:-1, -1]
+        n = test[0, 0]
+        sse = test[-1, -1] - 2 * beta @ test[:-1, -1] + beta @ test[:-1, :-1] @ beta
+        sst = test[-1, -1] - test[0, -1] ** 2 / n if n else 0.0
+        return float(1 - sse / sst) if sst > 0 else float("nan")
+
+    own = {f: sum((m for (g, _), m in total.items() if g == f), none) for f in range(k)}
+    everything = sum(own.values(), none)
+    folds = [(f, r2(everything - own[f], own[f]), int(round(own[f][0, 0]))) for f in range(k)]
+    curve = []
+    for i, size in enumerate(sizes):
+        trained = [sum((m for (g, s), m in total.items() if g != f and s <= i), none) for f in range(k)]
+        curve.append((float(size), float(np.mean([r2(t, own[f]) for f, t in enumerate(trained)])), float(np.mean([t[0, 0] for t in trained]))))
+    return folds, curve
+
+
 def linear_attribution(df: DataFrame, y: str, terms: Sequence[str], result: OLSResult) -> DataFrame:
     """K15/H8 (exact for linear models): mean |β_j·(x_j − x̄_j)| per design column.
 

@@ -10,11 +10,12 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ledgerlens.session import checkpoint_dir
 
@@ -47,18 +48,28 @@ def read_metrics(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 def save_model(model: PipelineModel, path: str, features: list[str]) -> None:
     """Persist a fitted pipeline plus the feature list it was trained on."""
     model.write().overwrite().save(os.path.join(path, "model"))
-    spark = SparkSession.getActiveSession()
+    save_features(SparkSession.getActiveSession(), path, features)
+
+
+def save_features(spark: SparkSession, path: str, features: Sequence[str]) -> None:
+    """The feature list that goes with a saved model."""
     spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string") \
         .write.mode("overwrite").parquet(os.path.join(path, "features"))
 
 
+def saved_features(spark: SparkSession, path: str) -> list[str] | None:
+    """The feature list of a saved model; None where none was saved. Other read errors are raised."""
+    try:
+        return [r.feature for r in spark.read.parquet(os.path.join(path, "features")).orderBy("position").collect()]
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
 def load_model_if_compatible(spark: SparkSession, path: str, features: list[str]) -> PipelineModel | None:
     """Reuse a saved model only when its feature names equal ``features``."""
-    try:
-        saved = [r.feature for r in spark.read.parquet(os.path.join(path, "features")).orderBy("position").collect()]
-    except Exception:  # noqa: BLE001 — no artefact yet
-        return None
-    if saved != list(features):
+    if saved_features(spark, path) != list(features):
         return None
     return PipelineModel.load(os.path.join(path, "model"))
 
