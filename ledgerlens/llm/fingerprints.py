@@ -5,7 +5,7 @@ A text's sketch holds every hash of its word shingles that lies below a fixed sh
 sketch of a union is the union of the sketches, and the share of one sketch found in
 another estimates containment however unequal the two texts are.
 
-- Hashes are the first 64 bits of the shingle's md5, as 16 hexadecimal digits; the
+- Hashes are the first 48 bits of the shingle's md5, as 12 hexadecimal digits; the
   threshold is a prefix comparison. Letters A-Z are lower-cased first.
 - A sketch is computed where the text is read: no shuffle, memory of one text.
 - ``merged`` keeps the sketch of a group as rows (group, hash), never as one array:
@@ -34,7 +34,7 @@ from ledgerlens.operators.ranks import cumulative_counts
 #: One hash in so many is kept.
 SCALE = 8
 SHINGLE_WORDS = 3
-HASH_DIGITS = 16
+HASH_DIGITS, TEXT_DIGITS = 12, 16
 #: Copies of a row that one step of the final expansion lists.
 COPIES = 10_000
 
@@ -70,7 +70,7 @@ def unpacked(data: Column) -> Column:
 
 
 def text_digest(text: Column) -> Column:
-    return F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS)
+    return F.substring(F.md5(text.cast("binary")), 1, TEXT_DIGITS)
 
 
 def as_string(digest: Column, hashes: Column) -> Column:

@@ -104,7 +104,7 @@ FROM n LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.class_id"""
 
 _SKETCH = """list_sort(list_distinct(list_filter(list_transform(
     range(1, CASE WHEN len({w}) = 0 THEN 1 ELSE greatest(len({w}) - 2, 1) + 1 END),
-    lambda i: left(md5(array_to_string({w}[i : i + 2], ' ')), 16)), lambda x: x < '2000000000000000')))"""
+    lambda i: left(md5(array_to_string({w}[i : i + 2], ' ')), 12)), lambda x: x < '200000000000')))"""
 _ALIKE = """CASE WHEN {same} THEN 1.0::DOUBLE WHEN len({a}) + len({b}) = 0 THEN 0.0::DOUBLE
     ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE END"""
 _INSIDE = "CASE WHEN {same} THEN 1.0::DOUBLE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({a})::DOUBLE END"

@@ -58,7 +58,7 @@ def documents(spark):
 def brute_sketch(text, scale=fingerprints.SCALE, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     shingles = {" ".join(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
-    return sorted(h for h in (hashlib.md5(s.encode()).hexdigest()[:16] for s in shingles) if int(h, 16) < 2**64 // scale)
+    return sorted({h for h in (hashlib.md5(s.encode()).hexdigest()[:12] for s in shingles) if int(h, 16) < 2**48 // scale})
 
 
 def brute_print(text):
