@@ -195,3 +195,28 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         return F.when((share == 0) | (lo == hi), lo.cast("double")).otherwise(lo + share * (hi - lo))
 
     return found.select(*group_cols, *[between(name, q).alias(name) for name, q in quantiles.items()])
+
+
+#: Size parameter of the quantile sketches: a rank error of about 1.65 % at 200, with 99 % confidence.
+SKETCH_K = 200
+
+
+def quantile_sketches(df: DataFrame, group_cols: Sequence[str], value_col: str, *, k: int = SKETCH_K) -> DataFrame:
+    """Mergeable quantile sketches (KLL) of a column by group: one partial aggregate, a few kilobytes a group.
+
+    Sketches of parts (days, partitions of a source) may be stored and merged later by
+    :func:`merge_sketches`; the rows are never read again. Nulls are left out.
+    """
+    x = F.col(value_col).cast("double")
+    return df.where(x.isNotNull()).groupBy(*group_cols).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, group_cols: Sequence[str], *, k: int = SKETCH_K) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones."""
+    return sketches.groupBy(*group_cols).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def approximate_percentiles(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """The named approximate option beside :func:`exact_percentiles`: one column per entry, read from the sketches."""
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(name) for name, q in quantiles.items()]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *found)

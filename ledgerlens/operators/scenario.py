@@ -188,33 +188,21 @@ def draw_percentiles(draws: DataFrame) -> DataFrame:
 
 
 def narrative(projected: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-    """M6: one text per scenario row: direction, top-2 drivers, 80% interval, note."""
-    direction = (F.when(F.col("total_change_pct") > FLAT_BAND_PCT, "rise")
-                 .when(F.col("total_change_pct") < -FLAT_BAND_PCT, "fall").otherwise("stay broadly flat"))
-    tops = top_drivers(projected, 2).groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "driver", "pct_effect"))).alias("tops"))
-    base = projected.join(tops, list(KEYS), "left")
+    """M6: one text per scenario row: its two volumes, the leading drivers, the 80% range and what kind of number this is."""
+    change = F.col("total_change_pct")
+    direction = F.when(change > FLAT_BAND_PCT, "rise").when(change < -FLAT_BAND_PCT, "fall").otherwise("stay broadly flat")
+    leading = top_drivers(projected, 2).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("rank", "driver", "pct_effect"))).alias("leading"))
+    rows = projected.join(leading, list(KEYS), "left")
+    parts = [F.format_string("%s, %s: %,.0f units become %,.0f, so volumes %s (%+.1f%%).", F.col("region"), F.col("fuel_type"), F.col("base_volume"),
+                             F.col("projected_volume"), direction, change)]
+    named = F.transform("leading", lambda x: F.format_string("%s %+.1f%%", F.lower(x["driver"]), x["pct_effect"]))
+    parts.append(F.when(F.size(F.coalesce("leading", F.array())) > 0, F.concat(F.lit("Leading drivers: "), F.array_join(named, ", "), F.lit(".")))
+                 .otherwise(F.lit("Leading drivers: none.")))
     if intervals is not None:
-        base = base.join(intervals.select(*KEYS, "ci80_low_pct", "ci80_high_pct"), list(KEYS), "left")
-    driver_txt = F.when(
-        F.size(F.coalesce(F.col("tops"), F.array())) > 0,
-        F.concat(F.lit(" The move is driven mainly by "), F.array_join(F.transform(
-            F.col("tops"), lambda t: F.format_string("**%s** (%+.1f%%)", F.lower(t["driver"]), t["pct_effect"])),
-            " and "), F.lit(".")),
-    ).otherwise(F.lit(" No single driver moves materially in this scenario."))
-    ci_txt = (F.format_string(" Accounting for elasticity uncertainty, the 80%% credible interval is "
-                              "**[%+.0f%%, %+.0f%%]** - the planning range to budget against.",
-                              F.col("ci80_low_pct"), F.col("ci80_high_pct"))
-              if intervals is not None else F.lit(""))
-    text = F.concat(
-        F.format_string("In **%s**, demand for **%s** is projected to **%s** by **%+.1f%%** under this scenario "
-                        "(%,.0f → %,.0f units).", F.col("region"), F.col("fuel_type"), direction,
-                        F.col("total_change_pct"), F.col("base_volume"), F.col("projected_volume")),
-        driver_txt, F.coalesce(ci_txt, F.lit("")),
-        F.lit(" *This is a labelled what-if simulation grounded in literature elasticities - "
-              "not a forecast from the historical dataset.*"),
-    )
-    return base.select(*KEYS, direction.alias("direction"), text.alias("narrative"))
+        rows = rows.join(intervals.select(*KEYS, "ci80_low_pct", "ci80_high_pct"), list(KEYS), "left")
+        parts.append(F.format_string("Four draws in five lie between %+.0f%% and %+.0f%%.", F.col("ci80_low_pct"), F.col("ci80_high_pct")))
+    parts.append(F.lit("A what-if from fixed elasticities; nothing here was fitted to the rows."))
+    return rows.select(*KEYS, direction.alias("direction"), F.concat_ws(" ", *parts).alias("narrative"))
 
 
 DEFAULT_SCENARIOS = (

@@ -109,17 +109,18 @@ FROM (SELECT *, df_between / 2.0 AS pp, df_within / 2.0 AS qq,
 
 
 def _bin_sql(c: str) -> str:
-    return (f"CAST(CASE WHEN mm.hi_{c} > mm.lo_{c} THEN least(floor((CAST({c} AS DOUBLE) - mm.lo_{c}) / "
-            f"(mm.hi_{c} - mm.lo_{c}) * {MI_BINS}), {MI_BINS - 1}) ELSE 0 END AS INT)")
+    return f"CAST(len(list_filter(ed.e_{c}, lambda e: e < CAST({c} AS DOUBLE))) AS INT)"
 
 
 def _mi_sql() -> str:
-    mm = ", ".join(f"CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}" for c in NUM)
+    edges = ", ".join(
+        f"list_distinct([list_sort(list(CAST({c} AS DOUBLE)))[CAST(ceil(COUNT({c}) * k / CAST({MI_BINS} AS DOUBLE)) AS BIGINT)] for k in range(1, {MI_BINS})]) AS e_{c}"
+        for c in NUM)
     y = _bin_sql(SPEC.volume)
     stacked = " UNION ALL ".join(
-        [f"SELECT '{c}' AS feature, CAST({_bin_sql(c)} AS VARCHAR) AS x, {y} AS y FROM sales, mm"
+        [f"SELECT '{c}' AS feature, CAST({_bin_sql(c)} AS VARCHAR) AS x, {y} AS y FROM sales, ed"
          for c in NUM if c != SPEC.volume]
-        + [f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS x, {y} AS y FROM sales, mm" for c in CAT]
+        + [f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS x, {y} AS y FROM sales, ed" for c in CAT]
     )
     return with_sales(
         """
@@ -134,7 +135,7 @@ JOIN (SELECT feature, CAST(SUM(c) AS DOUBLE) AS n FROM cells GROUP BY feature) t
 JOIN (SELECT feature, COUNT(DISTINCT x) AS bx FROM cells GROUP BY feature) bx USING (feature)
 JOIN (SELECT feature, COUNT(DISTINCT y) AS by FROM cells GROUP BY feature) by_ USING (feature)
 GROUP BY cl.feature""",
-        extra_ctes=f"mm AS (SELECT {mm} FROM sales),\n"
+        extra_ctes=f"ed AS (SELECT {edges} FROM sales),\n"
                    f"cells AS (SELECT feature, x, y, COUNT(*) AS c FROM ({stacked}) s WHERE x IS NOT NULL "
                    f"GROUP BY feature, x, y)",
     )

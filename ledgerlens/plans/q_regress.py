@@ -167,3 +167,22 @@ def _attr_synthetic(spark, d):
 
 
 register("linear_attribution_synthetic", "K15 H8")(_attr_synthetic)
+
+
+def _absorbed(spark, d):
+    """Log price on engine size with every colour absorbed."""
+    from pyspark.sql import functions as F
+
+    fit = RG.ols_absorbed(add_engineered_features(facts(spark, d), SPEC), "log_price", [SPEC.engine], [SPEC.color])
+    row = spark.createDataFrame([(fit.n, fit.df_resid, float(fit.coef[0]), float(fit.std_err()[0]), fit.r2)], "n_obs long, df_resid long, coef double, std_err double, r2 double")
+    return row.select("n_obs", "df_resid", *[F.round(c, 9).alias(c) for c in ("coef", "std_err", "r2")])
+
+
+register("absorbed_engine_slope", "J2 J1", with_sales("""
+SELECT COUNT(*) AS n_obs, COUNT(*) - 1 - (SELECT COUNT(*) FROM g) AS df_resid, ROUND(max(b), 9) AS coef,
+       ROUND(sqrt(sum(dx * dx * (dy - b * dx) * (dy - b * dx) / ((1 - 1.0 / n - dx * dx / sxx) * (1 - 1.0 / n - dx * dx / sxx)))) / max(sxx), 9) AS std_err,
+       ROUND(1 - sum((dy - b * dx) * (dy - b * dx)) / max(sst), 9) AS r2
+FROM t, (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx FROM t) s, (SELECT var_pop(log_price) * COUNT(*) AS sst FROM feat) v""",
+    features=True, extra_ctes="""
+g AS (SELECT Color, avg(Engine_Size_L) AS mx, avg(log_price) AS my, CAST(COUNT(*) AS DOUBLE) AS n FROM feat GROUP BY Color),
+t AS (SELECT feat.Engine_Size_L - g.mx AS dx, feat.log_price - g.my AS dy, g.n FROM feat JOIN g USING (Color))"""))(_absorbed)

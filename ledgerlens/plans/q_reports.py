@@ -72,3 +72,16 @@ FROM (SELECT Region AS region, Year AS year, CAST(SUM(Sales_Volume) AS BIGINT) A
       FROM sales GROUP BY Region, Year) yearly
 ORDER BY region, year"""),
 )(lambda spark, d: reports.yoy_volume(facts(spark, d), by=["Region"]))
+
+
+def _price_stats_approximate(spark, d):
+    """D4 with the named approximate option: quartiles from quantile sketches by model and year, merged by model."""
+    from ledgerlens.operators import ranks
+    from ledgerlens.plans.oracle import SPEC
+
+    parts = ranks.quantile_sketches(facts(spark, d), [SPEC.model, SPEC.year], SPEC.price)
+    merged = ranks.merge_sketches(parts, [SPEC.model])
+    return ranks.approximate_percentiles(merged, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+
+
+register("price_stats_approximate", "D4 D15")(_price_stats_approximate)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -155,3 +157,57 @@ def test_chi2_of_uneven_cells_matches_numpy(spark):
     table = pd.crosstab(pdf.a, pdf.b).to_numpy(float)
     e = np.outer(table.sum(1), table.sum(0)) / table.sum()
     assert got.chi2 == pytest.approx(((table - e) ** 2 / e).sum(), abs=1e-6)
+
+
+def test_quantile_bins_keep_ties_together_and_bear_an_outlier(spark):
+    from ledgerlens.operators import audit as AU
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 40, 2000).astype(float)
+    pdf = pd.DataFrame({"x": x, "far": np.where(np.arange(2000) == 7, 1e300, x), "y": x * 2 + rng.normal(size=2000)})
+    df = spark.createDataFrame(pdf)
+    edges = AU.quantile_edges(df, ["x", "far"], 8)
+    ordered = np.sort(x)
+    assert edges["x"] == sorted({ordered[math.ceil(2000 * k / 8) - 1] for k in range(1, 8)}) and len(edges["far"]) == 7
+    got = {r.feature: r.mi for r in AU.mutual_information(df, ["x", "far"], [], "y", bins=8).collect()}
+    bx = sum((x > e).astype(int) for e in edges["x"])
+    ey = sorted({np.sort(pdf["y"])[math.ceil(2000 * k / 8) - 1] for k in range(1, 8)})
+    by = sum((pdf["y"].to_numpy() > e).astype(int) for e in ey)
+    joint = np.zeros((8, 8))
+    np.add.at(joint, (bx, by), 1 / 2000)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = np.nansum(joint * np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
+    assert got["x"] == pytest.approx(want, abs=1e-8) and got["far"] > 0.9 * got["x"]
+
+
+@pytest.mark.parametrize("absorb", [["g"], ["g", "h"]])
+def test_absorbed_factors_equal_the_dummy_fit(spark, absorb):
+    rng = np.random.default_rng(12)
+    n = 600
+    pdf = pd.DataFrame({"g": rng.integers(0, 15, n).astype(str), "h": rng.integers(0, 7, n).astype(str), "x": rng.normal(size=n) * 3 + 50, "z": rng.normal(size=n)})
+    pdf["x"] += pdf["g"].astype(int)
+    pdf["y"] = 2 * pdf["x"] - pdf["z"] + 3 * pdf["g"].astype(int) - 2 * pdf["h"].astype(int) + rng.normal(size=n) * (1 + pdf["z"].abs())
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = RG.ols_absorbed(df, "y", ["x", "z"], absorb)
+    want = RG.ols_hc3(df, "y", ["x", "z", *[f"C({c})" for c in absorb]])
+    at = [want.terms.index("x"), want.terms.index("z")]
+    assert got.coef == pytest.approx(want.coef[at], rel=1e-8) and got.r2 == pytest.approx(want.r2, rel=1e-8)
+    assert (got.n, got.rank, got.df_resid) == (want.n, want.rank, want.df_resid)
+    if len(absorb) == 1:
+        assert got.std_err() == pytest.approx(want.std_err()[at], rel=1e-7)
+    else:
+        assert got.std_err() == pytest.approx(want.std_err()[at], rel=0.1)
+
+
+def test_absorbed_factor_of_more_levels_than_dummies_allow(spark):
+    rng = np.random.default_rng(13)
+    g = np.repeat(np.arange(1500), 3)
+    x = rng.normal(size=len(g))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": 4 * x + g * 0.5 + rng.normal(size=len(g)) * 0.1}))
+    with pytest.raises(ValueError):
+        RG.ols_hc3(df, "y", ["x", "C(g)"])
+    fit = RG.ols_absorbed(df, "y", ["x"], ["g"])
+    within = x - x.reshape(-1, 3).mean(1).repeat(3)
+    assert fit.coef[0] == pytest.approx(4, abs=0.02) and fit.df_resid == len(g) - 1501
+    # a row's leverage is a third, so HC3 weighs a squared residual of expectation 2/3 by 9/4
+    assert fit.std_err()[0] == pytest.approx(0.1 * math.sqrt(1.5) / np.sqrt((within**2).sum()), rel=0.1)

@@ -118,3 +118,18 @@ def test_percentiles_beside_infinities(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, "inf", "inf", "inf")], "v double")
     row = exact_percentiles(df, [], "v", {"lo": 0.2, "mid": 0.5, "hi": 0.9}).first()
     assert (row["lo"], row["mid"], row["hi"]) == (2.0, math.inf, math.inf)
+
+
+def test_quantile_sketches_merge_within_their_rank_error(spark):
+    from ledgerlens.operators.ranks import approximate_percentiles, merge_sketches, quantile_sketches
+
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 20000), "day": rng.integers(0, 9, 20000), "v": np.exp(rng.normal(size=20000) * 3)})
+    parts = quantile_sketches(spark.createDataFrame(pdf).repartition(4), ["g", "day"], "v")
+    assert parts.count() == 18
+    for merged in (merge_sketches(parts, ["g"]), quantile_sketches(spark.createDataFrame(pdf), ["g"], "v")):
+        for r in approximate_percentiles(merged, {"q1": 0.25, "q2": 0.5, "q9": 0.9}).collect():
+            own = np.sort(pdf.loc[pdf["g"] == r["g"], "v"].to_numpy())
+            assert r["n"] == len(own)
+            for name, q in (("q1", 0.25), ("q2", 0.5), ("q9", 0.9)):
+                assert abs(np.searchsorted(own, r[name], side="right") / len(own) - q) < 0.03
