@@ -105,9 +105,10 @@ def load_raw(
 
 
 # -- A4 type-inferred view ------------------------------------------------------
-def register_view(spark: SparkSession, path: str, name: str = "sales") -> DataFrame:
-    """Register a type-inferred CSV (or Parquet) view for ad-hoc SQL."""
-    if path.endswith(".csv"):
+def register_view(spark: SparkSession, path: str, name: str = "sales", *, fmt: str | None = None) -> DataFrame:
+    """Register a type-inferred CSV (or Parquet) view for ad-hoc SQL; ``fmt`` says which where the path's name doesn't."""
+    fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz", ".txt")) else "parquet")
+    if fmt == "csv":
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     else:
         df = spark.read.parquet(path)
