@@ -56,6 +56,11 @@ TILE = 4096
 KNOWN_WORDS = 200_000
 
 
+#: A pair of classes: their numbers, smallest ids and digests.
+NAMED = ["a", "id_a", "digest_a", "b", "id_b", "digest_b"]
+NAMED_SCHEMA = "a long, id_a long, digest_a binary, b long, id_b long, digest_b binary"
+
+
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
@@ -178,7 +183,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _estimated(threshold: float):
-    """Rows (a, n_a, regs_a, b, n_b, regs_b) to those pairs (a, b) that may link."""
+    """Rows (a, n_a, regs_a, b, n_b, regs_b and the classes' NAMES) to those pairs that may link, with their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +191,8 @@ def _estimated(threshold: float):
             if batch.num_rows:
                 x, y, n_a, n_b = _matrix(col("regs_a")), _matrix(col("regs_b")), col("n_a").to_numpy(), col("n_b").to_numpy()
                 same, union = ((x == y) & (x != EMPTY)).sum(axis=1), ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-                ok = may_link(same, union, expected_collisions(n_a, n_b), n_a, n_b, threshold)
-                yield pa.RecordBatch.from_arrays([col("a").filter(pa.array(ok)), col("b").filter(pa.array(ok))], ["a", "b"])
+                ok = pa.array(may_link(same, union, expected_collisions(n_a, n_b), n_a, n_b, threshold))
+                yield pa.RecordBatch.from_arrays([col(c).filter(ok) for c in NAMED], NAMED)
 
     return run
 
@@ -289,20 +294,20 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     width, blank = 2 * rows, F.unhex(F.lit("FF" * 2 * rows))
     band = lambda i: F.substring("regs", i * width + 1, F.lit(width))
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.when(band(i) != blank, F.xxhash64(i, band(i))))
-    bands = classes.select("rep", F.posexplode(keys).alias("band", "key")).filter("key is not null")
+    bands = classes.select("rep", "least", F.posexplode(keys).alias("band", "key")).filter("key is not null")
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     hits = bands.join(buckets, "key")
     # The hub of a bucket is its member with the most company in all buckets: of near
     # copies the one that the others were made from, rather than one of them.
     hits = stage(hits, "band-hits")
     company = hits.groupBy("rep").agg(F.sum("members").alias("company"))
-    hubs = hits.select("key", "rep").join(company, "rep").groupBy("key").agg(
-        F.max(F.struct("company", (-F.col("rep")).alias("rep")))["rep"].alias("hub")).select("key", (-F.col("hub")).alias("hub"))
+    # Of equals it is the one with the smallest id, so that buckets agree on it.
+    first = F.struct("company", F.bitwise_not("least").alias("least"), F.bitwise_not("rep").alias("rep"))
+    hubs = hits.select("key", "rep", "least").join(company, "rep").groupBy("key").agg(F.max(first)["rep"].alias("hub")).select("key", F.bitwise_not("hub").alias("hub"))
+    hits = hits.drop("least")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
-        of = lambda x: classes.select(F.col("rep").alias(x), F.col("least").alias(f"id_{x}"), F.col("digest").alias(f"digest_{x}"))
-        named = pairs.join(of("a"), "a").join(of("b"), "b")
+    def confirm(named: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of ``named`` whose full shingle sets reach the threshold."""
         ids = named.select(F.col("id_a").alias("doc_id")).union(named.select(F.col("id_b").alias("doc_id"))).distinct()
         # the ids grow with the corpus: a shuffle join at every size, never a broadcast of them;
         # an id may have several texts, of which the digest tells the class's own
@@ -312,10 +317,11 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         both = named.join(side("a"), ["id_a", "digest_a"]).join(side("b"), ["id_b", "digest_b"])
         return both.select("a", "hashes_a", "b", "hashes_b").mapInArrow(_confirmed(threshold_percent), "a long, b long")
 
-    sketches = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    names = lambda x: [F.col("rep").alias(x), F.col("least").alias(f"id_{x}"), F.col("digest").alias(f"digest_{x}")]
+    sketches = lambda x: classes.select(*names(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     hits = hits.join(hubs, "key")
     stars = hits.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-    stars = stars.join(sketches("a"), "a").join(sketches("b"), "b").mapInArrow(_estimated(threshold), "a long, b long")
+    stars = stars.join(sketches("a"), "a").join(sketches("b"), "b").mapInArrow(_estimated(threshold), NAMED_SCHEMA)
     links = stage(confirm(stage(stars, "star-pairs")), "links")
     parts = connected_components(links)
 
@@ -332,7 +338,8 @@ def find_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         tiled.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
         .mapInArrow(_tile_pairs(threshold), "a long, b long")
     )
-    more = stage(confirm(stage(late, "late-pairs")), "late-links")
+    late = stage(late, "late-pairs").join(classes.select(*names("a")), "a").join(classes.select(*names("b")), "b").select(*NAMED)
+    more = stage(confirm(late), "late-links")
     # an id with several texts links their classes
     several = told.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).filter("lo < hi").select("doc_id")
     shared = told.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
