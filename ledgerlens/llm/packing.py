@@ -33,7 +33,9 @@ from ledgerlens.llm.tokens import load_tokenizer
 
 WINDOW = 2048
 #: Words whose ids a task keeps, and characters that a word may have to be kept.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 800_000, 64
+#: Rows whose words are looked up together.
+SLICE_ROWS = 2048
 #: Texts whose lower case and classes are settled (nothing in them composes), and
 #: the tokenizer's split of them into pre-tokens (fixed value).
 PLAIN = r"[\x20-\x7e\xa1-\u012f\u0131-\u024f]*"
@@ -138,8 +140,8 @@ def _tokenize(path: str, end_id: int, dtype: str):
         part, at = TaskContext.get().partitionId(), 0
         word_ids, end, width = WordIds(path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(lo, SLICE_ROWS)
                 ids = [x + end for x in word_ids([t or "" for t in piece.column(1).to_pylist()])]
                 n = np.array([len(x) // width for x in ids], "i8")
                 start = at + np.cumsum(n) - n
