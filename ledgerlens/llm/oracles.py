@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import quality as Q
-from ledgerlens.llm.mixing import CURRICULUM_SHAPES
-
+#: The operators' limits and patterns, written out here so that the SQL checks them.
+CURRICULUM_SHAPES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
+SYMBOLS = "[#*$%&|<>]"
+MAX_LOSS, BOILERPLATE_MAX_WORDS = 0.4, 20
+BOILERPLATE = (
+    "all rights reserved|copyright|released under|licensed under|terms of (use|service)|privacy policy|cookie|"
+    "enable javascript|lorem ipsum|subscribe|newsletter|sign (in|up)|log ?in|click here|read more|share this|powered by"
+)
 W = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,7 +57,7 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_i
 rep AS (SELECT doc_id, COUNT(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) x GROUP BY doc_id),
 b AS (
   SELECT d.doc_id, lines, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-         CAST(len(regexp_extract_all(text, '{Q.SYMBOLS}')) AS BIGINT) AS n_symbols,
+         CAST(len(regexp_extract_all(text, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
          CAST(len(list_filter(lines, lambda x: regexp_matches(x, '{W}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{W}')))) AS BIGINT) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)),
@@ -63,12 +68,12 @@ k AS (SELECT doc_id, line, n FROM l WHERE NOT (
         OR (n >= 3 AND regexp_matches(line, '[!?]{{2}}') AND len(regexp_extract_all(line, '[!?]{{2,}}')) * 3 >= n)
         OR (n >= 4 AND regexp_matches(line, '[|>»›·•]') AND len(regexp_extract_all(line, '[|>»›·•]')) * 4 >= n)
         OR (n >= 40 AND NOT regexp_matches(line, '[.,;:!?…。！？]'))
-        OR (n > 0 AND n <= {Q.BOILERPLATE_MAX_WORDS} AND regexp_matches(line, '(?i)\b({Q.BOILERPLATE})\b'))
+        OR (n > 0 AND n <= {BOILERPLATE_MAX_WORDS} AND regexp_matches(line, '(?i)\b({BOILERPLATE})\b'))
         OR (often AND n >= 20 AND len(list_distinct(string_split_regex(line, '[\x20\x09-\x0D]+'))) * 4 < n))),
 m AS (SELECT k.doc_id, k.line, max(k.n) AS n, COUNT(*) AS times FROM k GROUP BY k.doc_id, k.line),
 cw AS (SELECT doc_id, sum(n) AS w FROM m GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(w, 0) <= n_words * CAST({Q.MAX_LOSS} AS DOUBLE) AS kept,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(w, 0) <= n_words * CAST({MAX_LOSS} AS DOUBLE) AS kept,
        CAST(coalesce(w, 0) AS BIGINT) AS clean_words
 FROM b LEFT JOIN cw USING (doc_id)"""
 
