@@ -214,3 +214,63 @@ def test_mlp_runs(sample_sales, spec):
     split = LN.assign_split(frame, spec.key, stratify="label")
     _, m = LN.mlp_classifier(split.where("split = 'train'"), split.where("split = 'test'"), num, cat, hidden=(8,), max_iter=5)
     assert 0 <= m["roc_auc"] <= 1
+
+
+@pytest.mark.parametrize(("kind", "depth"), [("boosted", 3), ("boosted", 5), ("boosted", 6), ("forest", 8)])
+def test_rows_reach_the_leaf_their_splits_lead_to(kind, depth):
+    """Masks and joined columns against a walk of every row down every tree, unsplit nodes and unseen values included."""
+    from ledgerlens.operators import trees as TS
+
+    rng = np.random.default_rng(depth)
+    region = rng.integers(0, 5, 700)
+    x = np.column_stack([rng.normal(size=700), region * 1.5, region * -2.0 + (rng.random(700) < 0.1), rng.integers(0, 40, 700), region])
+    y = (x[:, 0] > 1).astype("f8") + (region == 2)
+    member = fit_trees(x[:500], y[:500], 4, kind=kind, task="regression", rounds=12, depth=depth, min_rows=5.0)
+    binning = TS.Binning([np.array(e) for e in member["edges"]], [np.array(r, "i4") for r in member["ranks"]])
+    nodes = (1 << depth + 1) - 1
+    column, cut = (np.frombuffer(member[c], "<i2").reshape(-1, nodes) for c in ("column", "cut"))
+    value = np.frombuffer(member["value"], "<f8").reshape(-1, nodes)
+    assert (column[:, : nodes // 2] < 0).any() and (column[:, 0] >= 0).all()
+    x[600:, 4] = 9.0
+    want = []
+    for row in binning(x):
+        total = 0.0
+        for c, b, v in zip(column, cut, value, strict=True):
+            at = 0
+            while at < nodes // 2:
+                at = 2 * at + 1 + int(c[at] >= 0 and row[c[at]] > b[at])
+            total += v[at]
+        want.append(member["start"] + member["rate"] * total)
+    assert predict_trees(member, x) == pytest.approx(want, rel=1e-12)
+
+
+def test_joined_columns_give_each_row_its_bins():
+    from ledgerlens.operators.trees import joined
+
+    rng = np.random.default_rng(4)
+    region = rng.integers(0, 6, 900)
+    bins = np.stack([region, region % 3, rng.integers(0, 60, 900), 5 - region, rng.integers(0, 30, 900)]).astype("i4")
+    groups = joined(bins, 64)
+    assert len(groups) < len(bins) and sorted(c for columns, _, _ in groups for c in columns) == list(range(len(bins)))
+    for columns, cell, values in groups:
+        for c, v in zip(columns, values, strict=True):
+            assert (v[cell] == bins[c]).all()
+
+
+def test_members_grow_before_they_become_many(planted, monkeypatch):
+    """Every row is scored by each member: eight shards at first, and more only beyond the wide ones' rows."""
+    monkeypatch.setattr(TR, "SHARD_ROWS", 20)
+    monkeypatch.setattr(TR, "WIDE_SHARD_ROWS", 500)
+    shards = TR.packed_shards(planted, "regression", name="grown")
+    assert shards.count() == TR.FEW_MEMBERS and shards.agg(F.sum("n")).first()[0] == planted.part("regression", "train").count()
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_linear_search_scores_are_those_of_each_fit(table, task):
+    name = TR.FAMILIES[task][-1]
+    found = TR.search_linear(table, task, name, draws=1)[1]
+    train, base = table.part(task, "train"), TR.linear_estimator(task)
+    maps = TR.random_params(base, name, 1, TR.SEED)
+    for d, f, value in found:
+        model = base.copy(maps[d]).fit(train.where(F.col("fold") != f))
+        assert value == pytest.approx(TR._fold_scores(TR.linear_score(model, train.where(F.col("fold") == f), task), task), abs=1e-6)  # the solver stops at 1e-6
