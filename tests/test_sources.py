@@ -92,3 +92,27 @@ def test_metrics_and_run_log(spark):
     SK.log_run(spark, os.path.join(root, "runs"), model="A", task="regression", params={"depth": 3},
                metrics={"r2": 0.1})
     assert spark.read.parquet(os.path.join(root, "runs")).where(F.col("kind") == "metric").count() == 1
+
+
+def test_facts_are_joined_without_sorting_the_large_side(spark, tmp_path):
+    """Where partitions are small the planner hashes the smaller side; the session's setting comes back afterwards."""
+    from ledgerlens.plans import catalogue
+    from ledgerlens.session import hashed_joins
+    from ledgerlens.sources.facts import sales_facts
+    from tests.conftest import SF_SMALL
+
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with hashed_joins(spark):
+            hashed = sales_facts(spark, SF_SMALL)
+            got = sorted(hashed.collect())
+            plan = hashed._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan.split("Initial Plan")[0] and spark.conf.get(key) == before
+        assert got == sorted(sales_facts(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    written = catalogue.facts(spark, SF_SMALL)
+    assert sorted(written.collect()) == got and all(".zstd." in f for f in written.inputFiles())
