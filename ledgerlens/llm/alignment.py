@@ -69,7 +69,8 @@ class ByteLevel:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        # ids of all kept pre-tokens one after the other, and how many each has
+        self.flat, self.sizes = np.zeros(0, "i4"), np.zeros(0, "i8")
 
     def __call__(self, texts: list[str]) -> pa.ListArray:
         """A list of ids for each text."""
@@ -77,26 +78,25 @@ class ByteLevel:
         if len(self.places) > KEPT_WORDS:
             self._forget()
         fresh = list(set().union(*split).difference(self.places))
-        encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.places.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
-        self.ids += [np.array(e.ids, "i4") for e in encoded]
-        words = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), "i8")
-        sizes = np.fromiter(map(len, self.ids), "i8", len(self.ids))
-        flat = np.concatenate([*self.ids, np.zeros(0, "i4")])
-        first = (np.cumsum(sizes) - sizes)[words]
-        n = sizes[words]
-        total = np.cumsum(n)
-        at = np.repeat(first - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.places.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), "i8", len(found))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), "i4")])
         word_ends = np.cumsum(np.fromiter(map(len, split), "i8", len(split)))
+        words = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), "i8", int(word_ends[-1]) if len(split) else 0)
+        n = self.sizes[words]
+        total = np.cumsum(n)
+        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[words] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
         ends = np.concatenate([[0], total])[word_ends]
+        ids = self.flat[at]
         if any(len(w) > KEPT_CHARS for w in fresh):
             self._drop_long()
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat[at], pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
 
     def _drop_long(self) -> None:
-        kept = [w for w in self.places if len(w) <= KEPT_CHARS]
-        self.ids = [self.ids[self.places[w]] for w in kept]
-        self.places = {w: i for i, w in enumerate(kept)}
+        kept = np.fromiter((len(w) <= KEPT_CHARS for w in self.places), bool, len(self.places))
+        self.flat, self.sizes = self.flat[np.repeat(kept, self.sizes)], self.sizes[kept]
+        self.places = {w: i for i, w in enumerate(itertools.compress(list(self.places), kept))}
 
 
 class Pieces:
