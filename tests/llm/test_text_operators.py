@@ -494,3 +494,54 @@ def test_an_id_with_several_texts_keeps_all_their_links(spark, turned):
     df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
     found = find_groups(df, shingle_words=3, threshold_percent=85).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4)]
+
+
+@pytest.mark.parametrize("hubs", [1, 3])
+def test_near_duplicates_with_few_hubs_are_all_found(spark, monkeypatch, hubs):
+    """A class meets a bounded number of hubs at first; what they miss is found among the rest: against all pairs."""
+    import numpy as np
+
+    from ledgerlens.llm import near_duplicates as ND
+
+    monkeypatch.setattr(ND, "HUBS", hubs)
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 6)):
+                words[at] = f"w{rng.integers(0, 5000)}"
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["component_id"] for r in ND.find_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=3, threshold_percent=85).collect()}
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert found == {i: root(i) for i in range(len(sets))}
+
+
+def test_kept_ids_of_pre_tokens_are_those_of_each_text(monkeypatch):
+    """Ids kept in one array, through forgetting and long words, against one text at a time."""
+    import public_tokenizers
+
+    from ledgerlens.llm import alignment as AL
+
+    monkeypatch.setattr(AL, "KEPT_WORDS", 12)
+    side = AL.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    long_word = " " + "abcdefghij" * 9
+    for texts in ([" one two", "", " two three"], [long_word + " one", long_word], [], ["", ""], [f" n{i} word{i}" for i in range(40)], [" one two three", long_word]):
+        got = side(texts).to_pylist()
+        assert got == [side.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+        assert side.sizes.sum() == len(side.flat) and len(side.sizes) == len(side.places) and all(len(w) <= AL.KEPT_CHARS for w in side.places)
