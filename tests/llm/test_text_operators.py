@@ -532,6 +532,48 @@ def test_near_duplicates_with_few_hubs_are_all_found(spark, monkeypatch, hubs):
     assert found == {i: root(i) for i in range(len(sets))}
 
 
+def _staged_groups(spark, monkeypatch, texts, size, percent):
+    """Groups of ``texts`` (by place), and the rows of every stage."""
+    from ledgerlens.llm import near_duplicates as ND
+
+    rows, written = {}, ND.stage
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ND, "stage", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = ND.find_groups(df, shingle_words=size, threshold_percent=percent).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}, rows
+
+
+def test_short_texts_do_not_meet_by_chance(spark, monkeypatch):
+    """A short text fills a register of a band: without marks, texts that share no word meet in as many buckets as their square."""
+    rng = random.Random(8)
+    texts = [" ".join(f"s{rng.randrange(10**9)}" for _ in range(30)) for _ in range(2000)]
+    texts += [t + " x" for t in texts[:50]]
+    found, rows = _staged_groups(spark, monkeypatch, texts, 3, 85)
+    assert found == {**{i: (28, i) for i in range(2000)}, **{2000 + i: (29, i) for i in range(50)}}
+    assert rows["band-hits"] <= 50 * 2 * 42
+
+
+def test_near_copies_below_the_threshold_cost_their_number(spark, monkeypatch):
+    """Copies that the estimate lets pass and full sets don't: members are written, never their pairs."""
+    rng = random.Random(9)
+    base, texts = [f"b{i}" for i in range(200)], []
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(200), 4):
+            words[k] = f"c{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    found, rows = _staged_groups(spark, monkeypatch, texts, 3, 85)
+    assert found == brute_groups(dict(enumerate(texts)), 3, 85)
+    late = [n for name, n in rows.items() if name.startswith("late")]
+    assert len({c for _, c in found.values()}) > 100 and max(late) <= rows["open-hits"] and rows["late-links"] <= 300 * 42
+
+
 def test_kept_ids_of_pre_tokens_are_those_of_each_text(monkeypatch):
     """Ids kept in one array, through forgetting and long words, against one text at a time."""
     import public_tokenizers
