@@ -16,10 +16,12 @@ to a copied passage is first there, and is kept there when that is copied on.
 Windows are compared by 64-bit digests, which are not held against the texts
 (two billion windows have one equal pair by chance in about ten corpora).
 
-Shuffled are digests with their places: once to find the repeated ones
-(aggregated before the shuffle, so a window that a third of all documents share
-is one row per task), and once to join them back, where the planner may split
-a hot digest. Passages are found per document among repeated windows only.
+Shuffled is each window once: its digest, document and number, packed by ``BINS`` ranges
+of digests, so that a row holds some thousands and a window costs about a dozen bytes. A
+bin is gone through in slices of about ``SLICE`` windows (those of one digest together)
+and gives back the repeated windows alone. Their places are found again from the texts,
+which are joined to them by document. Passages are found per document among repeated
+windows only.
 
 Defined results: null and empty texts have no chunks; repeated rows of one id
 are one document and do not repeat each other; repeats inside one document do
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stage
+from ledgerlens.llm.common import bound_batches, pack_array, stage, unpack_array
 
 #: Bytes that a cut depends on, and mean bytes of a chunk.
 GEAR_BYTES, MEAN_BYTES = 16, 24
@@ -45,8 +47,12 @@ GEAR_BYTES, MEAN_BYTES = 16, 24
 MIN_WORDS = 16
 #: Shorter chunks recur by chance; at a window's ends they don't count as part of the passage.
 SURE_CHARS = 12
+#: Ranges of digests, windows that a task packs at once, and windows of a bin that are sorted at once.
+BINS, BLOCK, SLICE = 512, 1_000_000, 2_000_000
 #: Places are pairs of offsets in one long: begin << 32 | end, of code points, words and chunks.
-WINDOW_SCHEMA = "doc_id long, chars long, words long, chunks long, digest long"
+PLACE_SCHEMA = "doc_id long, chars long, words long, chunks long, first_doc_id long"
+PACKED_SCHEMA = "bin int, digests binary, docs binary, numbers binary"
+REPEATED_SCHEMA = "doc_id long, number long, digest long, first_doc_id long"
 PASSAGE_SCHEMA = "doc_id long, start long, stop long, n_words long, n_chunks long, first_doc_id long, is_first boolean"
 
 
@@ -94,46 +100,141 @@ def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return keys // n, keys % n
 
 
-def _windows(min_words: int):
-    from xxhash import xxh3_64_intdigest
+class Windows:
+    """The windows of a text (UTF-8, not empty), numbered from 0."""
 
     gear = gear_table()
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-
-    def emit(parts):
-        cols = [np.concatenate(c) for c in zip(*(p[:4] for p in parts), strict=True)]
-        digests = np.concatenate([p[4] for p in parts]).view("i8")
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests)], ["doc_id", "chars", "words", "chunks", "digest"])
+    space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, raw: bytes, min_words: int) -> None:
+        self.raw, data = raw, np.frombuffer(raw, "u1")
+        self.at = np.concatenate([[0], cut_points(data, self.gear)])
+        blank = self.space[data]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        self.words = self._upto(begins)
+        self.first, self.end = windows_of(self.words, min_words)
+
+    def _upto(self, mask: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(mask)[self.at[1:] - 1]])
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def digests(self, numbers: np.ndarray | slice = slice(None)) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        begin, end = self.at[self.first[numbers]].tolist(), self.at[self.end[numbers]].tolist()
+        return np.fromiter((xxh3_64_intdigest(self.raw[i:j]) for i, j in zip(begin, end, strict=True)), "u8", len(begin))
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points (of the sure chunks), words and chunks of windows."""
+        chars = self._upto((np.frombuffer(self.raw, "u1") & 0xC0) != 0x80)
+        a, b = self.first[numbers], self.end[numbers]
+        sure = np.flatnonzero(np.diff(chars) >= SURE_CHARS)
+        first, last = np.searchsorted(sure, a), np.searchsorted(sure, b) - 1
+        some = first <= last
+        start, stop = a.copy(), b.copy()
+        start[some], stop[some] = sure[first[some]], sure[last[some]] + 1
+        return chars[start] << 32 | chars[stop], self.words[a] << 32 | self.words[b], a << 32 | b
+
+
+def _packed(min_words: int):
+    """Rows (doc_id, text) to the packed windows of each bin."""
+
+    def emit(parts: list) -> pa.RecordBatch:
+        digests, docs, numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
+        of = (digests >> np.uint64(64 - BINS.bit_length() + 1)).astype("i4")
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(BINS + 1))
+        rows = [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+        columns = [pa.array([pack_array(x[at], t) for _, at in rows], pa.binary()) for x, t in ((digests, "<u8"), (docs, "<i8"), (numbers, "<u4"))]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *columns], ["bin", "digests", "docs", "numbers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_py()
                 if not raw:
                     continue
-                data = np.frombuffer(raw, "u1")
-                at = np.concatenate([[0], cut_points(data, gear)])
-                blank = space[data]
-                begins = ~blank
-                begins[1:] &= blank[:-1]
-                upto = lambda mask: np.concatenate([[0], np.cumsum(mask)[at[1:] - 1]])  # noqa: B023, E731
-                chars, words = upto((data & 0xC0) != 0x80), upto(begins)
-                a, b = windows_of(words, min_words)
-                sure = np.flatnonzero(np.diff(chars) >= SURE_CHARS)
-                first, last = np.searchsorted(sure, a), np.searchsorted(sure, b) - 1
-                some = first <= last
-                start, stop = a.copy(), b.copy()
-                start[some], stop[some] = sure[first[some]], sure[last[some]] + 1
-                digests = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(at[a].tolist(), at[b].tolist(), strict=True)), "u8", len(a))
-                parts.append((np.full(len(a), doc_id, "i8"), chars[start] << 32 | chars[stop], words[a] << 32 | words[b], a << 32 | b, digests))
-                held += len(a)
-                if held > 200_000:
+                found = Windows(raw, min_words)
+                parts.append((found.digests(), np.full(len(found), doc_id, "i8"), np.arange(len(found), dtype="u4")))
+                held += len(found)
+                if held > BLOCK:
                     yield emit(parts)
                     parts, held = [], 0
+        if held:
+            yield emit(parts)
+
+    return run
+
+
+def repeated_of(digests: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the digests that several documents have, and the smallest of these documents for each."""
+    order = np.argsort(digests, kind="stable")
+    begin = np.flatnonzero(np.diff(digests[order], prepend=~digests[order[:1]]))
+    size = np.diff(begin, append=len(order))
+    least, most = np.minimum.reduceat(docs[order], begin), np.maximum.reduceat(docs[order], begin)
+    several = np.repeat(least < most, size)
+    return order[several], np.repeat(least, size)[several]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed windows sorted by bin to the repeated ones."""
+    names = ("digests", "docs", "numbers")
+    types = ("<u8", "<i8", "<u4")
+
+    def found(rows: list[tuple[bytes, ...]], k: int) -> Iterator[pa.RecordBatch]:
+        n = sum(int.from_bytes(row[0][:8], "little") for row in rows)
+        slices = max(1, -(-n // SLICE))
+        wide = 64 - BINS.bit_length() + 1
+        edges = [((k << wide) + (t << wide) // slices) for t in range(slices)] + [None]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            parts = []
+            for row in rows:
+                digests = unpack_array(row[0], types[0])
+                kept = (digests >= np.uint64(lo)) & ((digests < np.uint64(hi)) if hi is not None else True)
+                if kept.any():
+                    parts.append((digests[kept], *(unpack_array(x, t)[kept] for x, t in zip(row[1:], types[1:], strict=True))))
             if parts:
-                yield emit(parts)
+                digests, docs, numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
+                at, least = repeated_of(digests, docs)
+                for i in range(0, len(at), 1 << 17):
+                    some = at[i : i + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (docs[some], numbers[some].astype("i8"), digests[some].view("i8"), least[i : i + (1 << 17)])], ["doc_id", "number", "digest", "first_doc_id"])
+
+    now, held = None, []
+    for batch in batches:
+        for k, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bin", *names)), strict=True):
+            if k != now:
+                yield from found(held, now) if held else ()
+                now, held = k, []
+            held.append(tuple(row))
+    yield from found(held, now) if held else ()
+
+
+def _places(min_words: int):
+    """Rows (doc_id, text, numbers, digests, firsts) to the places of those windows of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            listed = [col(c) for c in ("numbers", "digests", "firsts")]
+            parts = []
+            for i, (doc_id, text) in enumerate(zip(col("doc_id").to_pylist(), col("text"), strict=True)):
+                raw = text.as_py()
+                if not raw:
+                    continue
+                found = Windows(raw, min_words)
+                numbers, digests, firsts = (x[i].values.to_numpy(zero_copy_only=False) for x in listed)
+                own = np.flatnonzero(numbers < len(found))  # an id may have several texts, of which the digest tells
+                own = own[found.digests(numbers[own]) == digests[own].view("u8")]
+                numbers, firsts = numbers[own], firsts[own]
+                parts.append((np.full(len(own), doc_id, "i8"), *found.places(numbers), firsts))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["doc_id", "chars", "words", "chunks", "first_doc_id"])
 
     return run
 
@@ -197,10 +298,10 @@ def _passages(min_words: int):
     return run
 
 
-def window_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, chars, words, chunks (places), digest of every window."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return narrow.filter(F.col("doc_id").isNotNull()).mapInArrow(_windows(min_words), WINDOW_SCHEMA)
+def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, number, digest, first_doc_id of every window of ``docs`` (doc_id, text) that several documents have."""
+    packed = docs.mapInArrow(_packed(min_words), PACKED_SCHEMA)
+    return stage(packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(_repeated, REPEATED_SCHEMA), "repeated-windows")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -212,12 +313,13 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     overlap: of a first passage, the parts of ``min_words`` words that lie beside
     the others are given. ``n_words`` and ``n_chunks`` count the whole windows.
     """
-    windows = stage(window_documents(docs, id_col=id_col, text_col=text_col, min_words=min_words), "windows")
-    shared = (
-        windows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-        .filter(F.col("first_doc_id") < F.col("last")).select("digest", "first_doc_id")
-    )
-    repeated = windows.join(shared, "digest").select("doc_id", "chars", "words", "chunks", "first_doc_id")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter(F.col("doc_id").isNotNull())
+    bound_batches(docs.sparkSession)
+    found = repeated_windows(narrow, min_words)
+    listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("number", "digest", "first_doc_id")).alias("w"))
+    listed = listed.select("doc_id", F.col("w.number").alias("numbers"), F.col("w.digest").alias("digests"), F.col("w.first_doc_id").alias("firsts"))
+    # the documents with repeated windows grow with the corpus: never a broadcast of them
+    repeated = narrow.join(listed.hint("merge"), "doc_id").mapInArrow(_places(min_words), PLACE_SCHEMA)
     sorted_ = repeated.repartition("doc_id").sortWithinPartitions("doc_id", "chars", "words", "chunks")
     return sorted_.mapInArrow(_passages(min_words), PASSAGE_SCHEMA)
 
