@@ -116,3 +116,22 @@ def test_facts_are_joined_without_sorting_the_large_side(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     written = catalogue.facts(spark, SF_SMALL)
     assert sorted(written.collect()) == got and all(".zstd." in f for f in written.inputFiles())
+
+
+@pytest.mark.parametrize("aim", [None, "128m", "32MB", "268435456b"])
+def test_joins_are_hashed_whatever_size_the_session_aims_at(spark, aim):
+    """The planner hashes no join while the partitions it aims at are above the bound of a hashed one."""
+    from ledgerlens.session import HASHED_PARTITION, _bytes, hashed_joins
+
+    key, bound = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    given = spark.conf.get(key)
+    if aim:
+        spark.conf.set(key, aim)
+    try:
+        before = [spark.conf.get(k) for k in (key, bound)]
+        with hashed_joins(spark):
+            assert _bytes(spark.conf.get(key)) == min(_bytes(before[0]), HASHED_PARTITION) <= _bytes(spark.conf.get(bound))
+        assert [spark.conf.get(k) for k in (key, bound)] == before
+    finally:
+        spark.conf.set(key, given)
+    assert [_bytes(x) for x in ("64MB", "1g", "10", "8b", "2k")] == [64 << 20, 1 << 30, 10, 8, 2048]
