@@ -11,7 +11,8 @@ All windows are full but the last, so nothing else is ever padded. Only per-task
 totals are shuffled; a long document's pieces are made where it lies.
 
 Tokens are found by word: what stands between spaces or line feeds is tokenized
-once per task while it stays in a bounded cache. No rule of the tokenizers meant
+once per Python worker while it stays in a bounded cache, which the worker's later
+tasks find filled. No rule of the tokenizers meant
 here (white space dropped before merges) reaches over a space.
 
 Defined results: a null or empty text is the single ``end_id``; each row of the
@@ -21,7 +22,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from ledgerlens.llm.common import stage
 from ledgerlens.llm.tokens import load_tokenizer
 
 WINDOW = 2048
-#: Words whose ids a task keeps, and characters that a word may have to be kept.
+#: Words whose ids a worker keeps, and characters that a word may have to be kept.
 CACHED_WORDS, CACHED_CHARS = 800_000, 64
 #: Rows whose words are looked up together.
 SLICE_ROWS = 2048
@@ -126,6 +129,16 @@ class WordIds:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        # millions of words and no cycle among them: collections would only walk through them
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         texts = [t.replace("\n", " ") for t in texts]
         plain = ["<|" not in t and self.plain(t) is not None for t in texts]
         lowered = iter(self._plain([t.lower().split(" ") for t, p in zip(texts, plain, strict=True) if p]))
@@ -133,12 +146,18 @@ class WordIds:
         return [next(lowered if p else others) for p in plain]
 
 
+@lru_cache(maxsize=1)
+def word_ids_of(path: str, dtype: str) -> WordIds:
+    """The worker's own, so that its tasks don't each learn the same words."""
+    return WordIds(path, dtype)
+
+
 def _tokenize(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        word_ids, end, width = WordIds(path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        word_ids, end, width = word_ids_of(path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 piece = batch.slice(lo, SLICE_ROWS)
