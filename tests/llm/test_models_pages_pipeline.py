@@ -250,6 +250,43 @@ def test_copies_are_no_boilerplate():
     assert unique_blocks([[menu, *body(0)]] * 2) == [[menu, *body(0)]] * 2
 
 
+def test_main_parts_go_through_the_suffix_array(spark):
+    """What a site repeats around its articles goes from them too; announced, copied and quoted articles stay whole."""
+    from ledgerlens.llm.pages import extract
+
+    words = lambda name, n=30: " ".join(f"{name}{j}" for j in range(n))
+    notice, quoted = words("please"), words("said")
+    story = {i: [words(f"a{i}x"), words(f"b{i}x")] for i in range(6)}
+    article = lambda *blocks: "<div>top</div><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows = [(i, f"http://h.example/{i}", article(story[i][0], notice, story[i][1], *([quoted] if i < 3 else []))) for i in range(6)]
+    rows += [(6, "http://h.example/6", rows[0][2]), (7, "http://other.example/7", article(story[1][0], notice))]
+    rows += [(10 + i, f"http://h.example/{10 + i}", f"<div>{words(f'c{i}x')}</div><p>{story[0][0]}</p><p>{notice}</p>") for i in range(3)]
+    want = {i: "\n".join([*story[i], *([quoted] if i < 3 else [])]) for i in range(6)}
+    want |= {6: want[0], 7: f"{story[1][0]}\n{notice}"} | {10 + i: words(f"c{i}x") for i in range(3)}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in extract(frame).collect()} == want
+
+
+def test_coverage_inside_main_parts_is_that_of_all_pairs():
+    import random
+
+    from ledgerlens.llm.pages import covered_tokens
+
+    rng, window = random.Random(3), 3
+    for _ in range(60):
+        streams = [np.array([rng.randrange(3) for _ in range(rng.randrange(12))], "i8") for _ in range(rng.randrange(1, 7))]
+        inside = np.array([rng.random() < 0.5 for _ in streams])
+        groups = np.array([rng.randrange(4) for _ in streams])
+        runs = lambda s: [tuple(s[i : i + window]) for i in range(len(s) - window + 1)]
+        holders = lambda run, kind: {g for s, k, g in zip(streams, inside, groups, strict=True) if k == kind and run in runs(s)}  # noqa: E731, B023
+        for stream, main, got in zip(streams, inside, covered_tokens(streams, window, groups, inside), strict=True):
+            want = np.zeros(len(stream), bool)
+            for i, run in enumerate(runs(stream)):
+                if len(holders(run, False)) > 1 and (not main or len(holders(run, True)) > 1):
+                    want[i : i + window] = True
+            assert (got == want).all()
+
+
 def test_names_inside_main_parts():
     from ledgerlens.llm.pages import parse
 
