@@ -244,22 +244,26 @@ def test_packing(spark, documents, odd, empty):
     assert len({r["sequence_id"] for r in pack(odd, path).collect()}) >= 1 and pack(empty, path).collect() == []
 
 
-def test_words_learned_by_one_task_are_known_to_the_next(monkeypatch):
-    import pyarrow as pa
-
-    from ledgerlens.llm import packing as P
-
-    path = q.tokenizer_path("word_bpe_49k.json")
-    P.word_ids_of.cache_clear()
-    learned = []
-    plain = P.WordIds._learn
-    monkeypatch.setattr(P.WordIds, "_learn", lambda self, fresh: (learned.extend(fresh), plain(self, fresh))[1])
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["Zwonk the gnarfle, zwonk!", None]})
-    first, second = ([b.to_pydict() for b in P._tokenize(path, 1, "<u2")(iter([batch]))] for _ in range(2))
-    assert first == second and first[0]["n"][1] == 1
-    assert sorted(learned) == sorted({"zwonk", "the", "gnarfle", ",", "!"})
-    P.word_ids_of.cache_clear()
+def test_no_collections_while_words_are_looked_up(monkeypatch):
+    import gc
+
+    from ledgerlens.llm.packing import WordIds
+
+    words, on = WordIds(q.tokenizer_path("word_bpe_49k.json"), "<u2"), []
+    plain = WordIds._plain
+    monkeypatch.setattr(WordIds, "_plain", lambda self, split: (on.append(gc.isenabled()), plain(self, split))[1])
+    assert words(["Zwonk the gnarfle", ""])[1] == b"" and on == [False] and gc.isenabled()
+    monkeypatch.setattr(WordIds, "_plain", lambda self, split: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        words(["a"])
+    assert gc.isenabled()
+    gc.disable()
+    try:
+        monkeypatch.undo()
+        words(["a"])
+        assert not gc.isenabled()
+    finally:
+        gc.enable()
 
 
 # personal data
