@@ -73,6 +73,33 @@ def test_training_table_is_written_once_and_whole(sample_sales, spec, table):
     assert abs(sizes["test"] / table.n_rows - 0.15) < 0.01
 
 
+def test_vectors_of_linear_models_are_made_from_the_stored_numbers(table):
+    """They are not written with the table, and a tree's reader doesn't make them."""
+    assert "linear" not in table.rows.columns and "linear_leaked" not in table.rows.columns
+    plan = table.part("regression", "train").select("label", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan
+    for task in ("regression", "classification_leaked"):
+        rows = table.part(task, ["train", "test"]).orderBy("row_key").limit(200).collect()
+        got, x = np.array([r["linear"].toArray() for r in rows]), np.array([r["x"] for r in rows])
+        leaked = int(task.endswith("leaked"))
+        scaler = next(s for s in table.encoder.stages if hasattr(s, "std"))
+        k = len(table.numeric)
+        spread = scaler.std.toArray()
+        assert got[:, :k] == pytest.approx((x[:, :k] - scaler.mean.toArray()) * np.divide(1.0, spread, out=np.zeros(k), where=spread > 0))
+        assert (got[:, k:got.shape[1] - leaked].sum(axis=1) <= len(table.categorical)).all() and set(np.unique(got[:, k:got.shape[1] - leaked])) == {0.0, 1.0}
+        if leaked:
+            assert (got[:, -1] == x[:, k]).all()
+
+
+def test_every_training_row_is_fitted_beyond_the_most_members(planted, monkeypatch):
+    monkeypatch.setattr(TR, "SHARD_ROWS", 20)
+    monkeypatch.setattr(TR, "FEW_MEMBERS", 1)
+    monkeypatch.setattr(TR, "WIDE_SHARD_ROWS", 100)
+    monkeypatch.setattr(TR, "MAX_MEMBERS", 3)
+    shards = TR.packed_shards(planted, "regression", name="whole")
+    assert shards.count() == 3 and shards.agg(F.sum("n")).first()[0] == planted.part("regression", "train").count()
+
+
 def test_leak_is_learned_and_honest_features_are_not(sample_sales, spec, table):
     found = {}
     for task in ("classification", "classification_leaked"):
