@@ -301,3 +301,33 @@ def test_linear_search_scores_are_those_of_each_fit(table, task):
     for d, f, value in found:
         model = base.copy(maps[d]).fit(train.where(F.col("fold") != f))
         assert value == pytest.approx(TR._fold_scores(TR.linear_score(model, train.where(F.col("fold") == f), task), task), abs=1e-6)  # the solver stops at 1e-6
+
+
+def test_only_the_lighter_siblings_rows_are_summed(monkeypatch):
+    """Below the root at most half of the rows, and the sums are those of each node's own rows."""
+    from ledgerlens.operators import trees as TS
+
+    rng = np.random.default_rng(6)
+    bins = np.stack([rng.integers(0, 30, 4000), rng.integers(0, 9, 4000), rng.integers(0, 40, 4000)]).astype("i4")
+    g, h = rng.normal(size=4000) + (bins[0] > 20) + 0.3 * bins[1], rng.integers(1, 4, 4000).astype("f8")
+    splits, met, plain = TS.Splits(bins), [], TS.Splits.sums
+    monkeypatch.setattr(TS.Splits, "sums", lambda self, cells, place, *a: met.append(len(place)) or plain(self, cells, place, *a))
+    column, cut, value, at = TS.grow(splits, None, g, h, 4, 1.0, np.ones(3, bool))
+    assert met[0] == met[1] == 4000 and len(met) == 8 and max(met[2:]) < 2600  # lighter by ``h``, not by rows
+    for node in range(15):  # each node's split is the best of its own rows
+        rows, path = np.ones(4000, bool), []
+        k = node
+        while k:
+            path.append(((k - 1) // 2, k % 2 == 0))
+            k = (k - 1) // 2
+        for up, right in path:
+            rows &= (bins[column[up]] > cut[up]) == right
+        gains = {}
+        for j in range(3):
+            for b in range(bins[j].max()):
+                left = rows & (bins[j] <= b)
+                right = rows & (bins[j] > b)
+                if min(h[left].sum(), h[right].sum()) >= 1:
+                    gains[j, b] = sum(g[z].sum() ** 2 / (h[z].sum() + TS.SHRINK) for z in (left, right))
+        assert gains[column[node], cut[node]] == pytest.approx(max(gains.values()), rel=1e-9)
+        assert value[2 * node + 1] == pytest.approx(g[rows & (bins[column[node]] <= cut[node])].sum() / (h[rows & (bins[column[node]] <= cut[node])].sum() + TS.SHRINK))
