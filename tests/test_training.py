@@ -158,6 +158,26 @@ def test_benchmark_saves_models_and_logs_runs(spark, sample_sales, spec, table,
     assert set(best) == set(TR.TASKS)
 
 
+def test_benchmark_query_searches_every_family(spark, sample_sales, spec, table, tmp_path, monkeypatch):
+    """The registered job runs the six draws and three folds of every family but those of the leakage run."""
+    from ledgerlens.plans import q_learn as QL
+
+    searched, benchmark = [], TR.benchmark
+    for kind in ("search_trees", "search_linear"):
+        def seek(table, task, name, *, draws, own=getattr(TR, kind), **sizes):
+            found = own(table, task, name, draws=draws, **sizes)
+            searched.append((task, name, len(found[1])))
+            return found
+
+        monkeypatch.setattr(TR, kind, seek)
+    monkeypatch.setattr(QL, "_enriched", lambda spark, d: sample_sales)
+    monkeypatch.setattr(QL, "_training_table", lambda spark, d: table)
+    monkeypatch.setattr(TR, "benchmark", lambda *a, **k: benchmark(*a, rounds=3, trees=3, root=str(tmp_path / "searched"), **k))
+    found = {(r["task"], r["model"]) for r in QL._benchmark(spark, "").collect()}
+    assert found == {(task, name) for task in TR.TASKS for name in TR.FAMILIES[task]}
+    assert sorted(searched) == sorted((task, name, TR.DRAWS * TR.FOLDS) for task in TR.TASKS[:2] for name in TR.FAMILIES[task])
+
+
 def test_best_models_pass_over_nulls(spark):
     rows = [("regression", "A", "r2", None), ("regression", "B", "r2", 0.1), ("regression", "C", "r2", 0.1)]
     kind = "task string, model string, metric string, value double"
