@@ -287,6 +287,31 @@ def test_coverage_inside_main_parts_is_that_of_all_pairs():
             assert (got == want).all()
 
 
+@pytest.mark.parametrize("looked_up", [2_000_000, 0])
+def test_a_large_host_is_cleaned_as_a_small_one(spark, monkeypatch, looked_up):
+    """What two pages of a host share is found wherever its pages are dealt: a rare menu, copies, near copies and notices in articles."""
+    from ledgerlens.llm import pages as P
+
+    words = lambda name, n=30: " ".join(f"{name}x{j}" for j in range(n))
+    rare, notice, quoted = words("rare", 12), words("notice", 12), words("quoted", 12)
+    shown = lambda *blocks: "".join(f"<div>{b}</div>" for b in blocks)
+    article = lambda *blocks: "<div>top</div><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    htmls = [shown(words(f"p{i}"), *([rare] if i in (3, 40) else []), words(f"q{i}")) for i in range(50)]
+    htmls += [shown(*[words(f"copy{b}") for b in range(8)])] * 2 + [shown(*[words(f"copy{b}") for b in range(7)], words("copy7", 26) + " now told")]
+    htmls += [article(words(f"a{i}"), notice, *([quoted] if i < 2 else []), words(f"b{i}")) for i in range(20)]
+    htmls += [shown(words(f"c{i}"), notice) for i in range(2)] + [shown(words("c9"), words("a7")), article(words("a8"), words("b8")), None, "", shown("few words")]
+    rows = [(i, f"http://{h}.example/{i}", page) for h in ("one", "two") for i, page in enumerate(htmls)] + [(900, "http://three.example/", shown(rare))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    told = lambda shard: sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in P.extract(frame, shard_pages=shard).collect())
+    whole = told(2000)
+    monkeypatch.setattr(P, "LOOKED_UP", looked_up, raising=False)
+    assert told(7) == whole and len(whole) == len(rows)
+    text = {url: t for _, url, t, _ in whole}
+    assert text["http://one.example/3"] == words("p3") + "\n" + words("q3") and text["http://three.example/"] == rare
+    assert text["http://two.example/50"] == "\n".join(words(f"copy{b}") for b in range(8))
+    assert text["http://two.example/53"] == "\n".join([words("a0"), quoted, words("b0")])
+
+
 def test_names_inside_main_parts():
     from ledgerlens.llm.pages import parse
 
