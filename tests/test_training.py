@@ -73,6 +73,26 @@ def test_training_table_is_written_once_and_whole(sample_sales, spec, table):
     assert abs(sizes["test"] / table.n_rows - 0.15) < 0.01
 
 
+def test_only_what_is_read_again_stays_written(spark, sample_sales, spec):
+    """The table's own input and the codes of a selection go once they are used; what stays is packed, a column for each feature."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from ledgerlens.session import checkpoint_dir
+
+    stage = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "ledgerlens-stage")
+    before = set(os.listdir(stage)) if os.path.isdir(stage) else set()
+    made = TR.training_table(sample_sales, spec)
+    assert made.part("regression", "train").count() + made.part("regression", ["val", "test"]).count() == made.n_rows
+    new = sorted(set(os.listdir(stage)) - before)
+    assert {name.split("-")[0] for name in new} == {"select", "learn"} and [name.startswith("learn-table") for name in new].count(True) == 1
+    folder = os.path.join(stage, next(name for name in new if name.startswith("learn-table")))
+    parts = [pq.ParquetFile(os.path.join(folder, f)).metadata for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert {m.row_group(0).column(0).compression for m in parts if m.num_row_groups} == {"ZSTD"}
+    assert all(m.num_columns == 6 + len(made.numeric) + len(made.categorical) for m in parts)
+
+
 def test_vectors_of_linear_models_are_made_from_the_stored_numbers(table):
     """They are not written with the table, and a tree's reader doesn't make them."""
     assert "linear" not in table.rows.columns and "linear_leaked" not in table.rows.columns
