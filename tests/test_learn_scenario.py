@@ -64,6 +64,15 @@ def test_permutation_test_no_signal(sample_sales, spec):
     assert 0 < r.p_value <= 1 and r.n_permutations == 10
 
 
+def test_permutations_rank_by_bytes(sample_sales, spec, monkeypatch):
+    """What is sorted and written of a label's place is the digest's 16 bytes, not its 32 letters."""
+    seen, ranked = [], LN.cumulative_counts
+    monkeypatch.setattr(LN, "cumulative_counts", lambda df, *a, **k: seen.append(dict(df.dtypes)["_h"]) or ranked(df, *a, **k))
+    split = LN.assign_split(sample_sales.withColumn("y", F.col(spec.volume).cast("double")), spec.key)
+    assert LN.permutation_test_group_mean(split, spec.key, spec.model, "y", n_perm=2).count() == 3
+    assert seen == ["binary"]
+
+
 def test_conformal_coverage(sample_sales, spec):
     df = sample_sales.select("row_key", spec.model, F.col(spec.volume).cast("double").alias("y"))
     roles = LN.conformal_roles(df, "row_key")
