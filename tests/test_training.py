@@ -229,6 +229,21 @@ def test_permutation_importance_of_a_linear_scorer(spark):
     assert out["c"]["importance"] == pytest.approx(0.0, abs=1e-12) and out["a"]["importance_std"] > 0
 
 
+def test_importance_of_columns_that_no_tree_reads(planted, monkeypatch):
+    """Columns without a split are neither sent nor scored, rows as they are only once; the falls are those of scoring all."""
+    model, _, _ = TR.fit_family(planted, "regression", "Boosted", tune=False, rounds=5)
+    test, columns, predict = planted.part("regression", "test"), planted.columns("regression"), model.predictor()
+    assert 0 < len(predict.used) < len(columns)
+    written, write = [], TR.write_shared
+    monkeypatch.setattr(TR, "write_shared", lambda df, name="stage": written.append((name, write(df, name))) or written[-1][1])
+    found = [{r["feature"]: (r["importance"], r["importance_std"]) for r in TR.permutation_importance(test, p, columns).collect()} for p in (predict, lambda x: predict(x))]
+    assert found[0].keys() == found[1].keys() == set(columns)
+    for feature in columns:
+        assert found[0][feature] == pytest.approx(found[1][feature], abs=1e-12)
+    few, every = (frame.count() for name, frame in written if name == "importance-sums")
+    assert (few, every) == (TR.REPLICAS * len(predict.used) + 1, TR.REPLICAS * len(columns) + 1)
+
+
 def test_conformal_is_tighter_on_the_planted_target(table, planted):
     for_target = {}
     for name, t in (("given", table), ("planted", planted)):
